@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscale.functions.tiers import tier_rank
-from folioscale.llm import lookalikes, packing, survivors, text_dedup
+from folioscale.llm import leaks, lookalikes, packing, survivors, text_dedup
 from folioscale.llm.top_n import top_n
 from folioscale.runtime import read_table
 
@@ -66,6 +66,14 @@ def p7_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return top_n(papers, "direction", [("tier", False), ("relevance", True), ("paper_id", False)], 10).select("direction", "paper_id", "rank_no")
 
 
+def p8_spans(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return leaks.leaks(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "eval_items"))
+
+
+def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return p8_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
+
+
 QUERIES: dict[str, Query] = {
     "p1_batches": p1_batches,
     "p1_plan_totals": p1_plan_totals,
@@ -77,4 +85,6 @@ QUERIES: dict[str, Query] = {
     "p6_found": p6_found,
     "p6_text": p6_text,
     "p7_found": p7_found,
+    "p8_found": p8_found,
+    "p8_spans": p8_spans,
 }
