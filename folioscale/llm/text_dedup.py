@@ -2,10 +2,10 @@
 
 Characters are composed (NFC) and case-folded; blanks and punctuation are
 removed; fields that may change places are sorted. The canonical text is
-hashed to 128 bits, and counts, the smallest id and the extreme canonical
-texts are aggregated by hash, combining before the shuffle. A hash under
-which two canonical texts meet (their minimum and maximum differ) is a
-collision, and its rows are grouped by the canonical text itself.
+hashed to 128 bits, with a second, independent hash of 64 bits as a check,
+and counts and the smallest id are aggregated by hash, combining before the
+shuffle. A hash under which two checks meet (their minimum and maximum
+differ) is a collision, and its rows are grouped by both.
 
 Defined results: a row with a null field, or with a field that holds neither
 letter nor digit, takes no part; a group may have any size; an empty table
@@ -14,67 +14,81 @@ gives an empty table.
 
 from __future__ import annotations
 
+import hashlib
+import re
 import unicodedata
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
-import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+import xxhash
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
-from folioscale.runtime import attach_group
+from folioscale.runtime import attach_group, cut_lineage
 
+_NOT_TEXT = re.compile(r"[\W_]+")
+#: As above, but accents and vowel signs (of the categories M) stay: the blocks in which they lie.
+_NOT_TEXT_MARKS = re.compile("(?:(?![\u0300-\u036f\u0483-\u0489\u0591-\u05bd\u064b-\u065f\u0900-\u0903\u093a-\u094f\u1ab0-\u1aff\u20d0-\u20f0])[\\W_])+")
 
-@F.pandas_udf(T.StringType())
-def _composed(parts: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in parts:
-        yield part.map(lambda text: unicodedata.normalize("NFC", text), na_action="ignore")
 
+def canonical(text: str) -> str:
+    """Letters and digits of a text (with accents that do not compose), case-folded, in their order."""
+    if text.isascii():
+        return _NOT_TEXT.sub("", text.lower())
+    return _NOT_TEXT_MARKS.sub("", unicodedata.normalize("NFC", unicodedata.normalize("NFC", text).casefold()))
 
-def canonical(text: Column) -> Column:
-    """Letters and digits of a text, composed and case-folded, in their order."""
-    # only texts with combining marks (or letters that case folding leaves composed) go to Python
-    odd = text.rlike(r"\p{M}")
-    composed = F.when(odd, _composed(F.when(odd, text))).otherwise(text)
-    # upper before lower folds letters with several small forms (sharp s, final sigma) together
-    return F.regexp_replace(F.lower(F.upper(composed)), r"[^\p{L}\p{N}\p{M}]+", "")
 
+def _has_text(form: str) -> bool:
+    return any(char.isalnum() for char in form)
 
-def _hash128(text: Column) -> Column:
-    return F.unhex(F.md5(text))
 
+def _md5(text: bytes) -> bytes:
+    return hashlib.md5(text, usedforsecurity=False).digest()
 
-def canonical_records(df: DataFrame, id_col: str, exact: list[str], texts: list[str], hasher=_hash128) -> DataFrame:
-    """(id, key, digest) of the rows that take part; `exact` columns count as they are, `texts` may change places."""
-    forms = [f"__text_{i}" for i in range(len(texts))]
-    rows = df.select(F.col(id_col).alias("__id"), *[F.col(name).cast("string").alias(f"__exact_{i}") for i, name in enumerate(exact)], *[canonical(F.col(name)).alias(form) for name, form in zip(texts, forms)])
-    for i in range(len(exact)):
-        rows = rows.where(F.col(f"__exact_{i}").isNotNull())
-    for form in forms:
-        rows = rows.where(F.col(form).rlike(r"[\p{L}\p{N}]"))
-    key = F.concat_ws("\x1f", *[F.col(f"__exact_{i}") for i in range(len(exact))], F.array_join(F.array_sort(F.array(*forms)), "\x1f"))
-    return rows.select(F.col("__id").alias("id"), key.alias("key")).withColumn("digest", hasher(F.col("key")))
 
+def hashed(df: DataFrame, id_col: str, exact: list[str], texts: list[str], digest: Callable[[bytes], bytes] = _md5) -> DataFrame:
+    """(id, digest, check) of the rows that take part; `exact` columns count as they are, `texts` may change places."""
+    parts = df.select(F.col(id_col).cast("long").alias("id"), *[F.col(name).cast("string").alias(f"exact_{i}") for i, name in enumerate(exact)], *[F.col(name).alias(f"text_{i}") for i, name in enumerate(texts)])
+    for name in parts.columns[1:]:
+        parts = parts.where(F.col(name).isNotNull())
+    n = len(exact)
 
-def _groups(records: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Groups of records by digest, and of those with colliding digests by key."""
-    by_digest = records.groupBy("digest").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("keep_id"), F.min("key").alias("key"), F.max("key").alias("last_key"))
-    clean = by_digest.where(F.col("key") == F.col("last_key")).drop("last_key")
-    colliding = by_digest.where(F.col("key") != F.col("last_key")).select("digest")
-    split = records.join(colliding, "digest", "left_semi").groupBy("digest", "key").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("keep_id"))
-    return clean, split
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            ids, digests, checks = [], [], []
+            columns = [column.to_pylist() for column in batch.columns]
+            for row in zip(*columns):
+                forms = [canonical(text) for text in row[1 + n :]]
+                if all(map(_has_text, forms)):
+                    key = "\x1f".join((*row[1 : 1 + n], *sorted(forms))).encode()
+                    ids.append(row[0])
+                    digests.append(digest(key))
+                    checks.append(xxhash.xxh64_intdigest(key, 17) - 2**63)
+            yield pa.RecordBatch.from_arrays([pa.array(ids, pa.int64()), pa.array(digests, pa.binary()), pa.array(checks, pa.int64())], names=["id", "digest", "check"])
 
+    return parts.mapInArrow(rows, "id long, digest binary, check long")
 
-def collapse(df: DataFrame, id_col: str, exact: list[str], texts: list[str], hasher=_hash128) -> DataFrame:
+
+def _groups(records: DataFrame) -> DataFrame:
+    """(digest, check, copies, keep_id): one row a record; digests under which two checks meet are split by check."""
+    by_digest = records.groupBy("digest").agg(F.min("check").alias("check"), F.max("check").alias("last"), F.count(F.lit(1)).alias("copies"), F.min("id").alias("keep_id"))
+    by_digest = cut_lineage(by_digest)
+    clean = by_digest.where(F.col("check") == F.col("last")).drop("last")
+    colliding = by_digest.where("check <> last").select("digest")
+    if not colliding.take(1):
+        return clean
+    split = records.join(colliding, "digest", "left_semi").groupBy("digest", "check").agg(F.count(F.lit(1)).alias("copies"), F.min("id").alias("keep_id"))
+    return clean.unionByName(split)
+
+
+def collapse(df: DataFrame, id_col: str, exact: list[str], texts: list[str], digest: Callable[[bytes], bytes] = _md5) -> DataFrame:
     """(keep_id, copies): one row for each record, with how many rows of df hold it."""
-    clean, split = _groups(canonical_records(df, id_col, exact, texts, hasher))
-    return clean.select("keep_id", "copies").unionByName(split.select("keep_id", "copies"))
+    return _groups(hashed(df, id_col, exact, texts, digest)).select("keep_id", "copies")
 
 
-def copies(df: DataFrame, id_col: str, exact: list[str], texts: list[str], hasher=_hash128) -> DataFrame:
+def copies(df: DataFrame, id_col: str, exact: list[str], texts: list[str], digest: Callable[[bytes], bytes] = _md5) -> DataFrame:
     """(keep_id, copy_id): each row that is a copy, with the smallest id of its group."""
-    records = canonical_records(df, id_col, exact, texts, hasher)
-    clean, split = _groups(records)
-    wanted = clean.unionByName(split.select(*clean.columns)).where(F.col("copies") > 1).select("digest", F.col("key").alias("__key"), "keep_id", "copies")
-    pairs = attach_group(records, wanted, ["digest"], "copies")
-    return pairs.where((F.col("key") == F.col("__key")) & (F.col("id") != F.col("keep_id"))).select("keep_id", F.col("id").alias("copy_id"))
+    records = cut_lineage(hashed(df, id_col, exact, texts, digest))
+    several = _groups(records).where(F.col("copies") > 1)
+    pairs = attach_group(records, several, ["digest", "check"], "copies")
+    return pairs.where(F.col("id") != F.col("keep_id")).select("keep_id", F.col("id").alias("copy_id"))
