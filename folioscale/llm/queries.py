@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscale.functions.tiers import tier_rank
-from folioscale.llm import leaks, lookalikes, packing, survivors, text_dedup
+from folioscale.llm import leaks, lookalikes, packing, page_spam, survivors, text_dedup
 from folioscale.llm.top_n import top_n
 from folioscale.runtime import read_table
 
@@ -74,6 +74,15 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return page_spam.spam_pages(read_table(spark, sf_dir, "documents")).where(F.col("spam_share") > page_spam.HALF).select("doc_id")
+
+
+def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Share of spam, mean PMI of neighbours and share of recurrent collocations of every document."""
+    return page_spam.spam_pages(read_table(spark, sf_dir, "documents"), full=True)
+
+
 QUERIES: dict[str, Query] = {
     "p1_batches": p1_batches,
     "p1_plan_totals": p1_plan_totals,
@@ -87,4 +96,6 @@ QUERIES: dict[str, Query] = {
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
+    "p10_found": p10_found,
+    "p10_scores": p10_scores,
 }
