@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscale.functions.tiers import tier_rank
-from folioscale.llm import leaks, lookalikes, packing, page_spam, survivors, text_dedup
+from folioscale.llm import leaks, lookalikes, packing, page_spam, residue, survivors, text_dedup
 from folioscale.llm.top_n import top_n
 from folioscale.runtime import read_table
 
@@ -51,6 +51,10 @@ def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:
     return survivors.merged_papers(read_table(spark, sf_dir, "merged_papers"))
 
 
+def p5_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return residue.residue(read_table(spark, sf_dir, "pool_entries"), "entry_id", "citation_key", ["引用场景"], "期刊").select(F.col("id").alias("entry_id"))
+
+
 def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     pairs = lookalikes.alike_pairs(read_table(spark, sf_dir, "papers"), "paper_id", ["title", "first_author"])
     return pairs.select(F.col("id_a").alias("paper_id_a"), F.col("id_b").alias("paper_id_b"))
@@ -91,6 +95,7 @@ QUERIES: dict[str, Query] = {
     "p3_records": p3_records,
     "p4_found": p4_found,
     "p4_survivors": p4_survivors,
+    "p5_found": p5_found,
     "p6_found": p6_found,
     "p6_text": p6_text,
     "p7_found": p7_found,
