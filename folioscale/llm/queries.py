@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscale.functions.tiers import tier_rank
-from folioscale.llm import leaks, lookalikes, packing, page_spam, residue, survivors, text_dedup
+from folioscale.llm import leaks, lookalikes, mixing, packing, page_spam, residue, survivors, text_dedup
 from folioscale.llm.top_n import top_n
 from folioscale.runtime import read_table
 
@@ -78,6 +78,21 @@ def p8_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return p8_spans(spark, sf_dir).select("doc_id", "item_id").distinct()
 
 
+def p9_uses(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Uses of each document at the largest total at which all shares are reached."""
+    return mixing.uses(read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return mixing.shares_reached(p9_uses(spark, sf_dir), read_table(spark, sf_dir, "mix_targets"))
+
+
+def p9_shares_of_pool(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The shares reached if the total is that of all listed texts, so that small sources fall short."""
+    targets = read_table(spark, sf_dir, "mix_targets")
+    return mixing.shares_reached(mixing.uses(read_table(spark, sf_dir, "documents"), targets, "pool"), targets)
+
+
 def p10_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_spam.spam_pages(read_table(spark, sf_dir, "documents")).where(F.col("spam_share") > page_spam.HALF).select("doc_id")
 
@@ -101,6 +116,9 @@ QUERIES: dict[str, Query] = {
     "p7_found": p7_found,
     "p8_found": p8_found,
     "p8_spans": p8_spans,
+    "p9_uses": p9_uses,
+    "p9_shares": p9_shares,
+    "p9_shares_of_pool": p9_shares_of_pool,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
 }
