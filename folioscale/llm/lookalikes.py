@@ -16,15 +16,18 @@ punctuation are kept, since a reader can see them.
 
 from __future__ import annotations
 
+import hashlib
+import re
 import sys
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+import pyarrow as pa
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from folioscale.runtime import cut_lineage, salt
 
@@ -140,10 +143,6 @@ def choose(spellings: dict[str, int]) -> str:
     return min(clean, key=lambda form: (len({script(unit) for unit in form} - {""}) > 1, -clean[form], form))
 
 
-def _class(chars: str) -> str:
-    return "".join(f"\\x{{{ord(char):x}}}" for char in chars)
-
-
 @cache
 def _punctuation() -> tuple[str, str]:
     """Punctuation and symbols of another width or form, and what they read as, one character each."""
@@ -153,60 +152,87 @@ def _punctuation() -> tuple[str, str]:
 
 
 @cache
-def _unusual() -> str:
-    """A Java character class of all that may read like something else, punctuation aside."""
-    codes = [code for code in range(0x80, 0x30000) if (char := chr(code)) and unicodedata.category(char)[0] in "LNM" and units(char) != char and len(unicodedata.normalize("NFD", char)) == 1]
-    codes += [code for code in range(0x80, 0x30000) if (form := unicodedata.decomposition(chr(code))) and " " not in form]
-    codes += [ord(char) for char in LOOKALIKES] + [ord(char) for char in INVISIBLE]
-    codes = sorted({*codes, *(code for code in range(0x80, sys.maxunicode + 1) if unicodedata.category(chr(code)) == "Cf")})
+def _unusual() -> re.Pattern:
+    """All that may read like something else, punctuation aside."""
+    codes = {ord(char) for char in LOOKALIKES} | {ord(char) for char in INVISIBLE}
+    for code in range(0x80, sys.maxunicode + 1):
+        char = chr(code)
+        kind = unicodedata.category(char)
+        form = unicodedata.decomposition(char)
+        if kind == "Cf" or kind[0] == "M" or form and " " not in form:
+            codes.add(code)
+        elif kind[0] in "LN" and form.startswith(_UNSEEN) and units(char) != char:
+            codes.add(code)
     ranges: list[list[int]] = []
-    for code in codes:
+    for code in sorted(codes):
         if ranges and ranges[-1][1] == code - 1:
             ranges[-1][1] = code
         else:
             ranges.append([code, code])
-    return r"[\p{M}" + "".join(f"\\x{{{low:x}}}-\\x{{{high:x}}}" for low, high in ranges) + "]"
+    return re.compile("[" + "".join(f"{re.escape(chr(low))}-{re.escape(chr(high))}" for low, high in ranges) + "]")
 
 
-def tidy(text: Column) -> Column:
-    """Ordinary blanks collapsed and trimmed; the other characters as they are stored."""
-    return F.regexp_replace(F.regexp_replace(text, r"[ \t\r\n]+", " "), r"^ | $", "")
+@cache
+def _even() -> dict[int, str]:
+    """Punctuation of another width, and blanks, by code point."""
+    source, target = _punctuation()
+    return {ord(char): form for char, form in zip(source + UNUSUAL_BLANKS, target + " " * len(UNUSUAL_BLANKS))}
 
 
-def unusual_row(text: Column) -> Column:
-    """Whether a text has a letter, mark or invisible character that may read like another."""
-    return F.coalesce(text.rlike(_unusual()), F.lit(False))
+_ORDINARY = re.compile(r"[ \t\r\n]+")
+_IDEOGRAPHS = "\u2e80-\u2fd5\u3400-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f"
+#: A word is a run of characters other than blanks and ideographs; an ideograph, with its marks, is a word.
+_WORDS = re.compile(f"\\s+|[{_IDEOGRAPHS}][\u0300-\u036f\ufe00-\ufe0f\u200b-\u200f\u2060-\u2064\ufeff\u00ad]*|[^\\s{_IDEOGRAPHS}]+")
+
+
+def tidy(text: str) -> str:
+    """Ordinary blanks collapsed and trimmed; the other characters as they are stored."""
+    return _ORDINARY.sub(" ", text).strip(" ")
 
 
-def _plain(text: Column) -> Column:
+def plain(text: str) -> str:
     """The part of the normalisation that needs no words: punctuation of another width, and blanks."""
-    source, target = _punctuation()
-    text = F.translate(text, source + UNUSUAL_BLANKS, target + " " * len(UNUSUAL_BLANKS))
-    return tidy(text)
+    return tidy(text if text.isascii() else text.translate(_even()))
+
+
+def is_odd(text: str) -> bool:
+    """Whether a text has a letter, mark or invisible character that may read like another."""
+    return not text.isascii() and _unusual().search(text) is not None
 
 
-#: A word is a run of characters other than blanks and ideographs; an ideograph is a word.
-_WORDS = r"(\s+|[\x{2e80}-\x{2fd5}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{2fa1f}]\p{M}*|[^\s\x{2e80}-\x{2fd5}\x{3400}-\x{9fff}\x{f900}-\x{faff}\x{20000}-\x{2fa1f}]+)"
 #: Letters that name a block, and the number of tries the blocks are spread over.
-_BLOCK, _TRIES = 3, 512
+_BLOCK, _TRIES = 3, 256
 
 
-@F.pandas_udf(T.StringType())
-def _block(words: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    for part in words:
-        yield part.map(lambda word: skeleton(word)[:_BLOCK], na_action="ignore")
+def vocabulary(df: DataFrame, fields: list[str]) -> DataFrame:
+    """(word, odd, block, n): the words of all rows, with what they may read as; combined within partitions."""
 
+    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
+        for batch in batches:
+            for column in batch.columns:
+                for text in column.to_pylist():
+                    if text:
+                        words.update(_WORDS.findall(plain(text)))
+            if len(words) > 200_000:
+                yield table(words)
+                words = Counter()
+        yield table(words)
 
-def spellings(words: DataFrame) -> DataFrame:
-    """(word, canonical) of the unusual words of (word, n): by trie within a block, else by table.
+    def table(words: Counter) -> pa.RecordBatch:
+        words.pop(" ", None)
+        odd = [is_odd(word) for word in words]
+        block = [(skeleton(word) if strange else word)[:_BLOCK] for word, strange in zip(words, odd)]
+        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(odd, pa.bool_()), pa.array(block, pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "odd", "block", "n"])
 
-    words may hold usual ones too; those share blocks with the unusual and are candidates.
-    """
-    words = words.withColumn("odd", unusual_row(F.col("word")))
-    odd = words.where("odd").withColumn("block", _block("word"))
-    usual = words.where(~F.col("odd")).withColumn("block", F.substring("word", 1, _BLOCK))
-    blocks = odd.select("block").distinct()
-    pool = odd.unionByName(usual.join(blocks, "block", "left_semi").select(*odd.columns))
+    rows = df.select(*[F.col(name) for name in fields])
+    return rows.mapInArrow(count, "word string, odd boolean, block string, n long").groupBy("word", "odd", "block").agg(F.sum("n").alias("n"))
+
+
+def spellings(words: DataFrame) -> DataFrame:
+    """(word, canonical) of the odd words of a vocabulary: by trie within a block, else by table."""
+    blocks = words.where("odd").select("block").distinct()
+    pool = words.join(blocks, "block", "left_semi")
 
     def settle(block: pd.DataFrame) -> pd.DataFrame:
         counts = dict(zip(block["word"], block["n"]))
@@ -222,34 +248,65 @@ def spellings(words: DataFrame) -> DataFrame:
     return pool.groupBy(salt("block", _TRIES).alias("trie")).applyInPandas(settle, "word string, canonical string")
 
 
-def consistent(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(id, <fields>, <field>_stored): each field in its consistent form, and as stored with blanks collapsed."""
-    rows = df.select(F.col(id_col).alias("id"), *[tidy(F.col(name)).alias(f"{name}_stored") for name in fields], *[_plain(F.col(name)).alias(name) for name in fields])
-    for name in fields:
-        rows = rows.withColumn(f"{name}_odd", unusual_row(F.col(name)))
-    long = rows.select("id", F.explode(F.array(*[F.struct(F.lit(name).alias("field"), F.col(name).alias("text"), F.col(f"{name}_odd").alias("odd")) for name in fields])).alias("f")).select("id", "f.*").where(F.col("text").isNotNull())
-    vocabulary = long.select(F.explode(F.regexp_extract_all("text", F.lit(_WORDS), 1)).alias("word")).where(~F.col("word").rlike(r"^\s")).groupBy("word").agg(F.count(F.lit(1)).alias("n"))
-    chosen = cut_lineage(spellings(vocabulary))
-    parts = long.where("odd").select("id", "field", F.posexplode(F.regexp_extract_all("text", F.lit(_WORDS), 1)).alias("at", "word"))
+def _digest(parts: list[str]) -> str:
+    return hashlib.md5("\x1f".join(parts).encode(), usedforsecurity=False).hexdigest()
+
+
+def _split(df: DataFrame, id_col: str, fields: list[str], with_text: bool) -> DataFrame:
+    """(id, stored, key, texts): stored hashes the stored texts; usual rows have the key (or with_text, texts), odd rows texts only.
+
+    With a null field, key and stored are null.
+    """
+
+    def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            columns = [column.to_pylist() for column in batch.columns]
+            stored, keys, odd, texts = [], [], [], []
+            for row in zip(*columns[1:]):
+                whole = None not in row
+                even = [plain(text) if text is not None else None for text in row]
+                strange = any(text is not None and is_odd(text) for text in even)
+                odd.append(strange)
+                stored.append(_digest([tidy(text) for text in row]) if whole else None)
+                keys.append(_digest(even) if whole and not strange else None)
+                texts.append(even if strange or with_text else None)
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stored, pa.string()), pa.array(keys, pa.string()), pa.array(odd, pa.bool_()), pa.array(texts, pa.list_(pa.string()))], names=["id", "stored", "key", "odd", "texts"])
+
+    return df.select(F.col(id_col).cast("long").alias("id"), *fields).mapInArrow(rows, "id long, stored string, key string, odd boolean, texts array<string>")
+
+
+def _mended(odd: DataFrame, df: DataFrame, fields: list[str]) -> DataFrame:
+    """The odd rows of _split with their texts in consistent form."""
+    chosen = cut_lineage(spellings(vocabulary(df, fields)))
+
+    def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(i, field, at, word) for i, texts in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for field, text in enumerate(texts) if text is not None for at, word in enumerate(_WORDS.findall(text) or [""])]
+            columns = list(zip(*out)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), pa.array(columns[1], pa.int32()), pa.array(columns[2], pa.int32()), pa.array(columns[3], pa.string())], names=["id", "field", "at", "word"])
+
+    parts = odd.select("id", "texts").mapInArrow(words, "id long, field int, at int, word string")
     joined = parts.join(chosen, "word", "left").groupBy("id", "field").agg(F.array_sort(F.collect_list(F.struct("at", F.coalesce("canonical", "word").alias("w")))).alias("ws"))
-    mended = joined.select("id", "field", tidy(F.array_join(F.col("ws.w"), "")).alias("mended"))
-    mended = mended.groupBy("id").agg(*[F.max(F.when(F.col("field") == name, F.col("mended"))).alias(f"{name}_new") for name in fields])
-    odd = F.lit(False)
-    for name in fields:
-        odd = odd | F.col(f"{name}_odd")
-    changed = rows.where(odd).join(mended, "id", "left")
-    out = [F.coalesce(F.col(f"{name}_new"), F.col(name)).alias(name) for name in fields] + [F.col(f"{name}_stored") for name in fields]
-    return changed.select("id", *out).unionByName(rows.where(~odd).select("id", *fields, *[f"{name}_stored" for name in fields]))
+    text = F.regexp_replace(F.regexp_replace(F.array_join(F.col("ws.w"), ""), r"[ \t\r\n]+", " "), "^ | $", "")
+    one = joined.select("id", "field", text.alias("text")).groupBy("id").agg(*[F.max(F.when(F.col("field") == i, F.col("text"))).alias(f"t{i}") for i in range(len(fields))])
+    return odd.drop("texts").join(one, "id").select("id", "stored", F.array(*[f"t{i}" for i in range(len(fields))]).alias("texts"))
+
+
+def consistent(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """(id, <fields>): each field in its consistent form."""
+    rows = cut_lineage(_split(df, id_col, fields, True))
+    all_rows = _mended(rows.where("odd"), df, fields).unionByName(rows.where("not odd").select("id", "stored", "texts"))
+    return all_rows.select("id", *[F.col("texts")[i].alias(name) for i, name in enumerate(fields)])
 
 
 def alike_pairs(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(id_a, id_b): rows whose fields (none null) all read the same while a stored text differs."""
-    rows = consistent(df, id_col, fields)
-    for name in fields:
-        rows = rows.where(F.col(name).isNotNull())
-    keyed = cut_lineage(rows.select("id", F.md5(F.concat_ws("\x1f", *fields)).alias("key"), F.md5(F.concat_ws("\x1f", *[f"{name}_stored" for name in fields])).alias("stored")))
+    rows = cut_lineage(_split(df, id_col, fields, False)).where("stored is not null")
+    odd = _mended(rows.where("odd"), df, fields).select("id", F.md5(F.array_join("texts", "\x1f")).alias("key"), "stored")
+    odd = cut_lineage(odd)
+    keyed = rows.where("not odd").select("id", "key", "stored").unionByName(odd)
     mixed = keyed.groupBy("key").agg(F.min("stored").alias("low"), F.max("stored").alias("high")).where("low <> high").select("key")
-    kept = keyed.join(mixed, "key", "left_semi")
+    kept = cut_lineage(keyed.join(mixed, "key", "left_semi"))
     left = kept.select("key", F.col("id").alias("id_a"), F.col("stored").alias("stored_a"))
     right = kept.select("key", F.col("id").alias("id_b"), F.col("stored").alias("stored_b"))
     return left.join(right, "key").where("id_a < id_b AND stored_a <> stored_b").select("id_a", "id_b")
