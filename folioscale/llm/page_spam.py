@@ -142,7 +142,17 @@ class Page:
         self.units = []
         for line in text.split("\n"):
             self.units += [unit for unit in map(str.strip, _SENTENCE.split(line) if len(line) > 40 else [line]) if unit]
-        self.words = [words_of(unit) for unit in self.units]
+
+        self._words: dict[int, list[str]] = {}
+
+    def words_at(self, at: int) -> list[str]:
+        if at not in self._words:
+            self._words[at] = words_of(self.units[at])
+        return self._words[at]
+
+    @cached_property
+    def words(self) -> list[list[str]]:
+        return [self.words_at(at) for at in range(len(self.units))]
 
     @cached_property
     def starts(self) -> list[int]:
@@ -187,7 +197,9 @@ class Page:
 
     def is_spam(self, at: int) -> bool:
         """Whether a unit is keywords, tags, menu entries, products or links rather than a sentence or a reference."""
-        unit, words = self.units[at], self.words[at]
+        unit = self.units[at]
+        if plainly_sentence(unit):
+            return False
         if "://" in unit or "www." in unit:
             links = _URL.findall(unit)
             if len(links) == 1 and _REFERENCE.search(unit):
@@ -199,12 +211,12 @@ class Page:
             tags = _HASHTAG.findall(unit)
             if len(tags) > 1 or tags and len(tags[0]) > 0.8 * len(unit):
                 return True
+        if len(unit) <= 2 * SHORT and (_LABEL.match(unit) or _SENTENCE_END.search(unit)):
+            return False
+        words = self.words_at(at)
         if not words:
             return False
         distinct = set(words)
-        # most sentences: enough different small words, few repetitions
-        if len(words) >= 2 * SHORT and len(distinct & SMALL_WORDS) >= 0.1 * len(words) and len(distinct) > 0.75 * len(words):
-            return False
         ideographs = sum(map(_is_ideograph, words))
         script = "ideographs" if ideographs * 2 > len(words) else "latin"
         small = sum(map(SMALL_WORDS.__contains__, words))
@@ -224,6 +236,19 @@ class Page:
         return one_subject and self.stuffed(at) >= REPETITIVE
 
 
+def plainly_sentence(unit: str) -> bool:
+    """Most sentences, told by enough different small words, few repetitions and no links or tags."""
+    if unit[-1] not in ".。!！?？" or "://" in unit or "#" in unit or "<" in unit or "www." in unit:
+        return False
+    words: list[str] | str = unit.lower().split()
+    if len(words) < SHORT:
+        if len(unit) < 2 * SHORT:
+            return False
+        words = unit
+    distinct = set(words)
+    return len(distinct & SMALL_WORDS) >= 0.1 * len(words) and len(distinct) > 0.75 * len(words)
+
+
 def _is_ideograph(word: str) -> bool:
     return "\u3400" <= word <= "\u9fff"
 
