@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from folioscale.functions.tiers import tier_rank
-from folioscale.llm import leaks, lookalikes, mixing, packing, page_spam, residue, survivors, text_dedup
+from folioscale.llm import leaks, lookalikes, mixing, names, packing, page_spam, residue, survivors, text_dedup
 from folioscale.llm.top_n import top_n
 from folioscale.runtime import read_table
 
@@ -32,6 +32,15 @@ def p1_unpacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.unpacked(read_table(spark, sf_dir, "dispatch_items"))
 
 
+def p2_found(spark: SparkSession, sf_dir: str) -> DataFrame:
+    found = names.clusters(read_table(spark, sf_dir, "source_papers"), "source_id", "author_full")
+    return names.same_pairs(found).select(F.col("id_a").alias("source_id_a"), F.col("id_b").alias("source_id_b"))
+
+
+def p2_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return names.clusters(read_table(spark, sf_dir, "source_papers"), "source_id", "author_full").select(F.col("id").alias("source_id"), "cluster")
+
+
 def p3_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return text_dedup.copies(read_table(spark, sf_dir, "papers"), "paper_id", ["year"], ["first_author", "title"])
 
@@ -106,6 +115,8 @@ QUERIES: dict[str, Query] = {
     "p1_batches": p1_batches,
     "p1_plan_totals": p1_plan_totals,
     "p1_unpacked": p1_unpacked,
+    "p2_found": p2_found,
+    "p2_clusters": p2_clusters,
     "p3_found": p3_found,
     "p3_records": p3_records,
     "p4_found": p4_found,
