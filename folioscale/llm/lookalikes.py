@@ -183,6 +183,8 @@ _ORDINARY = re.compile(r"[ \t\r\n]+")
 _IDEOGRAPHS = "\u2e80-\u2fd5\u3400-\u9fff\uf900-\ufaff\U00020000-\U0002fa1f"
 #: A word is a run of characters other than blanks and ideographs; an ideograph, with its marks, is a word.
 _WORDS = re.compile(f"\\s+|[{_IDEOGRAPHS}][\u0300-\u036f\ufe00-\ufe0f\u200b-\u200f\u2060-\u2064\ufeff\u00ad]*|[^\\s{_IDEOGRAPHS}]+")
+#: Words other than ideographs: a usual ideograph matters only where an odd one may read like it, so it is counted in odd texts.
+_RUNS = re.compile(f"[^\\s{_IDEOGRAPHS}]+")
 
 
 def tidy(text: str) -> str:
@@ -213,7 +215,8 @@ def vocabulary(df: DataFrame, fields: list[str]) -> DataFrame:
             for column in batch.columns:
                 for text in column.to_pylist():
                     if text:
-                        words.update(_WORDS.findall(plain(text)))
+                        even = plain(text)
+                        words.update((_WORDS if is_odd(even) else _RUNS).findall(even))
             if len(words) > 200_000:
                 yield table(words)
                 words = Counter()
@@ -277,7 +280,7 @@ def _split(df: DataFrame, id_col: str, fields: list[str], with_text: bool) -> Da
 
 def _mended(odd: DataFrame, df: DataFrame, fields: list[str]) -> DataFrame:
     """The odd rows of _split with their texts in consistent form."""
-    chosen = cut_lineage(spellings(vocabulary(df, fields)))
+    chosen = cut_lineage(spellings(cut_lineage(vocabulary(df, fields))))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
