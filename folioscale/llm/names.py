@@ -350,7 +350,7 @@ def clusters(rows: DataFrame, id_col: str, authors: str) -> DataFrame:
     # components are those of blocks (kind, start, head), whose first form names them
     component = connected_components(blocks.select(F.col("first").alias("id")), sides.select(F.col("form_a").alias("a"), F.col("form_b").alias("b")))
     placed = forms.join(blocks, ["kind", "start", "head"]).join(component.withColumnsRenamed({"id": "first"}), "first")
-    settled = placed.groupBy("component").applyInPandas(_settle, "form string, cluster string")
+    settled = placed.select("component", "form", "head", "given", "middle", "n").repartition("component").sortWithinPartitions("component").mapInPandas(_settle_all, "form string, cluster string")
     of_name = parsed.select("name", F.concat_ws("\x1f", "kind", "head", "given", "middle").alias("form")).join(settled, "form").select("name", "cluster")
     return named.join(of_name, "name").select("id", "cluster")
 
@@ -363,6 +363,27 @@ def _slips(pairs: DataFrame) -> DataFrame:
     return pairs.mapInArrow(keep, pairs.schema)
 
 
+def _settle_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Clusters of components that come one after the other; a component may go over several batches."""
+
+    def ready(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
+        alone = ~rows["component"].duplicated(keep=False)
+        yield pd.DataFrame({"form": rows.loc[alone, "form"], "cluster": rows.loc[alone, "form"]})
+        for _, component in rows[~alone].groupby("component", sort=False):
+            yield _settle(component)
+
+    rest: pd.DataFrame | None = None
+    for batch in batches:
+        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+        if not len(rows):
+            continue
+        open_end = rows["component"] == rows["component"].iloc[-1]
+        yield from ready(rows[~open_end])
+        rest = rows[open_end]
+    if rest is not None:
+        yield from ready(rest)
+
+
 def _settle(component: pd.DataFrame) -> pd.DataFrame:
     """Average linkage within a component; each cluster is named by its first form."""
     rows = component.sort_values("form", ignore_index=True)
