@@ -2,18 +2,21 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import DataFrame, SparkSession
 
+from folioscale.plans import screening
+from folioscale.plans.registry import Query
+
+_PARTS = (screening,)
+
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
-    raise NotImplementedError
+    return screening.direction_summary(spark, sf_dir)
 
 
-def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {}
+def queries() -> dict[str, Query]:
+    return {name: query for part in _PARTS for name, query in part.registry.queries.items()}
 
 
 def oracle() -> dict[str, str]:
-    return {}
+    return {name: sql for part in _PARTS for name, sql in part.registry.oracle().items()}
