@@ -200,10 +200,14 @@ def key_year_agrees(key: Column | str, year: Column | str) -> Column:
     return own == F.nullif(F.regexp_extract(F.coalesce(_c(year).cast("string"), F.lit("")), r"(\d{4})", 1), F.lit(""))
 
 
+#: Words left out of short file names.
+SLUG_STOP = tuple("a an the of in on for and or to with by from at is are was were be been its their this that these those as it not but into through between among using based via towards toward".split())
+
+
 def slug(column: Column | str, words: int = 4, length: int = 40) -> Column:
     """The first content words in lower case joined by _."""
-    found = F.regexp_extract_all(F.lower(F.coalesce(_c(column), F.lit(""))), F.lit(r"([\p{L}\p{N}]+)"), 1)
-    return F.left(F.array_join(F.slice(F.filter(found, lambda word: ~word.isin(*STOP_WORDS)), 1, words), "_"), F.lit(length))
+    found = F.regexp_extract_all(F.lower(F.coalesce(_c(column), F.lit(""))), F.lit("([a-z]+)"), 1)
+    return F.left(F.array_join(F.slice(F.filter(found, lambda word: ~word.isin(*SLUG_STOP)), 1, words), "_"), F.lit(length))
 
 
 def difference_part(column: Column | str, markers: tuple[str, ...] = ("差异：", "差异:", "区别：", "区别:"), length: int = 120) -> Column:
@@ -246,10 +250,12 @@ def review_score(novelty: Column, contribution: Column, feasibility: Column, tim
     return 2 * novelty + 2 * contribution + 1.5 * feasibility + timeliness + 1.5 * presentation
 
 
-def volume_label(volume: Column | str, month: Column | str, year: Column | str) -> Column:
-    """Vol{n}_{Month}_{Year} with defaults for what is missing."""
-    part = lambda column, default: F.coalesce(F.nullif(strip(_c(column).cast("string")), F.lit("")), F.lit(default))
-    return F.concat(F.lit("Vol"), part(volume, "0"), F.lit("_"), part(month, "Unknown"), F.lit("_"), part(year, "0000"))
+def volume_label(column: Column | str, default_date: str = "2026") -> Column:
+    """Vol{n}_{Month_Year} of a volume heading, with unknown and a default date for what is missing."""
+    text = F.coalesce(_c(column), F.lit(""))
+    number = F.nullif(F.regexp_extract(text, r"[Vv]ol(?:ume)?\.?\s*(\d+)", 1), F.lit(""))
+    date = F.nullif(F.regexp_extract(text, r"((?:January|February|March|April|May|June|July|August|September|October|November|December)\s+\d{4})", 1), F.lit(""))
+    return F.concat(F.lit("Vol"), F.coalesce(number, F.lit("unknown")), F.lit("_"), F.coalesce(F.replace(date, F.lit(" "), F.lit("_")), F.lit(default_date)))
 
 
 def palette(colours: Column | str, allowed: tuple[str, ...]) -> Column:
