@@ -14,7 +14,7 @@ from collections.abc import Callable
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
-_TOKENS = re.compile(r"""\s*(?:(?P<between>[A-Z]{2,3}\s+BETWEEN\s*\(\s*'[^']*'\s*,\s*'[^']*'\s*\))|(?P<field>[A-Z]{2,3})\s*(?P<op>%=|=|%)\s*(?=['(])|(?P<open>\()|(?P<close>\))|"(?P<phrase>[^"]*)"|'(?P<value>[^']*)'|(?P<word>[^\s()"']+))""")
+_TOKENS = re.compile(r"""\s*(?:(?P<between>[A-Z]{2,3}\s+BETWEEN\s*\(\s*'[^']*'\s*,\s*'[^']*'\s*\))|(?P<field>[A-Z]{2,3})\s*(?P<op>%=|=|%)|(?P<open>\()|(?P<close>\))|"(?P<phrase>[^"]*)"|'(?P<value>[^']*)'|(?P<word>[^\s()"']+))""")
 
 
 class SearchError(ValueError):

@@ -51,7 +51,11 @@ def valid(tags: Column | str) -> Column:
 
 def search(rows: DataFrame, tags: str, wanted: list[str], every: bool = False) -> DataFrame:
     """Rows of which any (or every) wanted tag is part of a tag, whatever the case; hits count every pair."""
-    pairs = [F.size(F.filter(tags, lambda t, w=w: F.contains(F.lower(t), F.lit(w.lower())))) for w in wanted]
+
+    def hits(word: str) -> Column:
+        return F.size(F.filter(tags, lambda tag: F.contains(F.lower(tag), F.lit(word.lower()))))
+
+    pairs = [hits(word) for word in wanted]
     found = [pair > 0 for pair in pairs]
     test = found[0]
     for other in found[1:]:

@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.plans import screening, texts
+from folioscale.plans import screening, tags, texts
 from folioscale.plans.registry import Query
 
-_PARTS = (screening, texts)
+_PARTS = (screening, tags, texts)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -75,7 +75,7 @@ r6 as (select *, budget - sum(q) over () as over_, row_number() over (order by q
 quotas as (select id, raw_demand, (q + case when place = 1 then over_ else 0 end)::bigint as quota from r6)"""
 
 
-def _quota_sql(budget: str) -> str:
+def quota_sql(budget: str) -> str:
     return _QUOTA_SQL.format(group=S.quota_group("tag"), budget=budget)
 
 
@@ -83,13 +83,13 @@ def _budget(directions: DataFrame) -> int:
     return directions.count() * BUDGET_PER_DIRECTION
 
 
-@query(lambda: f"with {_quota_sql(f'(select count(*) * {BUDGET_PER_DIRECTION} from directions)')} select id, round(raw_demand, 6) as raw_demand, quota from quotas")
+@query(lambda: f"with {quota_sql(f'(select count(*) * {BUDGET_PER_DIRECTION} from directions)')} select id, round(raw_demand, 6) as raw_demand, quota from quotas")
 def quota_apportion(spark: SparkSession, sf_dir: str) -> DataFrame:
     directions = read_table(spark, sf_dir, "directions")
     return allocation.apportion(directions, _budget(directions)).select("id", F.round("raw_demand", 6).alias("raw_demand"), "quota")
 
 
-@query(lambda: f"with {_quota_sql('(select count(*) * 5 from directions)')} select id, quota from quotas")
+@query(lambda: f"with {quota_sql('(select count(*) * 5 from directions)')} select id, quota from quotas")
 def quota_below_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A budget the least quotas exceed: the same for all, the residue to the first."""
     directions = read_table(spark, sf_dir, "directions")
@@ -97,7 +97,7 @@ def quota_below_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    lambda: f"""with {_quota_sql(f'(select count(*) * {BUDGET_PER_DIRECTION} from directions)')}, t as (select id, quota, ceil(quota * 0.25::double)::bigint as core, ceil(quota * 0.40::double)::bigint as important from quotas)
+    lambda: f"""with {quota_sql(f'(select count(*) * {BUDGET_PER_DIRECTION} from directions)')}, t as (select id, quota, ceil(quota * 0.25::double)::bigint as core, ceil(quota * 0.40::double)::bigint as important from quotas)
     select id, quota, core, case when quota - core - important < 0 then quota - core else important end as important, greatest(quota - core - important, 0) as backup from t"""
 )
 def quota_tier_split(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -118,14 +118,14 @@ def _truncated(quota: str, by: str) -> str:
 
 
 @query(
-    lambda: f"with {S.screened()}, {_DEDUP}, {_quota_sql(f'(select count(*) * {BUDGET_PER_DIRECTION} from directions)')}, joined as (select uniq.*, quota from uniq join quotas on quotas.id = uniq.direction), {_truncated('quota', 'direction')} select direction, ord, rank, place from kept"
+    lambda: f"with {S.screened()}, {_DEDUP}, {quota_sql(f'(select count(*) * {BUDGET_PER_DIRECTION} from directions)')}, joined as (select uniq.*, quota from uniq join quotas on quotas.id = uniq.direction), {_truncated('quota', 'direction')} select direction, ord, rank, place from kept"
 )
 def tier_capped_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return screening.merge(screening.screened(_papers(spark, sf_dir)), _quotas(spark, sf_dir)).select("direction", "ord", "rank", "place")
 
 
 @query(
-    lambda: f"""with {S.screened()}, {_DEDUP}, {_quota_sql(f'(select count(*) * {BUDGET_PER_DIRECTION} from directions)')},
+    lambda: f"""with {S.screened()}, {_DEDUP}, {quota_sql(f'(select count(*) * {BUDGET_PER_DIRECTION} from directions)')},
     joined as (select uniq.*, case when direction % 2 = 0 and is_cnki then 8 else quota end as own, case when direction % 2 <> 0 then 'all' when is_cnki then 'cnki' else 'wos' end as track from uniq join quotas on quotas.id = uniq.direction),
     {_truncated('own', 'direction, track')} select direction, track, ord, rank, place from kept"""
 )
@@ -136,7 +136,7 @@ def dual_track_truncation(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 @query(
-    lambda: f"with {S.screened()}, {_DEDUP}, {_quota_sql(f'(select count(*) * {BUDGET_PER_DIRECTION} from directions)')}, joined as (select uniq.*, quota from uniq join quotas on quotas.id = uniq.direction), {_truncated('quota', 'direction')} select direction, count(*) filter (rank = 0) as core, count(*) filter (rank = 1) as important, count(*) filter (rank = 2) as backup, count(*) as total from kept group by rollup (direction)"
+    lambda: f"with {S.screened()}, {_DEDUP}, {quota_sql(f'(select count(*) * {BUDGET_PER_DIRECTION} from directions)')}, joined as (select uniq.*, quota from uniq join quotas on quotas.id = uniq.direction), {_truncated('quota', 'direction')} select direction, count(*) filter (rank = 0) as core, count(*) filter (rank = 1) as important, count(*) filter (rank = 2) as backup, count(*) as total from kept group by rollup (direction)"
 )
 def direction_summary(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The flagship: merged records of each direction by tier, and all together."""
