@@ -225,5 +225,6 @@ def shares_reached(used: DataFrame, targets: DataFrame) -> DataFrame:
     """(source, target_share, max_repeats, tokens, share, most_uses) of each target."""
     by = used.groupBy("source").agg(F.sum(F.col("n_tokens") * F.col("uses")).alias("tokens"), F.max("uses").alias("most_uses"))
     joined = targets.join(by, "source", "left").select("source", "target_share", "max_repeats", F.coalesce("tokens", F.lit(0)).alias("tokens"), F.coalesce("most_uses", F.lit(0)).alias("most_uses"))
-    whole = joined.agg(F.sum("tokens").alias("whole"))
-    return joined.crossJoin(F.broadcast(whole)).select("source", "target_share", "max_repeats", "tokens", F.when(F.col("whole") > 0, F.col("tokens") / F.col("whole")).otherwise(0.0).alias("share"), "most_uses")
+    # as many rows as there are targets, so a window over all of them is small
+    whole = F.sum("tokens").over(Window.partitionBy(F.lit(0)))
+    return joined.select("source", "target_share", "max_repeats", "tokens", F.when(whole > 0, F.col("tokens") / whole).otherwise(0.0).alias("share"), "most_uses")
