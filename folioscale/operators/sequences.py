@@ -36,7 +36,7 @@ def ancestors(tree: DataFrame, ident: str, parent: str, depth: int) -> DataFrame
     edges = tree.select(F.col(ident).alias("id"), F.col(parent).alias("ancestor")).where("ancestor is not null")
     out = step = edges.withColumn("distance", F.lit(1))
     for distance in range(2, depth + 1):
-        up = edges.withColumnsRenamed({"id": "ancestor", "ancestor": "next"})
+        up = edges.select(F.col("id").alias("ancestor"), F.col("ancestor").alias("next"))
         step = step.join(up, "ancestor").select("id", F.col("next").alias("ancestor"), F.lit(distance).alias("distance"))
         out = out.unionByName(step)
     return out
