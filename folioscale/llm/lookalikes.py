@@ -275,7 +275,8 @@ def _split(df: DataFrame, id_col: str, fields: list[str], with_text: bool) -> Da
                 texts.append(even if strange or with_text else None)
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stored, pa.string()), pa.array(keys, pa.string()), pa.array(odd, pa.bool_()), pa.array(texts, pa.list_(pa.string()))], names=["id", "stored", "key", "odd", "texts"])
 
-    return df.select(F.col(id_col).cast("long").alias("id"), *fields).mapInArrow(rows, "id long, stored string, key string, odd boolean, texts array<string>")
+    named = [F.col(name).alias(f"text_{i}") for i, name in enumerate(fields)]
+    return df.select(F.col(id_col).cast("long").alias("id"), *named).mapInArrow(rows, "id long, stored string, key string, odd boolean, texts array<string>")
 
 
 def _mended(odd: DataFrame, df: DataFrame, fields: list[str]) -> DataFrame:

@@ -147,18 +147,10 @@ class Words:
     def is_given(self, word: str) -> bool:
         return word in self.given or word in FAMILIAR or self.given_name(word) in self.given
 
-    def body_word(self, word: str, dotted: bool) -> str | None:
-        """A common word of organisations, written out; None for a word that is none."""
-        if word in _KIND:
-            return _KIND[word]
-        if word in self.common and not dotted:
-            return word
-        if dotted or word in self.common:
-            longer = [other for other in self.common if len(other) > len(word) >= 3 and other.startswith(word)]
-            if longer:
-                return max(longer, key=lambda other: (self.common[other], other))
-            return word if word in self.common else None
-        return None
+    def written_out(self, word: str) -> str:
+        """A short form as the commonest word of organisations that it begins."""
+        longer = [other for other in self.common if len(other) > len(word) >= 3 and other.startswith(word)]
+        return max(longer, key=lambda other: (self.common[other], other), default=word)
 
     def parse(self, name: str) -> tuple[str, str, str, str] | None:
         """(kind, head, given, middle) of a folded name."""
@@ -170,21 +162,22 @@ class Words:
         return self._person(name)
 
     def _organisation(self, name: str) -> tuple[str, str, str, str] | None:
+        """Head is the rarest word, as a rule the place; short forms and words of kinds are never the head."""
         body, rest = [], []
         for token in _TOKEN.findall(name):
             word = token.rstrip(".").lower()
-            if word in _SMALL:
-                continue
-            known = self.body_word(word, token.endswith("."))
-            if known:
-                body.append(known)
-            else:
+            if word in _KIND:
+                body.append(_KIND[word])
+            elif token.endswith("."):
+                body.append(self.written_out(word))
+            elif word not in _SMALL:
                 rest.append(word)
         if not rest and not body:
             return None
-        head = max(rest, key=lambda word: (len(word), word)) if rest else " ".join(sorted(body))
-        rest = sorted(word for word in rest if word != head)
-        return ("organisation", head, " ".join(sorted(set(body)) + rest), "")
+        head = min(rest, key=lambda word: (self.common.get(word, 0), -len(word), word), default="")
+        if not head:
+            return ("organisation", " ".join(sorted(set(body))), "", "")
+        return ("organisation", head, " ".join(sorted({*body, *rest} - {head})), "")
 
     def _person(self, name: str) -> tuple[str, str, str, str] | None:
         family, comma, given = name.partition(",")

@@ -10,7 +10,8 @@ Defined results: rows without a group are left out (or kept as a group of
 their own with keep_null_group); a null order value ranks after all others;
 a group of fewer than N rows is returned whole; rows equal in all order
 columns are interchangeable, so the last order column should be unique;
-an empty table gives an empty table. Further columns pass through unchanged.
+an empty table gives an empty table. Further columns pass through unchanged;
+one named as the rank is replaced by it.
 """
 
 from __future__ import annotations
@@ -55,22 +56,23 @@ def top_n(df: DataFrame, group: str, order: list[tuple[str, bool]], n: int, rank
     keyed = df.withColumns(dict(zip(names, _keys(df, order))))
     if not keep_null_group:
         keyed = keyed.where(F.col(f"`{group}`").isNotNull())
-    kept = keyed.select(F.col(f"`{group}`").alias("g"), *names)
+    own = f"{_PREFIX}group"
+    kept = keyed.select(F.col(f"`{group}`").alias(own), *names)
 
     def local(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         best = None
         for batch in batches:
             best = batch if best is None else pd.concat([best, batch], ignore_index=True)
-            best = best.sort_values(names, ascending=False, kind="stable").groupby("g", sort=False, dropna=False).head(n)
+            best = best.sort_values(names, ascending=False, kind="stable").groupby(own, sort=False, dropna=False).head(n)
         if best is not None and len(best):
-            yield best[best.groupby("g", sort=False, dropna=False).cumcount() == n - 1]
+            yield best[best.groupby(own, sort=False, dropna=False).cumcount() == n - 1]
 
-    bounds = kept.mapInPandas(local, kept.schema).groupBy("g").agg(F.max(F.struct(*names)).alias(f"{_PREFIX}bound"))
+    bounds = kept.mapInPandas(local, kept.schema).groupBy(own).agg(F.max(F.struct(*names)).alias(f"{_PREFIX}bound"))
     bounds = broadcast_if_small(cut_lineage(bounds))
     survivors = (
-        keyed.join(bounds, F.col(f"`{group}`").eqNullSafe(F.col("g")), "left")
+        keyed.join(bounds, F.col(f"`{group}`").eqNullSafe(F.col(own)), "left")
         .where(F.col(f"{_PREFIX}bound").isNull() | (F.struct(*names) >= F.col(f"{_PREFIX}bound")))
-        .drop("g", f"{_PREFIX}bound")
+        .drop(own, f"{_PREFIX}bound")
     )
     window = Window.partitionBy(F.col(f"`{group}`")).orderBy(*[F.col(name).desc() for name in names])
     return survivors.withColumn(rank, F.row_number().over(window).cast("long")).where(F.col(rank) <= n).drop(*names)
