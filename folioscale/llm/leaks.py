@@ -43,7 +43,7 @@ MAX_GAP, MAX_SHIFT = 40, 20
 #: Words, or ideographs, of a run.
 RUN_WORDS, RUN_IDEOGRAPHS = 3, 6
 #: Share of a chain that another item's chain must overlap to compete with it, and the share of its cover at which both stand.
-OVERLAP, EQUAL = 0.5, 0.97
+OVERLAP, EQUAL = 0.5, 0.995
 
 _IDEOGRAPH = "㐀-鿿豈-﫿"
 _TOKEN = re.compile(f"[{_IDEOGRAPH}]|[^\\W_{_IDEOGRAPH}]+")

@@ -41,10 +41,14 @@ from folioscale.runtime import cut_lineage
 COMMON_SHARE = 3_000
 #: A given name one edit from a common one is a slip if the common one is this many times as frequent.
 SLIP_RATIO = 4
-#: Length of character n-grams, and the least cosine of joined heads.
-GRAM, LEAST_COSINE = 4, 0.22
+#: Length of character n-grams, and the least cosine of joined heads (two edits leave few n-grams of a word whole).
+GRAM, LEAST_COSINE = 4, 0.12
+#: Two edits join heads of at least this length only if one is this many times as frequent as the other, which is then taken for a slip.
+TWO_EDITS, TWO_EDITS_RATIO = 8, 3
 #: Agreement of an initial with a name, and the least mean similarity of clusters that are merged.
 INITIAL, LINK = 0.6, 0.42
+#: Agreement of heads by the edits between them.
+HEAD_AGREEMENT = (1.0, 0.85, 0.75, 0.7)
 
 #: Familiar forms and the names they stand for.
 FAMILIAR = {
@@ -118,6 +122,25 @@ def close(a: str, b: str) -> bool:
     return longer[at + 1 :] == shorter[at:]
 
 
+def edits(a: str, b: str, most: int = 2) -> int:
+    """Letters added, dropped, changed or exchanged with their neighbour; most + 1 if there are more."""
+    if abs(len(a) - len(b)) > most:
+        return most + 1
+    before: list[int] = []
+    last = list(range(len(b) + 1))
+    for i, x in enumerate(a, 1):
+        row = [i]
+        for j, y in enumerate(b, 1):
+            cost = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
+            if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
+                cost = min(cost, before[j - 2] + 1)
+            row.append(cost)
+        if min(row) > most:
+            return most + 1
+        before, last = last, row
+    return min(last[-1], most + 1)
+
+
 def is_organisation(name: str) -> bool:
     words = [token.rstrip(".").lower() for token in _TOKEN.findall(name)]
     return name.lstrip().startswith("{") or len(words) > 2 and any(_KIND.get(word) in _MARKS for word in words)
@@ -129,6 +152,7 @@ class Words:
     def __init__(self, given: dict[str, int], common: dict[str, int]) -> None:
         self.given, self.common = given, common
         self._near: dict[str, str] = {}
+        self._twice: dict[str, str] = {}
         self._by_length: dict[int, list[str]] = {}
         for word in given:
             self._by_length.setdefault(len(word), []).append(word)
@@ -144,6 +168,17 @@ class Words:
             self._near[word] = FAMILIAR.get(best, best)
         return self._near[word]
 
+    def slipped(self, word: str) -> str:
+        """As given_name, for a word in the place of a given name, which may have two slips."""
+        name = self.given_name(word)
+        if name != word or word in self.given or len(word) < 4:
+            return name
+        if word not in self._twice:
+            found = [other for size in range(len(word) - 2, len(word) + 3) for other in self._by_length.get(size, ()) if size > 3 and self.given[other] > 1 and edits(word, other) == 2]
+            best = max(found, key=self.given.__getitem__, default=word)
+            self._twice[word] = FAMILIAR.get(best, best)
+        return self._twice[word]
+
     def is_given(self, word: str) -> bool:
         return word in self.given or word in FAMILIAR or self.given_name(word) in self.given
 
@@ -206,13 +241,13 @@ class Words:
             word = token.rstrip(".")
             if at == 0 and len(tokens) > 1 and word.lower() in _TITLES and len(word) > 1:
                 continue
-            if len(word) == 2 and word.lower() not in FAMILIAR and word.lower() not in self.given:
+            if len(word) == 2 and (word.isupper() or word.lower() not in FAMILIAR and word.lower() not in self.given):
                 parts += list(word.lower())
             else:
                 parts.append(word.lower())
         if not parts:
             return "", ""
-        first = self.given_name(parts[0]) if len(parts[0]) > 1 else parts[0]
+        first = self.slipped(parts[0]) if len(parts[0]) > 1 else parts[0]
         return first, parts[1][0] if len(parts) > 1 else ""
 
 
@@ -280,9 +315,9 @@ def similar_heads(heads: DataFrame, least: float = LEAST_COSINE, gram: int = GRA
     index = unit.where(F.lit(1.0) - F.col("before") >= least * least)
     left = index.select("kind", "gram", F.col("head").alias("a"), F.col("first").alias("first_a"), F.col("last").alias("last_a"))
     right = index.select("kind", "gram", F.col("head").alias("b"), F.col("first").alias("first_b"), F.col("last").alias("last_b"))
-    # one edit moves an n-gram by one place at most
-    near = "a < b AND abs(length(a) - length(b)) <= 1 AND first_a <= last_b + 1 AND first_b <= last_a + 1"
-    pairs = left.join(right, ["kind", "gram"]).where(near).where("levenshtein(a, b, 2) >= 0").select("kind", "a", "b").distinct()
+    # two edits move an n-gram by two places at most; an exchange counts as two
+    near = "a < b AND abs(length(a) - length(b)) <= 2 AND first_a <= last_b + 2 AND first_b <= last_a + 2"
+    pairs = left.join(right, ["kind", "gram"]).where(near).where("levenshtein(a, b, 4) >= 0").select("kind", "a", "b").distinct()
     vectors = unit.groupBy("kind", "head").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"))
     both = pairs.join(vectors.select("kind", F.col("head").alias("a"), F.col("v").alias("va")), ["kind", "a"]).join(vectors.select("kind", F.col("head").alias("b"), F.col("v").alias("vb")), ["kind", "b"])
     cosine = F.aggregate(F.map_keys("va"), F.lit(0.0), lambda total, g: total + F.col("va")[g] * F.coalesce(F.try_element_at("vb", g), F.lit(0.0)))
@@ -337,8 +372,8 @@ def clusters(rows: DataFrame, id_col: str, authors: str) -> DataFrame:
     start = F.when(F.col("kind") == "person", F.substring("given", 1, 1)).otherwise(F.col("given"))
     forms = cut_lineage(forms.withColumn("start", start).withColumn("form", F.concat_ws("\x1f", "kind", "head", "given", "middle")))
     blocks = forms.groupBy("kind", "start", "head").agg(F.min("form").alias("first"))
-    heads = forms.where(F.col("kind").isin("person", "organisation")).select("kind", "head").distinct()
-    joined = _slips(cut_lineage(similar_heads(heads)))
+    heads = cut_lineage(forms.where(F.col("kind").isin("person", "organisation")).groupBy("kind", "head").agg(F.sum("n").alias("n")))
+    joined = _slips(cut_lineage(similar_heads(heads)), heads)
     sides = joined.join(blocks.withColumnsRenamed({"head": "a", "first": "form_a"}), ["kind", "a"]).join(blocks.withColumnsRenamed({"head": "b", "first": "form_b"}), ["kind", "b", "start"])
     # components are those of blocks (kind, start, head), whose first form names them
     component = connected_components(blocks.select(F.col("first").alias("id")), sides.select(F.col("form_a").alias("a"), F.col("form_b").alias("b")))
@@ -348,12 +383,23 @@ def clusters(rows: DataFrame, id_col: str, authors: str) -> DataFrame:
     return named.join(of_name, "name").select("id", "cluster")
 
 
-def _slips(pairs: DataFrame) -> DataFrame:
+def _slips(pairs: DataFrame, heads: DataFrame) -> DataFrame:
+    """Pairs of heads one edit apart, or two if one of them is rare beside the other."""
+    counts = heads.select("kind", "head", "n")
+    known = pairs.join(counts.withColumnsRenamed({"head": "a", "n": "n_a"}), ["kind", "a"]).join(counts.withColumnsRenamed({"head": "b", "n": "n_b"}), ["kind", "b"]).select("kind", "a", "b", "n_a", "n_b")
+
     def keep(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            yield batch.filter(pa.array([min(len(a), len(b)) > 4 and close(a, b) for a, b in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist())], pa.bool_()))
+            columns = [column.to_pylist() for column in batch.columns]
+            yield batch.filter(pa.array([_slip(a, b, n_a, n_b) for _, a, b, n_a, n_b in zip(*columns)], pa.bool_()))
+
+    return known.mapInArrow(keep, known.schema).select("kind", "a", "b")
+
 
-    return pairs.mapInArrow(keep, pairs.schema)
+def _slip(a: str, b: str, n_a: int, n_b: int) -> bool:
+    if close(a, b):
+        return min(len(a), len(b)) > 4
+    return min(len(a), len(b)) >= TWO_EDITS and max(n_a, n_b) >= TWO_EDITS_RATIO * min(n_a, n_b) and edits(a, b) == 2
 
 
 def _settle_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
@@ -388,9 +434,9 @@ def _settle(component: pd.DataFrame) -> pd.DataFrame:
     similarity = np.zeros((n, n))
     for i in range(n):
         for j in range(i):
-            if heads[i] == heads[j] or close(heads[i], heads[j]):
-                head = 1.0 if heads[i] == heads[j] else 1.0 - 1.0 / math.sqrt(1.0 + 4 * max(len(heads[i]), len(heads[j])))
-                similarity[i, j] = similarity[j, i] = head * _agreement(parts[i], parts[j])
+            # heads of one component are joined by slips, at least by way of a third
+            apart = edits(heads[i], heads[j], 3)
+            similarity[i, j] = similarity[j, i] = HEAD_AGREEMENT[apart] * _agreement(parts[i], parts[j]) if apart <= 3 else 0.0
     label = average_linkage(similarity, rows["n"].to_numpy(), LINK)
     return pd.DataFrame({"form": rows["form"], "cluster": [rows["form"][k] for k in label]})
 
