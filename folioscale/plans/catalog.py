@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.plans import relational, screening, tags, texts
+from folioscale.plans import relational, reports, screening, tags, texts
 from folioscale.plans.registry import Query
 
-_PARTS = (screening, tags, texts, relational)
+_PARTS = (screening, tags, texts, relational, reports)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:

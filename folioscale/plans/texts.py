@@ -179,18 +179,18 @@ def letter_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "role", "number").agg(F.count(F.lit(1)).alias("lines"))
 
 
-_COMMENTS = f"""{_LETTER}, rv as (select *, case when regexp_matches(bare, {_q(letters.MAJOR)}) then 'major' when regexp_matches(bare, {_q(letters.MINOR)}) then 'minor' end as heading from rl where role = 'reviewer'),
+COMMENTS = f"""{_LETTER}, rv as (select *, case when regexp_matches(bare, {_q(letters.MAJOR)}) then 'major' when regexp_matches(bare, {_q(letters.MINOR)}) then 'minor' end as heading from rl where role = 'reviewer'),
  nb as (select *, heading is null and regexp_matches(bare, {_q(letters.NUMBERED)}) as numbered from rv),
  ty as (select *, coalesce(last_value(heading ignore nulls) over w, 'major') as type, sum((numbered or heading is not null)::int) over w as block from nb window w as (partition by doc_id, number order by line_no rows unbounded preceding)),
  tx as (select doc_id, number, block, type, trim(string_agg(case when numbered then trim(regexp_replace(bare, {_q(letters.NUMBERED)}, ''), ' ') else line end, chr(10) order by line_no), ' ') as text from ty where heading is null group by all)"""
 
 
-@query(f"with {_COMMENTS} select doc_id, number, 'R' || number || case when type = 'minor' then '-m' else '-' end || row_number() over (partition by doc_id, number, type order by block) as comment_id, type from tx where length(text) >= 5")
+@query(f"with {COMMENTS} select doc_id, number, 'R' || number || case when type = 'minor' then '-m' else '-' end || row_number() over (partition by doc_id, number, type order by block) as comment_id, type from tx where length(text) >= 5")
 def comment_numbering(spark: SparkSession, sf_dir: str) -> DataFrame:
     return letters.comments(_docs(spark, sf_dir).where("source = 'decision_letters'"), "doc_id", "text").select("doc_id", "number", "comment_id", "type")
 
 
-@query(f"with {_COMMENTS} select number, count(*) filter (type = 'major') as major, count(*) filter (type = 'minor') as minor, count(distinct doc_id) as letters from tx where length(text) >= 5 group by number")
+@query(f"with {COMMENTS} select number, count(*) filter (type = 'major') as major, count(*) filter (type = 'minor') as minor, count(distinct doc_id) as letters from tx where length(text) >= 5 group by number")
 def reviewer_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = letters.comments(_docs(spark, sf_dir).where("source = 'decision_letters'"), "doc_id", "text")
     return rows.groupBy("number").agg(F.count_if(F.col("type") == "major").alias("major"), F.count_if(F.col("type") == "minor").alias("minor"), F.countDistinct("doc_id").alias("letters"))
