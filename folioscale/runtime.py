@@ -85,3 +85,29 @@ def numbered(rows: DataFrame, keys: list[str], order: str, into: str, buckets: i
         .withColumn(into, (F.col("_start") + F.col("_local")).cast("long"))
         .drop("_bucket", "_local", "_start")
     )
+
+
+def map_groups(df: DataFrame, key: str, function, schema: str) -> DataFrame:
+    """function(frame) for each group of a key, many small groups a task.
+
+    Rows are sorted within partitions and cut into groups as they stream by,
+    which spares what applyInPandas spends on every group. A group must fit
+    into memory, as there. function takes and returns a pandas DataFrame.
+    """
+    import pandas as pd
+
+    def run(batches):
+        rest = None
+        for batch in batches:
+            if not len(batch):
+                continue
+            rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
+            open_end = rows[key] == rows[key].iloc[-1]
+            done, rest = rows[~open_end], rows[open_end]
+            if len(done):
+                yield pd.concat([function(group) for _, group in done.groupby(key, sort=False)], ignore_index=True)
+        if rest is not None:
+            yield function(rest)
+
+    partitions = int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    return df.where(F.col(key).isNotNull()).repartition(partitions, key).sortWithinPartitions(key).mapInPandas(run, schema)

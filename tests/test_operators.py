@@ -163,3 +163,16 @@ def test_tag_search_and_ambiguity(spark):
 def test_braces(spark):
     rows = spark.createDataFrame([("{a{b}}",), ("}{",), ("{",), ("",)], "t string")
     assert [row[0] for row in rows.select(checks.braces(F.col("t"))).collect()] == [True, False, False, True]
+
+
+def test_map_groups_sees_whole_groups(spark):
+    from folioscale.runtime import map_groups
+
+    spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", "7")
+    try:
+        rows = spark.range(200).select((F.col("id") % 9).alias("k"), "id")
+        out = map_groups(rows, "k", lambda g: g.groupby("k", as_index=False).agg(n=("id", "count")), "k long, n long").collect()
+        assert sorted(map(tuple, out)) == [(k, len(range(k, 200, 9))) for k in range(9)]
+        assert map_groups(rows.limit(0), "k", lambda g: g, "k long, id long").count() == 0
+    finally:
+        spark.conf.unset("spark.sql.execution.arrow.maxRecordsPerBatch")
