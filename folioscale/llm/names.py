@@ -295,9 +295,12 @@ def average_linkage(similarity: np.ndarray, weights: np.ndarray, least: float) -
     return label
 
 
-def similar_heads(heads: DataFrame, least: float = LEAST_COSINE, gram: int = GRAM) -> DataFrame:
+def similar_heads(heads: DataFrame, least: float = LEAST_COSINE, gram: int = GRAM, starts: DataFrame | None = None) -> DataFrame:
     """(kind, a, b, cosine), a < b: heads of one kind whose weighted n-gram vectors have at least this cosine.
 
+    With starts (kind, head, start), only heads that have a start in common
+    are compared; the weights are those of all heads.
+
     Exact: a vector's n-grams are ordered by rarity and only those are indexed
     before which the remaining norm falls under the least cosine, since two
     vectors that share none of them cannot reach it.
@@ -313,11 +316,14 @@ def similar_heads(heads: DataFrame, least: float = LEAST_COSINE, gram: int = GRA
     unit = unit.withColumn("before", F.coalesce(F.sum(F.col("w") * F.col("w")).over(rare_first), F.lit(0.0)))
     unit = cut_lineage(unit.select("kind", "head", "gram", "w", "before", "first", "last"))
     index = unit.where(F.lit(1.0) - F.col("before") >= least * least)
-    left = index.select("kind", "gram", F.col("head").alias("a"), F.col("first").alias("first_a"), F.col("last").alias("last_a"))
-    right = index.select("kind", "gram", F.col("head").alias("b"), F.col("first").alias("first_b"), F.col("last").alias("last_b"))
+    keys = ["kind", "gram"]
+    if starts is not None:
+        index, keys = index.join(starts.select("kind", "head", "start").distinct(), ["kind", "head"]), ["kind", "gram", "start"]
+    left = index.select(*keys, F.col("head").alias("a"), F.col("first").alias("first_a"), F.col("last").alias("last_a"))
+    right = index.select(*keys, F.col("head").alias("b"), F.col("first").alias("first_b"), F.col("last").alias("last_b"))
     # two edits move an n-gram by two places at most; an exchange counts as two
     near = "a < b AND abs(length(a) - length(b)) <= 2 AND first_a <= last_b + 2 AND first_b <= last_a + 2"
-    pairs = left.join(right, ["kind", "gram"]).where(near).where("levenshtein(a, b, 4) >= 0").select("kind", "a", "b").distinct()
+    pairs = left.join(right, keys).where(near).where("levenshtein(a, b, 4) >= 0").select("kind", "a", "b").distinct()
     vectors = unit.groupBy("kind", "head").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"))
     both = pairs.join(vectors.select("kind", F.col("head").alias("a"), F.col("v").alias("va")), ["kind", "a"]).join(vectors.select("kind", F.col("head").alias("b"), F.col("v").alias("vb")), ["kind", "b"])
     cosine = F.aggregate(F.map_keys("va"), F.lit(0.0), lambda total, g: total + F.col("va")[g] * F.coalesce(F.try_element_at("vb", g), F.lit(0.0)))
@@ -371,9 +377,9 @@ def clusters(rows: DataFrame, id_col: str, authors: str) -> DataFrame:
     # names of one head agree only if their given names begin alike (organisations: if their bodies are equal)
     start = F.when(F.col("kind") == "person", F.substring("given", 1, 1)).otherwise(F.col("given"))
     forms = cut_lineage(forms.withColumn("start", start).withColumn("form", F.concat_ws("\x1f", "kind", "head", "given", "middle")))
-    blocks = forms.groupBy("kind", "start", "head").agg(F.min("form").alias("first"))
+    blocks = cut_lineage(forms.groupBy("kind", "start", "head").agg(F.min("form").alias("first")))
     heads = cut_lineage(forms.where(F.col("kind").isin("person", "organisation")).groupBy("kind", "head").agg(F.sum("n").alias("n")))
-    joined = _slips(cut_lineage(similar_heads(heads)), heads)
+    joined = _slips(cut_lineage(similar_heads(heads, starts=blocks)), heads)
     sides = joined.join(blocks.withColumnsRenamed({"head": "a", "first": "form_a"}), ["kind", "a"]).join(blocks.withColumnsRenamed({"head": "b", "first": "form_b"}), ["kind", "b", "start"])
     # components are those of blocks (kind, start, head), whose first form names them
     component = connected_components(blocks.select(F.col("first").alias("id")), sides.select(F.col("form_a").alias("a"), F.col("form_b").alias("b")))
