@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscale.operators.graph import connected_components
-from folioscale.runtime import cut_lineage
+from folioscale.runtime import attach_group, cut_lineage
 
 #: A token is common if it makes up more than 1/COMMON_SHARE of the tokens of its kind.
 COMMON_SHARE = 3_000
@@ -385,8 +385,8 @@ def clusters(rows: DataFrame, id_col: str, authors: str) -> DataFrame:
     component = connected_components(blocks.select(F.col("first").alias("id")), sides.select(F.col("form_a").alias("a"), F.col("form_b").alias("b")))
     placed = forms.join(blocks, ["kind", "start", "head"]).join(component.withColumnsRenamed({"id": "first"}), "first")
     settled = placed.select("component", "form", "head", "given", "middle", "n").repartition("component").sortWithinPartitions("component").mapInPandas(_settle_all, "form string, cluster string")
-    of_name = parsed.select("name", F.concat_ws("\x1f", "kind", "head", "given", "middle").alias("form")).join(settled, "form").select("name", "cluster")
-    return named.join(of_name, "name").select("id", "cluster")
+    of_name = parsed.select("name", "n", F.concat_ws("\x1f", "kind", "head", "given", "middle").alias("form")).join(settled, "form").select("name", "n", "cluster")
+    return attach_group(named, of_name, ["name"], "n").select("id", "cluster")
 
 
 def _slips(pairs: DataFrame, heads: DataFrame) -> DataFrame:
