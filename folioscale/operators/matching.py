@@ -23,10 +23,15 @@ def blocked_match(papers: DataFrame, entries: DataFrame) -> DataFrame:
     known = left.join(sizes, ["surname", "year"], "left")
     single = known.where(F.coalesce("candidates", F.lit(0)) <= 1).select("ord", F.col("only").alias("entry_ord"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
     several = known.where("candidates > 1").select("ord", "surname", "year", "form", "candidates")
-    # a shared start has min(lengths, 40) characters, so one equality join per length is not needed: compare within the block
-    length = F.least(F.length("form"), F.length("entry_form"), F.lit(40))
-    pairs = several.join(right, ["surname", "year"]).withColumn("score", F.when(F.left("form", length) == F.left("entry_form", length), length).otherwise(0)).where("score > 0")
-    best = pairs.groupBy("ord").agg(F.min_by("entry_ord", F.struct((-F.col("score")).alias("s"), "entry_ord")).alias("entry_ord"))
+    # the shared start is the whole of the shorter title, or 40 characters: three equality joins, so no block is paired with itself
+    crowded = right.join(sizes.where("candidates > 1").select("surname", "year"), ["surname", "year"], "left_semi").where("entry_form <> ''")
+    block, first = ["surname", "year", "start"], F.min("entry_ord").alias("entry_ord")
+    starts = lambda form, most: F.explode(F.transform(F.sequence(F.lit(1), most), lambda n: F.substring(form, F.lit(1), n))).alias("start")
+    long = several.where(F.length("form") >= 40).withColumn("start", F.left("form", F.lit(40))).join(crowded.where(F.length("entry_form") >= 40).groupBy("surname", "year", F.left("entry_form", F.lit(40)).alias("start")).agg(first), block)
+    shorter = several.where("form <> ''").select("ord", "surname", "year", starts("form", F.least(F.length("form"), F.lit(39)))).join(crowded.where(F.length("entry_form") < 40).groupBy("surname", "year", F.col("entry_form").alias("start")).agg(first), block)
+    longer = several.where((F.length("form") < 40) & (F.col("form") != "")).withColumn("start", F.col("form")).join(crowded.where(F.length("entry_form") > 1).select("surname", "year", "entry_ord", starts("entry_form", F.least(F.length("entry_form") - 1, F.lit(39)))).groupBy(*block).agg(first), block)
+    pick = lambda rows: rows.select("ord", "entry_ord", F.length("start").alias("score"))
+    best = pick(long).unionByName(pick(shorter)).unionByName(pick(longer)).groupBy("ord").agg(F.min_by("entry_ord", F.struct((-F.col("score")).alias("s"), "entry_ord")).alias("entry_ord"))
     return single.unionByName(several.join(best, "ord", "left").select("ord", "entry_ord", "candidates"))
 
 

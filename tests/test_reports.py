@@ -87,3 +87,10 @@ def test_letters(spark):
     assert {row.role for row in letters.letter_lines(docs, "doc_id", "text").where("line <> ''").collect()} == {"editor", "ae", "reviewer"}
     tags = spark.createDataFrame([("Results", "crisis"), ("Conclusion", None), (None, None), ("研究方法", ""), ("Discussion", "")], "a string, b string")
     assert [row.x for row in tags.select(letters.section_tags(F.col("a"), F.col("b"), 2).alias("x")).collect()] == [["DISC-RQ2"], ["LR"], ["LR"], ["METHOD-基础"], ["DISC-RQ1", "DISC-RQ2"]]
+
+
+def test_pool_entries(spark):
+    text = "### p1\n- citation_key: a2020x\n- 分级：核心\n- **作者**: {{author}}\n## p2\n- 场景: no key\n### p3\nprose only\n### p4\nKey: b2021y\nkey: c2022z"
+    entries, failed = letters.pool_entries(spark.createDataFrame([(1, text)], "doc_id int, text string"), "doc_id", "text")
+    assert [(row.title, row.fields) for row in entries.orderBy("block").collect()] == [("p1", {"citation_key": "a2020x", "分级": "核心"}), ("p4", {"citation_key": "c2022z"})]
+    assert [row.title for row in failed.collect()] == ["p2"]
