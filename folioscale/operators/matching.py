@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscale.functions import text as X
-from folioscale.runtime import broadcast_if_small
+from folioscale.runtime import broadcast_if_small, cut_lineage
 
 
 def blocked_match(papers: DataFrame, entries: DataFrame) -> DataFrame:
@@ -18,7 +18,8 @@ def blocked_match(papers: DataFrame, entries: DataFrame) -> DataFrame:
     title. Result: ord, entry_ord, candidates.
     """
     side = lambda rows: rows.select("ord", X.lead_author("author").alias("surname"), F.coalesce(F.left(F.col("year").cast("string"), F.lit(4)), F.lit("")).alias("year"), F.coalesce(X.normalize("title"), F.lit("")).alias("form"))
-    left, right = side(papers), side(entries).withColumnsRenamed({"ord": "entry_ord", "form": "entry_form"})
+    # normalised once: the forms are read several times
+    left, right = cut_lineage(side(papers)), cut_lineage(side(entries)).withColumnsRenamed({"ord": "entry_ord", "form": "entry_form"})
     sizes = right.groupBy("surname", "year").agg(F.count(F.lit(1)).alias("candidates"), F.min("entry_ord").alias("only"))
     known = left.join(sizes, ["surname", "year"], "left")
     single = known.where(F.coalesce("candidates", F.lit(0)) <= 1).select("ord", F.col("only").alias("entry_ord"), F.coalesce("candidates", F.lit(0)).alias("candidates"))
@@ -41,7 +42,7 @@ def selected_entries(entries: DataFrame, selected: DataFrame, scope: list[str])
     Three semi joins on equal keys, never one join on an OR. Both sides: ord, author, year, title, and the columns of scope.
     """
     form = lambda rows: rows.withColumns({"form": F.coalesce(X.normalize("title"), F.lit("")), "surname": X.lead_author("author"), "y": F.coalesce(F.col("year").cast("string"), F.lit(""))})
-    left, right = form(entries), form(selected)
+    left, right = cut_lineage(form(entries).select("ord", *scope, "form", "surname", "y")), cut_lineage(form(selected).select(*scope, "form", "surname", "y"))
     cut = lambda rows, n: rows.where(F.length("form") >= (30 if n == 60 else 20)).withColumn("start", F.left("form", F.lit(n)))
     by_title = left.where("form <> ''").join(right.select(*scope, "form").distinct(), [*scope, "form"], "left_semi").select("ord")
     by_start = cut(left, 60).join(cut(right, 60).select(*scope, "y", "start").distinct(), [*scope, "y", "start"], "left_semi").select("ord")
@@ -52,7 +53,7 @@ def selected_entries(entries: DataFrame, selected: DataFrame, scope: list[str])
 def unmatched(selected: DataFrame, kept: DataFrame) -> DataFrame:
     """Selected records of which no kept entry has the title or its first 60 characters."""
     form = lambda rows: rows.withColumn("form", F.coalesce(X.normalize("title"), F.lit(""))).withColumn("start", F.left("form", F.lit(60)))
-    left, right = form(selected), form(kept)
+    left, right = cut_lineage(form(selected)), cut_lineage(form(kept).select("form", "start").distinct())
     rest = left.join(right.select("form").distinct(), "form", "left_anti")
     return rest.join(right.select("start").distinct(), "start", "left_anti").drop("form", "start")
 
