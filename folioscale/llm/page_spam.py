@@ -39,8 +39,8 @@ from pyspark.sql import functions as F
 SKETCH, BLOCKS = 1 << 21, 32
 #: Neighbours with a PMI below this meet no more often than by chance (a third of a nat is noise).
 CHANCE = 1.0
-#: A unit is incoherent if at least this share of its neighbours meets by chance.
-INCOHERENT = 0.08
+#: A unit is incoherent if at least this share of its neighbours meets by chance, and salad whatever else it has if this share does.
+INCOHERENT, SALAD = 0.08, 0.14
 #: A collocation recurs if a text has it this often; a unit is repetitive if at least this share of its collocations recurs.
 RECURS, REPETITIVE = 3, 0.34
 #: Least share of small words in a sentence, by script; a unit below is a list of names.
@@ -226,6 +226,9 @@ class Page:
             if _LABEL.match(unit) or _SENTENCE_END.search(unit):
                 return False
             return self.times[unit] > 1 or small < 0.34 * len(words) and self.stuffed(at) >= REPETITIVE
+        # no sentence is this long without coherence, whatever small words its entries have
+        if length > 2 * KEYWORD_LINE and self.salad(at) >= SALAD:
+            return True
         if script == "ideographs":
             one_subject = len(set(zip(words, words[1:]))) <= ONE_SUBJECT[script] * (len(words) - 1)
         else:
