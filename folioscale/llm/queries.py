@@ -19,6 +19,12 @@ def p1_batches(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.batches(read_table(spark, sf_dir, "dispatch_items"))
 
 
+def p1_items(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The batch of every item, or of each piece of an item over the limit."""
+    packed = packing.pack(read_table(spark, sf_dir, "dispatch_items"), "item_id", "plan_id", "item_count", "batch_limit")
+    return packed.select(F.col("plan").alias("plan_id"), F.col("limit").alias("batch_limit"), F.col("bin").alias("batch_no"), "capacity", F.col("item").alias("item_id"), "piece_no", F.col("size").alias("item_count"))
+
+
 def p1_plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Per plan and limit: records packed, pieces, and records of items that were split."""
     items = read_table(spark, sf_dir, "dispatch_items")
@@ -113,6 +119,7 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 QUERIES: dict[str, Query] = {
     "p1_batches": p1_batches,
+    "p1_items": p1_items,
     "p1_plan_totals": p1_plan_totals,
     "p1_unpacked": p1_unpacked,
     "p2_found": p2_found,

@@ -56,6 +56,8 @@ def test_batches_hold_every_item_once(spark):
     table = spark.createDataFrame([*items, items[-1], items[0]], ITEMS)
     batches = packing.batches(table).collect()
     check_batches(items, batches)
+    numbers = Counter((row.plan_id, row.batch_limit, row.batch_no) for row in batches)
+    assert set(numbers.values()) == {1} and all(sorted(n for p, l, n in numbers if (p, l) == key) == list(range(sum(1 for p, l, _ in numbers if (p, l) == key))) for key in {(p, l) for p, l, _ in numbers})
     assert {row.item_id: row.state for row in packing.unpacked(table).collect() if row.item_id >= 900} == {900: "no plan", 901: "no limit", 902: "no limit"}
     assert [row.tags for row in batches if row.plan_id == 4] == [["q"]]
     assert packing.batches(table.limit(0)).count() == 0
