@@ -1,13 +1,18 @@
 """Template residue, filler, error pages and script notices in place of content.
 
-Fields are cut into lines. Lines with their digits masked are counted by the
-hosts they come from; a line that many hosts share is boilerplate (a common
-form of words) and is subtracted. What remains is searched for evidence:
+Fields are cut into lines. All lines, with their digits masked, are counted by
+the hosts they come from in one pre-aggregated pass; a form of words that makes
+up a certain share of all lines and that no host has mostly to itself is
+boilerplate and is subtracted. Both conditions are shares, so a line is judged
+alike in a small and in a large table. The residual is searched for evidence:
 placeholders left open, filler, messages of tools and sites, notices that
-scripts are needed. Unmistakable evidence (template syntax, tracebacks,
-status pages) counts in any line, since residue may recur as well; words that
-ordinary notes also use count in the residual only, and only where the line
-has no reference to a section, which an unfilled note lacks.
+scripts are needed, and words of such messages that ordinary notes also use,
+unless the line has a reference to a section, which an unfilled note lacks.
+Since residue may recur as well, the distinct lines of boilerplate are searched
+too, and those with unmistakable evidence (template syntax, tracebacks, status
+pages) are protected from the subtraction. Keys are read by their form; a key
+of no real form that several hosts have is residue too, since a key names one
+work. (Keys of real form collide by chance, so their counts tell nothing.)
 
 Defined results: null, blank and missing-value marks (—, -, N/A, 无) are no
 evidence; a record is excluded once, whatever the number of its fields with
@@ -19,8 +24,12 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: A line seen with at least this many hosts is boilerplate.
-BOILERPLATE_HOSTS = 8
+#: A form of words is boilerplate if it makes up at least 1/RECURS of all lines (so at most RECURS are) ...
+RECURS = 500
+#: ... and no host has more than 1/SPREAD of its lines beyond the host's own share of all lines, and it was seen this often at least.
+SPREAD = 8
+#: A key of no real form is residue if at least this many hosts have it.
+KEY_HOSTS = 2
 
 #: Names of slots in templates.
 SLOTS = r"(?:scen(?:e|ario)s?|usage|chapter|section(?:_no)?|claim(?:_text)?|title|author|surname|year|letter|key|cite_?key|bib_?key|citation_key|text|name|value|reason|[a-z]+[._][a-z._]+|row\[\d+\]|[^\s<>\[\]{}]*(?:章节|论点|观点|场景|填写|题名|引用键|文献键|此处)[^\s<>\[\]{}]*)"
@@ -77,7 +86,6 @@ FALSE_KEYS = r"(?i)^\W*(?:todo|tbd|fixme|xxx+|test|foo|bar|asdf|qwerty?|abc\d*|k
 
 
 
-
 def _matches(text: Column, patterns: list[str]) -> Column:
     out = F.lit(False)
     for pattern in patterns:
@@ -97,7 +105,7 @@ def evident(line: Column) -> Column:
 
 def false_key(key: Column) -> Column:
     """Whether a citation key holds residue: evidence as in a text, or a word that stands for a key. Forms of real keys pass."""
-    return (~key.rlike(REAL_KEY) | key.contains("__")) & (evident(key) | key.rlike(FALSE_KEYS)) | key.rlike(r"^(?i:none|nan|null|undefined|todo)[-_]?\d{4}")
+    return (~key.rlike(REAL_KEY) | key.contains("__")) & (evident(key) | key.rlike(FALSE_KEYS)) | key.rlike(r"^(?i:none|nan|null|undefined|todo|tbd|fixme|xxx+|lorem|lastname)[-_]?\d{4}")
 
 
 def masked(line: Column) -> Column:
@@ -109,12 +117,26 @@ def residue(df: DataFrame, id_col: str, key: str | None, texts: list[str], host:
     """(id) of the records to exclude. `texts` are searched as lines, `key` as a citation key; `host` names where a record is from."""
     rows = df.select(F.col(id_col).alias("id"), F.col(host).alias("host"), *([F.col(key).alias("key")] if key else []), F.array(*[F.col(name) for name in texts]).alias("texts"))
     lines = rows.select("id", "host", F.explode("texts").alias("text")).where(~missing(F.col("text"))).select("id", "host", F.explode(F.split("text", LINES)).alias("line")).where(~missing(F.col("line")))
-    hard = lines.where(evident(F.col("line"))).select("id")
-    # only lines with ambiguous words need the counts, which are taken over all records
-    doubtful = lines.where(F.col("line").rlike(AMBIGUOUS) & ~F.col("line").rlike(REFERENCE)).select("id", "host", masked(F.col("line")).alias("form"))
-    counts = doubtful.groupBy("form").agg(F.approx_count_distinct(F.coalesce("host", F.lit(""))).alias("hosts"))
-    soft = doubtful.join(counts.where(F.col("hosts") >= BOILERPLATE_HOSTS), "form", "left_anti").select("id")
-    found = hard.unionByName(soft)
+    lines = lines.withColumn("form", masked(F.col("line")))
+    boilerplate = F.broadcast(shared_forms(lines))
+    line = F.col("line")
+    residual = lines.join(boilerplate, "form", "left_anti").where(evident(line) | line.rlike(AMBIGUOUS) & ~line.rlike(REFERENCE)).select("id")
+    subtracted = lines.join(boilerplate, "form", "left_semi")
+    protected = subtracted.select("line").distinct().where(evident(line))
+    found = residual.unionByName(subtracted.join(protected, "line", "left_semi").select("id"))
     if key:
-        found = found.unionByName(rows.where(~missing(F.col("key")) & false_key(F.trim("key"))).select("id"))
+        keys = rows.where(~missing(F.col("key"))).select("id", "host", F.trim("key").alias("key"))
+        odd = keys.where(~F.col("key").rlike(REAL_KEY) & F.col("host").isNotNull())
+        common = odd.groupBy("key", "host").agg(F.lit(1).alias("one")).groupBy("key").agg(F.count("one").alias("hosts")).where(F.col("hosts") >= KEY_HOSTS)
+        found = found.unionByName(keys.where(false_key(F.col("key"))).select("id")).unionByName(keys.where(~F.col("key").rlike(REAL_KEY)).join(common, "key", "left_semi").select("id"))
     return found.distinct()
+
+
+def shared_forms(lines: DataFrame) -> DataFrame:
+    """(form) of the boilerplate among lines (host, form), at most RECURS; hosts are counted exactly."""
+    by_host = lines.groupBy("form", F.coalesce("host", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
+    shares = by_host.groupBy("host").agg(F.sum("n").alias("of_host"))
+    shares = shares.crossJoin(F.broadcast(shares.agg(F.sum("of_host").alias("of_all")))).withColumn("share", F.col("of_host") / F.col("of_all"))
+    excess = by_host.join(shares, "host").groupBy("form").agg(F.sum("n").alias("n"), F.first("of_all").alias("of_all"), F.count(F.lit(1)).alias("hosts"), F.collect_list(F.struct("n", "share")).alias("parts"))
+    even = F.forall("parts", lambda part: part["n"] <= F.col("n") * (part["share"] + 1 / SPREAD))
+    return excess.where((F.col("n") >= SPREAD) & (F.col("n") * RECURS >= F.col("of_all")) & (F.col("hosts") > 1) & even).select("form")

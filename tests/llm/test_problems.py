@@ -236,6 +236,12 @@ def test_residue_subtracts_boilerplate(spark):
     assert residue.residue(table.limit(0), "entry_id", "citation_key", ["note"], "journal").count() == 0
 
 
+def test_residue_in_keys_by_hosts(spark):
+    rows = [(1, "qqq0000x", "J1"), (2, "qqq0000x", "J2"), (3, "cn0_20_2022l", "J1"), (4, "cn0_20_2022l", "J1"), (5, "stotekupem2014d", "J1"), (6, "stotekupem2014d", "J2"), (7, "fixme2022x", "J1"), (8, "lorem2021i", "J1"), (9, "cn0_20_2022l", None)]
+    table = spark.createDataFrame(rows, "entry_id long, citation_key string, journal string").withColumn("note", F.lit("a note"))
+    assert sorted(row.id for row in residue.residue(table, "entry_id", "citation_key", ["note"], "journal").collect()) == [1, 2, 7, 8]
+
+
 # 6 look-alikes
 
 PIECES = ["a", "а", "ａ", "é", "é", "e", "​", " ", " ", "  ", "x", "х", "ﬁ", "fi", "人", "⼈", "：", ":", "2", "₂", "２", "o", "ο", "\t", "-", "‐"]
