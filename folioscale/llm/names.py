@@ -6,7 +6,10 @@ family name, the place of an organisation) becomes a vector of character
 n-grams weighted by inverse frequency, and a distributed sparse join finds the
 pairs of nearly equal ones: only the rarest n-grams of a vector are indexed,
 as many as a pair above the least cosine must share one of (so no pair is
-lost), and pairs are confirmed by their edits. Names whose heads are equal or
+lost). Slips may leave too few n-grams whole for that, so heads that become
+equal when a letter (or two, of long heads) is dropped from each are candidates
+as well, which misses no pair within these edits. Pairs are confirmed by their
+edits. Names whose heads are equal or
 joined, and whose given names may be the same, form a graph; within each of
 its components average-linkage clustering, on head cosine times given-name
 agreement, decides which belong together.
@@ -27,6 +30,7 @@ import math
 import re
 import unicodedata
 from collections.abc import Iterator
+from itertools import combinations
 
 import numpy as np
 import pandas as pd
@@ -45,6 +49,8 @@ SLIP_RATIO = 4
 GRAM, LEAST_COSINE = 4, 0.12
 #: Two edits join heads of at least this length only if one is this many times as frequent as the other, which is then taken for a slip.
 TWO_EDITS, TWO_EDITS_RATIO = 8, 3
+#: Shorter heads are joined only if equal: one edit makes another name of them.
+LEAST_HEAD = 5
 #: Agreement of an initial with a name, and the least mean similarity of clusters that are merged.
 INITIAL, LINK = 0.6, 0.42
 #: Agreement of heads by the edits between them.
@@ -330,6 +336,37 @@ def similar_heads(heads: DataFrame, least: float = LEAST_COSINE, gram: int = GRA
     return both.select("kind", "a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least)
 
 
+def dropped(head: str) -> set[str]:
+    """A head with up to one letter dropped, or two if it is long enough for two edits."""
+    found = {head}
+    for _ in range(2 if len(head) >= TWO_EDITS else 1):
+        found |= {word[:at] + word[at + 1 :] for word in found for at in range(len(word))}
+    return found
+
+
+def near_heads(heads: DataFrame) -> DataFrame:
+    """(kind, a, b), a < b: heads of one kind that become equal by dropping letters.
+
+    Exact: each edit, an exchange of neighbours included, is undone by dropping
+    one letter at most from each side, so every pair that _slip accepts is here.
+    """
+
+    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(kind, head, word) for kind, head in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for word in dropped(head)]
+            yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], pa.string()) for i in range(3)], names=["kind", "head", "word"])
+
+    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = [(kind, a, b) for kind, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, b in combinations(sorted(group), 2) if abs(len(a) - len(b)) <= 2]
+            yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], pa.string()) for i in range(3)], names=["kind", "a", "b"])
+
+    words = heads.where(F.length("head") >= LEAST_HEAD).select("kind", "head").mapInArrow(drop, "kind string, head string, word string")
+    # equal hashes of different words only add candidates
+    groups = words.groupBy("kind", F.xxhash64("word").alias("word")).agg(F.collect_set("head").alias("group")).where(F.size("group") > 1)
+    return groups.select("kind", "group").mapInArrow(pair, "kind string, a string, b string").distinct()
+
+
 def _common(tokens: DataFrame) -> dict[str, int]:
     """Tokens (token, n) with more than 1/COMMON_SHARE of all, by count; at most COMMON_SHARE."""
     counts = tokens.groupBy("token").agg(F.sum("n").alias("n"))
@@ -379,7 +416,8 @@ def clusters(rows: DataFrame, id_col: str, authors: str) -> DataFrame:
     forms = cut_lineage(forms.withColumn("start", start).withColumn("form", F.concat_ws("\x1f", "kind", "head", "given", "middle")))
     blocks = cut_lineage(forms.groupBy("kind", "start", "head").agg(F.min("form").alias("first")))
     heads = cut_lineage(forms.where(F.col("kind").isin("person", "organisation")).groupBy("kind", "head").agg(F.sum("n").alias("n")))
-    joined = _slips(cut_lineage(similar_heads(heads, starts=blocks)), heads)
+    candidates = similar_heads(heads, starts=blocks).select("kind", "a", "b").unionByName(near_heads(heads)).distinct()
+    joined = _slips(cut_lineage(candidates), heads)
     sides = joined.join(blocks.withColumnsRenamed({"head": "a", "first": "form_a"}), ["kind", "a"]).join(blocks.withColumnsRenamed({"head": "b", "first": "form_b"}), ["kind", "b", "start"])
     # components are those of blocks (kind, start, head), whose first form names them
     component = connected_components(blocks.select(F.col("first").alias("id")), sides.select(F.col("form_a").alias("a"), F.col("form_b").alias("b")))
@@ -404,7 +442,7 @@ def _slips(pairs: DataFrame, heads: DataFrame) -> DataFrame:
 
 def _slip(a: str, b: str, n_a: int, n_b: int) -> bool:
     if close(a, b):
-        return min(len(a), len(b)) > 4
+        return min(len(a), len(b)) >= LEAST_HEAD
     return min(len(a), len(b)) >= TWO_EDITS and max(n_a, n_b) >= TWO_EDITS_RATIO * min(n_a, n_b) and edits(a, b) == 2
 
 

@@ -131,6 +131,30 @@ def test_close_is_one_edit(a, b):
     assert names.close(a, b) == (b in set(edits(a)))
 
 
+def test_near_heads_hold_every_slip(spark):
+    rng = random.Random(22)
+    words = ["clark", "clrak", "lopez", "lobez", "martin", "matrin", "ligrevaland", "ligervalnd", "long", "lung"]
+    for _ in range(60):
+        word = "".join(rng.choice("abcdeimnorst") for _ in range(rng.randint(5, 11)))
+        words.append(word)
+        for _ in range(rng.randint(1, 2)):
+            at = rng.randrange(len(word) - 1)
+            word = rng.choice([word[:at] + word[at + 1 :], word[:at] + "x" + word[at:], word[:at] + "x" + word[at + 1 :], word[:at] + word[at + 1] + word[at] + word[at + 2 :]])
+        words.append(word)
+    words = sorted(set(words))
+    heads = spark.createDataFrame([("person", word) for word in words], "kind string, head string")
+    found = {(row.a, row.b) for row in names.near_heads(heads).collect()}
+    slips = {(a, b) for i, a in enumerate(words) for b in words[i + 1 :] if names._slip(a, b, 9, 1)}
+    assert len(slips) > 40 and slips <= found and ("long", "lung") not in found
+
+
+def test_slips_of_short_family_names(spark):
+    full = ["Clark, Xenia", "Clrak, Xenia", "Lopez, Maria", "Lobez, Maria", "Ligrevaland, Xenia M.", "Ligrevaland, Xenia M.", "Ligrevaland, Xenia M.", "Ligervalnd, Xenia M."]
+    table = spark.createDataFrame(list(enumerate(full)), "source_id long, author_full string")
+    cluster = {row.id: row.cluster for row in names.clusters(table, "source_id", "author_full").collect()}
+    assert cluster[0] == cluster[1] and cluster[2] == cluster[3] and cluster[4] == cluster[7] and len(set(cluster.values())) == 3
+
+
 def test_similar_heads_are_those_of_all_pairs(spark):
     rng = random.Random(2)
     words = sorted({"".join(rng.choice(("ba", "bo", "di", "du", "fe")) for _ in range(4)) + rng.choice(("", "n", "st")) for _ in range(150)})
