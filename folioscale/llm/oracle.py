@@ -44,12 +44,15 @@ def _p4_survivors() -> str:
     picks = ", ".join(f"max(v) filter (field = '{f}') as {f}" for f in fields)
     return f"""
 with {_P4_LEADERS},
-base as (select *, {tier} tier_name, (case lower(source_type) when 'cnki' then 0.9::double else 1.0::double end) * pow(2.0::double, (epoch_us(merged_at) / 86400e6::double - 19700.0::double) / 365.0::double) w from merged_papers where dedup_key is not null),
+base as (select *, row_number() over () rec_row, {tier} tier_name, (case lower(source_type) when 'cnki' then 0.9::double else 1.0::double end) * pow(2.0::double, (epoch_us(merged_at) / 86400e6::double - 19700.0::double) / 365.0::double) w from merged_papers where dedup_key is not null),
 long as (select * from ({long}) where {_filled('v')}),
-votes as (select dedup_key, field, v, round(sum(w), 9) s from long group by all),
+votes as (select dedup_key, field, v, round(log2(sum(w)), 9) s from long group by all),
+named as (select distinct rec_row, dedup_key, d, w from (select rec_row, dedup_key, w, direction::bigint d from base union all select rec_row, dedup_key, w, unnest(directions)::bigint from base) where d is not null),
+ranked as (select dedup_key, d, round(log2(sum(w)), 9) s from named group by all),
+lists as (select dedup_key, list(d order by s desc, d) directions from ranked group by dedup_key),
 won as (select *, row_number() over (partition by dedup_key, field order by s desc, v) rn from votes),
 wide as (select dedup_key, {picks} from won where rn = 1 group by dedup_key)
-select l.dedup_key, {', '.join(f'w.{f}' for f in fields)}, l.rec_id, l.n_rows from leaders l left join wide w using (dedup_key) where l.rn = 1
+select l.dedup_key, {', '.join(f'w.{f}' for f in fields)}, coalesce(ls.directions, []) directions, l.rec_id, l.n_rows from leaders l left join wide w using (dedup_key) left join lists ls using (dedup_key) where l.rn = 1
 """
 
 

@@ -56,10 +56,8 @@ def p3_records(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def p4_found(spark: SparkSession, sf_dir: str) -> DataFrame:
-    rows = read_table(spark, sf_dir, "merged_papers")
-    elected = survivors.merged_papers(rows).where(F.col("n_rows") > 1).select("dedup_key", "rec_id")
-    values = survivors.members(rows, "dedup_key", ["direction"], ["directions"])
-    return elected.join(values, "dedup_key").select("dedup_key", "rec_id", F.col("value").alias("direction"))
+    elected = survivors.merged_directions(read_table(spark, sf_dir, "merged_papers")).where(F.col("n_rows") > 1)
+    return elected.select("dedup_key", "rec_id", F.explode("directions").alias("direction"))
 
 
 def p4_survivors(spark: SparkSession, sf_dir: str) -> DataFrame:

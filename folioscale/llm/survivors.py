@@ -2,25 +2,31 @@
 
 Fields are unpivoted to long rows (key, field, normalised value); each row
 votes for its values with source trust times recency decay; the votes of
-equal values are summed, the winner of a field is taken by max_by, and the
-winners are pivoted back to one record a group. The row that stands for the
-group is one more such field, its votes being the row's place in a stated
-order. Both sums and max_by combine before they are shuffled, so a group may
-hold any share of the rows.
+equal values are summed, the winner of a field is taken by max_by (of equal
+votes the smaller value), and the winners are pivoted back to one record a
+group. Multi-valued fields are unpivoted likewise, each member being voted
+for; they keep all their members, the best supported first. The row that
+stands for the group is one more field, its candidates being compared by a
+stated order in place of votes. All sums and maxima combine before they are
+shuffled, and the first sum is shuffled by key, field and value, so a group
+may hold any share of the rows.
 
 Defined results: rows with a null key take no part; null, blank and
 placeholder values (—, -, N/A, 无) do not vote; a field without votes is
-null; equal votes are settled by the smaller value; a null timestamp decays
-as if it were the oldest; members of multi-valued fields are the distinct
-non-null values of any row, as many rows as there are values.
+null, a multi-valued one an empty list; a row votes once for a member however
+often it names it; a null timestamp decays as if it were of 1970; votes are
+compared by their logarithms to nine digits, so neither their age nor the
+order of summing decides.
 """
 
 from __future__ import annotations
 
+from functools import partial
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from folioscale.functions.tiers import tier_rank
+from folioscale.functions.tiers import tier_name, tier_rank
 
 #: What stands for a missing value.
 PLACEHOLDERS = ("", "—", "-", "N/A", "无")
@@ -46,29 +52,38 @@ def vote(trust: Column, when: Column, half_life_days: float = HALF_LIFE_DAYS) ->
     return trust * F.pow(F.lit(2.0), (days - F.lit(19_700.0)) / F.lit(half_life_days))
 
 
-def elect(df: DataFrame, key: str, fields: dict[str, Column], weight: Column, row_id: str, row_order: Column) -> DataFrame:
+_ROW = "__row"
+
+
+def elect(df: DataFrame, key: str, fields: dict[str, Column], weight: Column, row_id: str, row_order: Column, lists: dict[str, Column] | None = None) -> DataFrame:
     """One record a key: each field's value of most votes, the leading row and the number of rows.
 
     fields maps an output column to the expression voted on (its values are
-    taken as text). row_order is a struct; the row with the largest stands for
-    the group. Output: key, <fields>, row_id, n_rows.
+    taken as text), lists one to an array of whole numbers. row_order is a
+    struct; the row with the largest stands for the group. Output: key,
+    <fields>, <lists>, row_id, n_rows.
     """
-    base = df.where(F.col(key).isNotNull()).select(F.col(key), weight.alias("__w"), F.col(row_id).alias("__row"), row_order.alias("__order"), *[expression.cast("string").alias(f"__f_{name}") for name, expression in fields.items()])
-    pairs = [F.struct(F.lit(name).alias("field"), _trim(F.col(f"__f_{name}")).alias("value")) for name in fields]
-    long = base.select(key, "__w", F.explode(F.array(*pairs)).alias("p")).select(key, "p.field", "p.value", "__w").where(filled(F.col("value")))
-    # votes are rounded so that the order of summing cannot decide a tie
-    votes = long.groupBy(key, "field", "value").agg(F.round(F.sum("__w"), 9).alias("votes"))
-    smaller_first = F.struct(-F.col("votes"), F.col("value"))
-    winners = votes.groupBy(key).agg(*[F.min_by(F.when(F.col("field") == name, F.col("value")), F.when(F.col("field") == name, smaller_first)).alias(name) for name in fields])
-    leaders = base.groupBy(key).agg(F.max_by("__row", "__order").alias(row_id), F.count(F.lit(1)).alias("n_rows"))
-    return leaders.join(winners, key, "left").select(key, *fields, row_id, "n_rows")
-
-
-def members(df: DataFrame, key: str, single: list[str], arrays: list[str]) -> DataFrame:
-    """(key, value): the distinct non-null values of the given columns over all rows of a key."""
-    parts = [F.array(F.col(name).cast("bigint")) for name in single] + [F.coalesce(F.col(name), F.array()).cast("array<bigint>") for name in arrays]
-    values = df.where(F.col(key).isNotNull()).select(key, F.explode(F.array_distinct(F.concat(*parts))).alias("value"))
-    return values.where(F.col("value").isNotNull()).distinct()
+    lists = lists or {}
+    named = {f"__f_{name}": expression.cast("string") for name, expression in fields.items()} | {f"__l_{name}": F.array_distinct(expression).cast("array<string>") for name, expression in lists.items()}
+    base = df.where(F.col(key).isNotNull()).select(F.col(key), weight.alias("__w"), F.col(row_id).cast("string").alias(_ROW), row_order.alias("__order"), *[expression.alias(name) for name, expression in named.items()])
+
+    def pair(name: str, text: Column) -> Column:
+        return F.struct(F.lit(name).alias("field"), text.alias("value"))
+
+    single = F.array(pair(_ROW, F.col(_ROW)), *[pair(name, F.when(filled(F.col(f"__f_{name}")), _trim(F.col(f"__f_{name}")))) for name in fields])
+    several = [F.transform(F.coalesce(f"__l_{name}", F.array().cast("array<string>")), partial(pair, name)) for name in lists]
+    long = base.select(key, "__w", "__order", F.explode(F.concat(single, *several)).alias("p")).where("p.value is not null")
+    is_row = F.col("p.field") == _ROW
+    votes = long.groupBy(key, "p.field", "p.value").agg(F.round(F.log2(F.sum("__w")), 9).alias("votes"), F.max(F.when(is_row, F.col("__order"))).alias("__order"), F.count_if(is_row).alias("n"))
+    own = lambda name, column: F.when(F.col("field") == name, column)
+    best_first = F.struct(-F.col("votes"), F.col("value"))
+    member = F.struct((-F.col("votes")).alias("v"), F.col("value").cast("long").alias("m"))
+    found = votes.groupBy(key).agg(
+        *[F.min_by(own(name, F.col("value")), own(name, best_first)).alias(name) for name in fields],
+        *[F.array_sort(F.collect_list(own(name, member)))["m"].alias(name) for name in lists],
+        F.max_by(own(_ROW, F.col("value")), own(_ROW, F.col("__order"))).cast("long").alias(row_id), F.sum("n").alias("n_rows"),
+    )
+    return found.select(key, *fields, *lists, row_id, "n_rows")
 
 
 def paper_order() -> Column:
@@ -83,10 +98,22 @@ def paper_order() -> Column:
     )
 
 
-def merged_papers(df: DataFrame) -> DataFrame:
-    """The surviving record of each dedup_key of merged_papers."""
-    trust = F.coalesce(F.create_map(*[F.lit(x) for pair in TRUST.items() for x in pair])[F.lower(F.col("source_type"))], F.lit(1.0))
-    from folioscale.functions.tiers import tier_name
+def _trusted() -> Column:
+    return vote(F.coalesce(F.create_map(*[F.lit(x) for pair in TRUST.items() for x in pair])[F.lower(F.col("source_type"))], F.lit(1.0)), F.col("merged_at"))
 
+
+def _directions() -> Column:
+    """All directions a row names."""
+    every = F.concat(F.array(F.col("direction").cast("long")), F.coalesce(F.col("directions").cast("array<long>"), F.array().cast("array<long>")))
+    return F.filter(every, lambda d: d.isNotNull())
+
+
+def merged_papers(df: DataFrame) -> DataFrame:
+    """The surviving record of each dedup_key of merged_papers, with its merged list of directions."""
     fields = {"tier": F.when(filled(F.col("tier")), tier_name("tier")), **{name: F.col(name) for name in ("direction", "title", "first_author", "year", "journal", "reason", "source_type")}}
-    return elect(df, "dedup_key", fields, vote(trust, F.col("merged_at")), "rec_id", paper_order())
+    return elect(df, "dedup_key", fields, _trusted(), "rec_id", paper_order(), {"directions": _directions()})
+
+
+def merged_directions(df: DataFrame) -> DataFrame:
+    """(dedup_key, directions, rec_id, n_rows): as merged_papers, only the multi-valued field being voted on."""
+    return elect(df, "dedup_key", {}, _trusted(), "rec_id", paper_order(), {"directions": _directions()})

@@ -221,10 +221,18 @@ def test_survivor_is_chosen_field_by_field(spark):
     assert set(out) == {"k", "solo"} and out["k"].n_rows == 4 and out["k"].rec_id == 3
     assert (out["k"].title, out["k"].first_author, out["k"].year, out["k"].journal, out["k"].tier) == ("New", "A", "2001", None, "core")
     assert out["solo"].rec_id == 4 and out["solo"].title is None
-    assert sorted((row.dedup_key, row.value) for row in survivors.members(rows, "dedup_key", ["direction"], ["directions"]).collect()) == [("k", 3), ("k", 5), ("k", 7), ("k", 9), ("solo", 1), ("solo", 2)]
+    assert (sorted(out["k"].directions), sorted(out["solo"].directions)) == ([3, 5, 7, 9], [1, 2]) and out["k"].directions[:2] == [3, 9]
+    assert {row.dedup_key: (row.rec_id, row.directions, row.n_rows) for row in survivors.merged_directions(rows).collect()} == {k: (row.rec_id, row.directions, row.n_rows) for k, row in out.items()}
     assert survivors.merged_papers(rows.limit(0)).count() == 0
 
 
+def test_old_votes_count_as_much_as_new_ones(spark):
+    row = lambda i, journal, when, key: (i, key, None, None, None, "core", "t", "a", 2000, journal, "r", "wos", when, 0)
+    rows = merged(spark, [row(1, "b", datetime(1985, 1, 1), "old"), row(2, "b", datetime(1985, 1, 2), "old"), row(3, "a", datetime(1984, 1, 1), "old"), row(4, "a", datetime(1500, 1, 1), "tie"), row(5, "b", datetime(1500, 1, 1), "tie"), row(6, "b", datetime(2024, 1, 1), "new"), row(7, "a", datetime(2020, 1, 1), "new")])
+    out = {r.dedup_key: r for r in survivors.merged_papers(rows).collect()}
+    assert {key: r.journal for key, r in out.items()} == {"old": "b", "tie": "a", "new": "b"} and all(r.directions == [] for r in out.values())
+
+
 # 5 residue
 
 
