@@ -1,56 +1,57 @@
 """Pages of stuffed keywords, tags, menus, product lists and links.
 
-Corpus counts of words and of neighbouring words give the pointwise mutual
-information (PMI) of every pair of neighbours. A text is cut into units (lines,
-and sentences within a line). A unit is incoherent if too many of its
-neighbours meet less often than by chance (word salad), and repetitive if its
-collocations recur within the text beyond what sentences do. Units that also
-lack the small words that hold a sentence together, and units made of links or
-hash tags, are spam; a page is spam if more than half of its characters are
-in such units. References and single keyword lines are units like others, but
-no page is flagged for them: references are recognised and left out.
-
-The counts are kept in sketches of fixed size (one hash, SKETCH buckets of
-pairs and of words), summed by block over the partitions, so what is broadcast
-does not grow with the corpus. Counts cover all documents. A pair seen less
-often than the mean load of a bucket cannot be told from noise and then
-counts as rare, which is what it is.
+Exact corpus counts of words and of neighbouring words give the pointwise
+mutual information (PMI) of every pair of neighbours. Links, markup and hash
+signs count as words. A text is cut into units: sentences, lines, and runs of
+short lines, which are lists. A unit shows spam if many of its neighbours
+either meet by chance only (PMI about 0: word salad, entries in random order)
+or are collocations (high PMI) that the text repeats; if its mean PMI is far
+above that of the corpus, as in texts of nothing but set phrases; or if it is
+a long run of words without coherence. Units that read like sentences (enough
+different words, and small words between them), references, and short lines
+with a label are not spam unless they are such long runs. A page is spam if
+more than half of its characters are in units that show it.
+
+Counts cover all documents and are exact: pairs are combined within
+partitions and summed by a shuffle. Only texts whose units could make up half
+a page are joined with the counts, key by key, keys of many texts apart, so
+nothing of the corpus comes to the driver or is broadcast but the mean PMI.
 
 Defined results: null, empty and blank texts are not spam; a text without
-letters is spam only if it is made of links.
+letters is spam only if it is made of links; words are hashed to 63 bits, a
+collision of which is taken as impossible.
 """
 
 from __future__ import annotations
 
+import math
 import re
-import zlib
-from collections import Counter
 from collections.abc import Iterator
-from functools import cached_property
-from itertools import accumulate
+from dataclasses import dataclass
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-#: Buckets of each sketch, and blocks in which sketches are summed.
-SKETCH, BLOCKS = 1 << 21, 32
-#: Neighbours with a PMI below this meet no more often than by chance (a third of a nat is noise).
-CHANCE = 1.0
-#: A unit is incoherent if at least this share of its neighbours meets by chance, and salad whatever else it has if this share does.
-INCOHERENT, SALAD = 0.08, 0.14
-#: A collocation recurs if a text has it this often; a unit is repetitive if at least this share of its collocations recurs.
-RECURS, REPETITIVE = 3, 0.34
-#: Least share of small words in a sentence, by script; a unit below is a list of names.
+from folioscale.runtime import attach_group, cut_lineage
+
+#: Neighbours with a PMI below this meet no more often than by chance (a third of a nat is noise), those above are collocations.
+CHANCE, COLLOCATION = 1.0, 2.0
+#: A collocation is repeated if a text has it this often.
+REPEATED = 3
+#: Least share of repeated collocations, neighbours by chance counting twice, that shows spam.
+ABNORMAL = 0.18
+#: Mean PMI above that of the corpus, in nats, that shows set phrases only; the least words to tell it by.
+EXCESS, EXCESS_WORDS = 1.2, 12
+#: Words, and share of neighbours by chance, of a run that is no sentence whatever words it has.
+SALAD_WORDS, SALAD = 64, 0.14
+#: Least share of small words in a sentence, by script, and of different content words (neighbours, in Chinese) among them.
 GLUE = {"latin": 0.10, "ideographs": 0.075}
-#: A would-be sentence repeats its own words: at most this share of its words (neighbours, in Chinese) is distinct.
-ONE_SUBJECT = {"latin": 0.6, "ideographs": 0.75}
-#: Words of a unit that may be a menu entry, a product or a search phrase; words that a keyword line of a paper may have.
-SHORT, KEYWORD_LINE = 12, 32
-#: Share of a unit in links and markup above which it is a link.
-LINKED = 0.35
+DIFFERENT = {"latin": 0.6, "ideographs": 0.75}
+#: Words of a unit that may be a menu entry, a product or a search phrase.
+SHORT = 12
 #: A page is spam above this share of spam characters.
 HALF = 0.5
 
@@ -61,242 +62,255 @@ SMALL_WORDS = frozenset(
 )
 _URL = re.compile(r"""(?:https?://|www\.)[^\s"'<>)\]，。；、]+""")
 _MARKUP = re.compile(r"<[^<>]{1,400}>")
-_TOKEN = re.compile("[㐀-鿿]|[a-z]+(?:['’-][a-z]+)*")
+#: What stands for a link and for markup among the words.
+LINK, MARK = "\x01", "\x02"
+_TOKEN = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’-][^\W\d_㐀-鿿]+)*|[\x01\x02]|#(?=[^\s#])")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_a-z])|(?<=[。！？])")
 _SENTENCE_END = re.compile(r"[.。!！?？][\"'”’)）\]}*_]*\s*$")
-_HASHTAG = re.compile(r"#[^\s#]{2,}")
 _LABEL = re.compile(r"^\s*(?:[-*•]\s*)?[\w -]{1,16}\s*[:：]|^\s*(?:#{1,6}\s|\\(?:sub)*section|[A-Z][A-Z0-9]  - )")
 _REFERENCE = re.compile(r"^\s*(?:\[\d+\]|\d+[.)]|[-*•]|\\bibitem\S*)?\s*\S.{0,200}[(（]?(?:19|20)\d\d[a-z]?[)）]?[.,，。;；:].*(?:doi|\d+\s*[(（]\d+[)）]|pp?\.|\d+[-–]\d+)", re.I)
 
 
-def words_of(line: str) -> list[str]:
-    """The words (ideographs) of a line, without links and markup."""
-    line = line.lower()
-    if "://" in line or "www." in line:
-        line = _URL.sub(" ", line)
-    if "<" in line:
-        line = _MARKUP.sub(" ", line)
-    return _TOKEN.findall(line)
-
-
-def bucket(word: str) -> int:
-    """A hash that is the same on every machine."""
-    return zlib.crc32(word.encode())
-
-
-def pair_buckets(ids: np.ndarray) -> np.ndarray:
-    left, right = ids[:-1].astype(np.uint64), ids[1:].astype(np.uint64)
-    mixed = (left * np.uint64(0x9E3779B97F4A7C15) + right * np.uint64(0xC2B2AE3D27D4EB4F)) & np.uint64(0xFFFFFFFFFFFFFFFF)
-    return ((mixed ^ (mixed >> np.uint64(29))) % np.uint64(SKETCH)).astype(np.int64)
+def words_of(text: str) -> list[str]:
+    """The words (ideographs) of a text, with a word each for links, markup and hash signs."""
+    text = text.lower().replace(LINK, " ").replace(MARK, " ")
+    if "://" in text or "www." in text:
+        text = _URL.sub(LINK, text)
+    if "<" in text:
+        text = _MARKUP.sub(MARK, text)
+    return _TOKEN.findall(text)
 
 
 class Ids(dict):
-    """Word to hash, remembered up to a bound."""
+    """Word to hash (even, so that pairs can be odd), remembered up to a bound."""
 
-    def trim(self, most: int = 1_000_000) -> None:
+    def trim(self, most: int = 500_000) -> None:
         if len(self) > most:
             self.clear()
 
     def __missing__(self, word: str) -> int:
-        self[word] = value = bucket(word)
+        self[word] = value = word_key(word)
         return value
 
 
-def count_batch(texts: list[str | None], ids: Ids, words: np.ndarray, pairs: np.ndarray) -> None:
-    """Add the words and neighbours of some texts to the sketches. Neighbours do not cross lines."""
-    found: list[int] = []
-    for text in texts:
-        for line in (text or "").split("\n"):
-            tokens = words_of(line)
-            if tokens:
-                found += map(ids.__getitem__, tokens)
-                found.append(-1)
-    if not found:
-        return
-    flat = np.array(found, dtype=np.int64)
-    real = flat >= 0
-    words += np.bincount(flat[real] % SKETCH, minlength=SKETCH)
-    keep = real[:-1] & real[1:]
-    if keep.any():
-        both = pair_buckets(np.where(real, flat, 0))
-        pairs += np.bincount(both[keep], minlength=SKETCH)
+def word_key(word: str) -> int:
+    return (xxhash.xxh3_64_intdigest(word) >> 1) & ~1
 
 
-class Counts:
-    """PMI of neighbours from the sketches."""
+def pair_keys(ids: np.ndarray) -> np.ndarray:
+    """Odd hashes of neighbours."""
+    left, right = ids[:-1].astype(np.uint64), ids[1:].astype(np.uint64)
+    mixed = left * np.uint64(0x9E3779B97F4A7C15) + right * np.uint64(0xC2B2AE3D27D4EB4F)
+    mixed = (mixed ^ (mixed >> np.uint64(29))) * np.uint64(0xBF58476D1CE4E5B9)
+    return ((mixed >> np.uint64(1)) | np.uint64(1)).astype(np.int64)
 
-    def __init__(self, words: np.ndarray, pairs: np.ndarray) -> None:
-        self.log_words = np.log(np.maximum(words, 1) / max(1, words.sum())).astype(np.float32)
-        self.log_pairs = np.log(np.maximum(pairs, 1) / max(1, pairs.sum())).astype(np.float32)
 
-    def pmi(self, ids: np.ndarray) -> np.ndarray:
-        own = self.log_words[ids % SKETCH]
-        return self.log_pairs[pair_buckets(ids)] - own[:-1] - own[1:]
+@dataclass
+class Unit:
+    """A sentence, a line, or a run of short lines."""
 
+    size: int
+    words: list[str]
+    #: Whether its words read like a sentence, a reference or a labelled line, and whether it is only a link.
+    sentence: bool
+    link: bool
 
-class Page:
-    """A text cut into units, with the statistics of its neighbours worked out when first asked for."""
-
-    def __init__(self, text: str, counts: Counts, ids: Ids) -> None:
-        self.counts, self.ids = counts, ids
-        self.units = []
-        for line in text.split("\n"):
-            self.units += [unit for unit in map(str.strip, _SENTENCE.split(line) if len(line) > 40 else [line]) if unit]
-
-        self._words: dict[int, list[str]] = {}
-
-    def words_at(self, at: int) -> list[str]:
-        if at not in self._words:
-            self._words[at] = words_of(self.units[at])
-        return self._words[at]
-
-    @cached_property
-    def words(self) -> list[list[str]]:
-        return [self.words_at(at) for at in range(len(self.units))]
-
-    @cached_property
-    def starts(self) -> list[int]:
-        return [0, *accumulate(map(len, self.words))]
-
-    @cached_property
-    def times(self) -> Counter:
-        return Counter(self.units)
-
-    @cached_property
-    def _flat(self) -> np.ndarray:
-        return np.array([self.ids[word] for unit in self.words for word in unit], dtype=np.int64)
-
-    @cached_property
-    def pmi(self) -> np.ndarray:
-        return self.counts.pmi(self._flat)
-
-    @cached_property
-    def recurs(self) -> np.ndarray:
-        _, inverse, times = np.unique(pair_buckets(self._flat), return_inverse=True, return_counts=True)
-        return times[inverse] >= RECURS
-
-    def salad(self, at: int) -> float:
-        """Share of a unit's neighbours that meet by chance."""
-        low, high = self.starts[at], self.starts[at + 1] - 1
-        return float((self.pmi[low:high] < CHANCE).mean()) if high > low else 0.0
-
-    def stuffed(self, at: int) -> float:
-        """Share of a unit's collocations that recur in the text."""
-        low, high = self.starts[at], self.starts[at + 1] - 1
-        return float(self.recurs[low:high].mean()) if high > low else 0.0
-
-    def spam_share(self) -> float:
-        total = sum(map(len, self.units))
-        return sum(len(unit) for at, unit in enumerate(self.units) if self.is_spam(at)) / total if total else 0.0
-
-    def mean_pmi(self) -> float:
-        return float(self.pmi.mean()) if self.starts[-1] > 1 else 0.0
-
-    def recurrent(self) -> float:
-        return float(self.recurs.mean()) if self.starts[-1] > 1 else 0.0
-
-    def is_spam(self, at: int) -> bool:
-        """Whether a unit is keywords, tags, menu entries, products or links rather than a sentence or a reference."""
-        unit = self.units[at]
-        if plainly_sentence(unit):
-            return False
-        if "://" in unit or "www." in unit:
-            links = _URL.findall(unit)
-            if len(links) == 1 and _REFERENCE.search(unit):
-                return False
-            linked = sum(map(len, links)) + sum(map(len, _MARKUP.findall(unit)))
-            if len(links) > 2 or linked > LINKED * len(unit):
-                return True
-        if "#" in unit:
-            tags = _HASHTAG.findall(unit)
-            if len(tags) > 1 or tags and len(tags[0]) > 0.8 * len(unit):
-                return True
-        if len(unit) <= 2 * SHORT and (_LABEL.match(unit) or _SENTENCE_END.search(unit)):
-            return False
-        words = self.words_at(at)
-        if not words:
-            return False
-        distinct = set(words)
-        ideographs = sum(map(_is_ideograph, words))
-        script = "ideographs" if ideographs * 2 > len(words) else "latin"
-        small = sum(map(SMALL_WORDS.__contains__, words))
-        # a word of Chinese is about two ideographs
-        length = len(words) - ideographs / 2
-        if length < SHORT:
-            if _LABEL.match(unit) or _SENTENCE_END.search(unit):
-                return False
-            return self.times[unit] > 1 or small < 0.34 * len(words) and self.stuffed(at) >= REPETITIVE
-        # no sentence is this long without coherence, whatever small words its entries have
-        if length > 2 * KEYWORD_LINE and self.salad(at) >= SALAD:
-            return True
-        if script == "ideographs":
-            one_subject = len(set(zip(words, words[1:]))) <= ONE_SUBJECT[script] * (len(words) - 1)
-        else:
-            content = len(words) - small
-            one_subject = len(distinct - SMALL_WORDS) <= ONE_SUBJECT[script] * content
-        if small < GLUE[script] * len(words):
-            return self.stuffed(at) >= REPETITIVE or length > KEYWORD_LINE and (one_subject or self.salad(at) >= INCOHERENT)
-        return one_subject and self.stuffed(at) >= REPETITIVE
-
-
-def plainly_sentence(unit: str) -> bool:
-    """Most sentences, told by enough different small words, few repetitions and no links or tags."""
-    if unit[-1] not in ".。!！?？" or "://" in unit or "#" in unit or "<" in unit or "www." in unit:
-        return False
-    words: list[str] | str = unit.lower().split()
-    if len(words) < SHORT:
-        if len(unit) < 2 * SHORT:
-            return False
-        words = unit
-    distinct = set(words)
-    return len(distinct & SMALL_WORDS) >= 0.1 * len(words) and len(distinct) > 0.75 * len(words)
+    @property
+    def long(self) -> bool:
+        return len(self.words) > SALAD_WORDS and _length(self.words) > SALAD_WORDS
+
+    def open(self) -> bool:
+        """Whether its neighbours may show that it is spam."""
+        return self.link or len(self.words) > 1 and (not self.sentence or self.long)
+
+
+def _length(words: list[str]) -> float:
+    """A word of Chinese is about two ideographs."""
+    return len(words) - sum(map(_is_ideograph, words)) / 2
+
+
+def units_of(text: str) -> list[Unit]:
+    out: list[Unit] = []
+    lines: list[tuple[str, list[str]]] = []
+
+    def end_list() -> None:
+        if lines:
+            out.append(_unit("\n".join(line for line, _ in lines), [word for _, words in lines for word in words], len(lines)))
+            lines.clear()
+
+    for line in text.split("\n"):
+        for part in map(str.strip, _SENTENCE.split(line) if len(line) > 40 else [line]):
+            if not part:
+                continue
+            words = words_of(part)
+            if _length(words) < SHORT and not _SENTENCE_END.search(part) and (LINK in words or "#" in words or not _LABEL.match(part)):
+                lines.append((part, words))
+            else:
+                end_list()
+                out.append(_unit(part, words, 1))
+    end_list()
+    return out
+
+
+def _unit(text: str, words: list[str], lines: int) -> Unit:
+    return Unit(len(text), words, len(words) > 1 and reads_like_sentence(text, words, lines), words == [LINK])
+
+
+def reads_like_sentence(text: str, words: list[str], lines: int) -> bool:
+    """Whether a unit is a sentence, a reference or a short line with a label, going by its words only."""
+    if lines == 1 and LINK not in words and _length(words) < SHORT and (_LABEL.match(text) or _SENTENCE_END.search(text)):
+        return True
+    if lines == 1 and words.count(LINK) == 1 and _REFERENCE.search(text):
+        return True
+    small = sum(map(SMALL_WORDS.__contains__, words))
+    if sum(map(_is_ideograph, words)) * 2 > len(words):
+        return small >= GLUE["ideographs"] * len(words) and len(set(zip(words, words[1:]))) > DIFFERENT["ideographs"] * (len(words) - 1)
+    return small >= GLUE["latin"] * len(words) and len(set(words) - SMALL_WORDS) > DIFFERENT["latin"] * (len(words) - small)
 
 
 def _is_ideograph(word: str) -> bool:
-    return "\u3400" <= word <= "\u9fff"
+    return "㐀" <= word <= "鿿"
 
 
-def spam_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", full: bool = False) -> DataFrame:
-    """(doc_id, spam_share) of each document, with full also (mean_pmi, recurrent)."""
-    spark = documents.sparkSession
-    pages = documents.select(F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
-    counts = spark.sparkContext.broadcast(corpus_counts(pages))
+class Page:
+    """A text cut into units, its words as hashes."""
+
+    def __init__(self, text: str, ids: Ids) -> None:
+        self.units = units_of(text)
+        self.text, self.ids = text, np.array([ids[word] for unit in self.units for word in unit.words], dtype=np.int64)
+        self.pairs = pair_keys(self.ids) if len(self.ids) > 1 else np.zeros(0, np.int64)
+        self.size = sum(unit.size for unit in self.units)
+
+    def doubtful(self) -> bool:
+        """Whether the units that may be spam make up half of the page."""
+        return self.size > 0 and sum(unit.size for unit in self.units if unit.open()) > HALF * self.size
+
+    def keys(self) -> np.ndarray:
+        return np.unique(np.concatenate([self.ids, self.pairs]))
+
+    def scores(self, keys: np.ndarray, counts: np.ndarray, corpus: Corpus) -> tuple[float, float, float]:
+        """(share of spam, mean PMI, share of repeated collocations); keys are sorted."""
+        if not self.size:
+            return 0.0, 0.0, 0.0
+        if len(self.pairs):
+            own = counts[np.searchsorted(keys, self.ids)]
+            pmi = corpus.pmi(counts[np.searchsorted(keys, self.pairs)], own[:-1], own[1:])
+        else:
+            pmi = np.zeros(0)
+        _, inverse, times = np.unique(self.pairs, return_inverse=True, return_counts=True)
+        repeated = (times[inverse] >= REPEATED) & (pmi >= COLLOCATION)
+        spam, at = 0, 0
+        for unit in self.units:
+            low, high = at, at + len(unit.words) - 1
+            at += len(unit.words)
+            if unit.link or len(unit.words) > 1 and is_spam(unit, pmi[low:high], repeated[low:high], corpus.mean):
+                spam += unit.size
+        return spam / self.size, float(pmi.mean()) if len(pmi) else 0.0, float(repeated.mean()) if len(pmi) else 0.0
 
-    def scored(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known, ids = Counts(*counts.value), Ids()
-        for batch in batches:
-            rows = [Page(page or "", known, ids) for page in batch.column(1).to_pylist()]
-            columns = [batch.column(0), pa.array([row.spam_share() for row in rows], pa.float64())]
-            if full:
-                columns += [pa.array([row.mean_pmi() for row in rows], pa.float64()), pa.array([row.recurrent() for row in rows], pa.float64())]
-            yield pa.RecordBatch.from_arrays(columns, names=names)
-            ids.trim()
 
-    names = ["doc_id", "spam_share"] + (["mean_pmi", "recurrent"] if full else [])
-    return pages.mapInArrow(scored, "doc_id long, spam_share double" + (", mean_pmi double, recurrent double" if full else ""))
+def is_spam(unit: Unit, pmi: np.ndarray, repeated: np.ndarray, mean: float) -> bool:
+    """Whether the neighbours of a unit's words are those of salad, repeated collocations or set phrases."""
+    chance = float((pmi < CHANCE).mean())
+    if unit.long and chance >= SALAD:
+        return True
+    return not unit.sentence and (2 * chance + float(repeated.mean()) >= ABNORMAL or len(unit.words) >= EXCESS_WORDS and float(pmi.mean()) >= mean + EXCESS)
+
 
+@dataclass
+class Corpus:
+    """Numbers of words and of neighbours in the corpus, and the mean PMI of its neighbours."""
 
-def corpus_counts(pages: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    """The sketches of words and pairs over column 1 (text) of all pages, each of SKETCH counts."""
-    size = SKETCH // BLOCKS
+    words: int
+    pairs: int
+    mean: float
 
-    def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words, pairs, ids = np.zeros(SKETCH, np.int64), np.zeros(SKETCH, np.int64), Ids()
+    def pmi(self, both: np.ndarray, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """PMI, discounted for rare pairs and words."""
+        least = np.minimum(left, right)
+        return np.log(both.astype(float) * self.words / self.pairs * self.words / left / right) + np.log(both / (both + 1.0) * least / (least + 1.0))
+
+
+def spam_pages(documents: DataFrame, doc_id: str = "doc_id", text: str = "text", full: bool = False) -> DataFrame:
+    """(doc_id, spam_share) of the documents that may be spam, with full (doc_id, spam_share, mean_pmi, repeated) of all."""
+    pages = documents.select(F.monotonically_increasing_id().alias("key"), F.col(doc_id).cast("long").alias("doc_id"), F.col(text).alias("text"))
+    # one pass over the texts: rows (key, n) of words and pairs, and rows (key, doc_id, text) of doubtful pages, numbered by key
+    read = cut_lineage(pages.mapInArrow(lambda batches: _read(batches, full), "key long, n long, doc_id long, text string"))
+    counts = cut_lineage(read.where("n is not null").groupBy("key").agg(F.sum("n").alias("n")))
+    corpus = corpus_of(counts)
+    doubtful = read.where("n is null").select(F.col("key").alias("page"), "doc_id", "text")
+    needed = doubtful.select("page", "text").mapInArrow(_keys, "page long, key long")
+    known = needed.groupBy("key").agg(F.count(F.lit(1)).alias("pages")).join(counts, "key")
+    own = attach_group(needed, known, ["key"], "pages").groupBy("page").agg(F.collect_list(F.struct("key", "n")).alias("known"))
+    both = doubtful.join(own, "page", "left").select("doc_id", "text", "known")
+
+    def score(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        ids = Ids()
         for batch in batches:
-            count_batch(batch.column(1).to_pylist(), ids, words, pairs)
-            ids.trim()
-        if words.any():
-            parts = [zlib.compress(sketch[block * size : (block + 1) * size].tobytes(), 1) for sketch in (words, pairs) for block in range(BLOCKS)]
-            yield pa.RecordBatch.from_arrays([pa.array(range(2 * BLOCKS), pa.int32()), pa.array(parts, pa.binary())], names=["block", "counts"])
-
-    def summed(block: pd.DataFrame) -> pd.DataFrame:
-        total = np.zeros(size, np.int64)
-        for part in block["counts"]:
-            total += np.frombuffer(zlib.decompress(part), np.int64)
-        return pd.DataFrame({"block": [int(block["block"].iloc[0])], "counts": [zlib.compress(total.tobytes(), 1)]})
-
-    rows = pages.mapInArrow(counted, "block int, counts binary").groupBy("block").applyInPandas(summed, "block int, counts binary").collect()
-    out = np.zeros(2 * SKETCH, np.int64)
-    for row in rows:
-        out[row.block * size : (row.block + 1) * size] = np.frombuffer(zlib.decompress(row.counts), np.int64)
-    return out[:SKETCH], out[SKETCH:]
+            rows = []
+            for doc, page, found in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist(), batch.column(2)):
+                table = found.values if found.is_valid else None
+                keys = table.field(0).to_numpy(zero_copy_only=False) if table is not None else np.zeros(0, np.int64)
+                n = table.field(1).to_numpy(zero_copy_only=False) if table is not None else np.zeros(0, np.int64)
+                order = np.argsort(keys)
+                rows.append((doc, *Page(page, ids).scores(keys[order], n[order], corpus)))
+                ids.trim()
+            columns = list(zip(*rows)) or [()] * 4
+            yield pa.RecordBatch.from_arrays([pa.array(columns[0], pa.int64()), *[pa.array(column, pa.float64()) for column in columns[1:]]], names=["doc_id", "spam_share", "mean_pmi", "repeated"])
+
+    scored = both.mapInArrow(score, "doc_id long, spam_share double, mean_pmi double, repeated double")
+    return scored if full else scored.select("doc_id", "spam_share")
+
+
+def corpus_of(counts: DataFrame) -> Corpus:
+    """The sums over counts (key, n): words have even keys, neighbours odd ones. The mean PMI is twice the entropy of words less that of neighbours."""
+    sums = {row.odd: row for row in counts.groupBy((F.col("key") % 2 != 0).alias("odd")).agg(F.sum("n").alias("n"), F.sum(F.col("n") * F.ln("n")).alias("s")).collect()}
+    entropy = lambda row: math.log(row.n) - row.s / row.n
+    words, pairs = sums.get(False), sums.get(True)
+    return Corpus(words.n if words else 1, pairs.n if pairs else 1, round(2 * entropy(words) - entropy(pairs), 6) if words and pairs else 0.0)
+
+
+#: Distinct words and pairs that a task holds before it passes their counts on.
+HELD = 2_000_000
+
+
+def _read(batches: Iterator[pa.RecordBatch], full: bool) -> Iterator[pa.RecordBatch]:
+    ids = Ids()
+    keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+
+    def rows(keys, n, docs, texts) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays([pa.array(keys, pa.int64()), pa.array(n, pa.int64()), pa.array(docs, pa.int64()), pa.array(texts, pa.string())], names=["key", "n", "doc_id", "text"])
+
+    def counted() -> pa.RecordBatch:
+        nothing = [None] * len(keys)
+        return rows(keys, counts, nothing, nothing)
+
+    for batch in batches:
+        found, kept = [], []
+        for number, doc, text in zip(*(column.to_pylist() for column in batch.columns)):
+            page = Page(text or "", ids)
+            found += [page.ids, page.pairs]
+            if full or page.doubtful():
+                kept.append((number, doc, text or ""))
+        ids.trim()
+        if kept:
+            numbers, docs, texts = zip(*kept)
+            yield rows(numbers, [None] * len(numbers), docs, texts)
+        if found:
+            own, n = np.unique(np.concatenate(found), return_counts=True)
+            keys, place = np.unique(np.concatenate([keys, own]), return_inverse=True)
+            counts = np.bincount(place, weights=np.concatenate([counts, n]), minlength=len(keys)).astype(np.int64)
+        if len(keys) > HELD:
+            yield counted()
+            keys, counts = np.zeros(0, np.int64), np.zeros(0, np.int64)
+    if len(keys):
+        yield counted()
+
+
+def _keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    ids = Ids()
+    for batch in batches:
+        numbers = batch.column(0).to_numpy()
+        keys = [Page(text, ids).keys() for text in batch.column(1).to_pylist()]
+        ids.trim()
+        if keys:
+            yield pa.RecordBatch.from_arrays([pa.array(np.repeat(numbers, list(map(len, keys)))), pa.array(np.concatenate(keys))], names=["page", "key"])

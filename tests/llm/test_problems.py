@@ -463,8 +463,8 @@ def spam_of(spark, texts):
     rows = [(i, text, "x") for i, text in enumerate([*texts, *base])]
     table = spark.createDataFrame(rows, "doc_id long, text string, spam_share string")
     out = {row.doc_id: row.spam_share for row in page_spam.spam_pages(table).collect()}
-    assert not any(out[i] > 0.5 for i in range(len(texts), len(rows)))
-    return [out[i] > 0.5 for i in range(len(texts))]
+    assert not any(out.get(i, 0) > 0.5 for i in range(len(texts), len(rows)))
+    return [out.get(i, 0) > 0.5 for i in range(len(texts))]
 
 
 def test_spam_kinds(spark):
@@ -488,8 +488,35 @@ def test_spam_of_nothing(spark):
     assert page_spam.spam_pages(empty, full=True).count() == 0
 
 
-def test_sketch_counts_every_word(spark):
-    texts = ["a b a", "b a", None, "", "c"]
-    table = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(3)
-    words, pairs = page_spam.corpus_counts(table)
-    assert words.sum() == 6 and pairs.sum() == 3 and words[page_spam.bucket("a") % page_spam.SKETCH] == 3
+def test_counts_are_those_of_all_words_and_neighbours(spark):
+    rng = random.Random(11)
+    texts = [" ".join(rng.choice("abcdefgh") * rng.randint(1, 3) for _ in range(rng.randint(0, 30))) for _ in range(60)] + ["a", None, "", "中文 和 https://x.example/p #tag <b>bold</b>", "a b\nc"]
+    table = spark.createDataFrame([(i if i else None, text) for i, text in enumerate(texts)], "doc_id long, text string").repartition(5)
+    words = Counter(word for text in texts for word in page_spam.words_of(text or ""))
+    pairs = Counter(pair for text in texts for own in [page_spam.words_of(text or "")] for pair in zip(own, own[1:]))
+    scored = {row.doc_id: row for row in page_spam.spam_pages(table, full=True).collect()}
+    assert len(scored) == len(texts)
+    n, m = sum(words.values()), sum(pairs.values())
+
+    def pmi(a, b):
+        c, least = pairs[a, b], min(words[a], words[b])
+        return math.log(c * n * n / m / words[a] / words[b]) + math.log(c / (c + 1) * least / (least + 1))
+
+    for i, text in enumerate(texts):
+        own = page_spam.words_of(text or "")
+        mine = [pmi(a, b) for a, b in zip(own, own[1:])]
+        row = scored[i if i else None]
+        assert row.mean_pmi == pytest.approx(sum(mine) / len(mine) if mine else 0.0)
+        often = Counter(zip(own, own[1:]))
+        assert row.repeated == pytest.approx(sum(often[p] >= page_spam.REPEATED and x >= page_spam.COLLOCATION for p, x in zip(zip(own, own[1:]), mine)) / len(mine) if mine else 0.0)
+
+
+def test_spam_is_shown_by_the_counts(spark):
+    """Without the counts (every PMI middling) nothing but bare links is found."""
+    words = page_spam.words_of("buy paper buy paper buy paper cheap essay paper help cheap essay " * 8)
+    unit = page_spam.Unit(99, words, False, False)
+    middling, never = [1.5] * (len(words) - 1), [False] * (len(words) - 1)
+    import numpy as np
+
+    assert not page_spam.is_spam(unit, np.array(middling), np.array(never), 1.5)
+    assert page_spam.is_spam(unit, np.array([0.5] * len(middling)), np.array(never), 1.5) and page_spam.is_spam(unit, np.array(middling), np.array([True] * len(never)), 1.5)
