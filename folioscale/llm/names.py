@@ -3,16 +3,15 @@
 Distinct names are parsed with the help of the corpus: given names and common
 words of organisations are those that many names share. What is left (the
 family name, the place of an organisation) becomes a vector of character
-n-grams weighted by inverse frequency, and a distributed sparse join finds the
-pairs of nearly equal ones: only the rarest n-grams of a vector are indexed,
-as many as a pair above the least cosine must share one of (so no pair is
-lost). Slips may leave too few n-grams whole for that, so heads that become
-equal when a letter (or two, of long heads) is dropped from each are candidates
-as well, which misses no pair within these edits. Pairs are confirmed by their
-edits. Names whose heads are equal or
-joined, and whose given names may be the same, form a graph; within each of
-its components average-linkage clustering, on head cosine times given-name
-agreement, decides which belong together.
+n-grams weighted by inverse frequency. Candidates come from two equality
+joins: a sparse one on the rarest long n-grams of the vectors, as many as a
+pair above the least cosine must share one of; and, since slips may leave too
+few n-grams whole for that, one on what is left of a head when a letter (or
+two, of long heads) is dropped, which misses no pair within these edits.
+Names whose heads are equal or such candidates confirmed by their edits, and
+whose given names may be the same, form a graph; within each of its components
+average-linkage clustering, on the cosine of heads times the agreement of given
+names, thresholded at LINK, decides which belong together.
 
 Defined results: null and blank names take no part; equal names are always
 together; a name of initials only joins the name it agrees with best; an
@@ -21,7 +20,11 @@ names, familiar forms aside, never agree, nor do two bodies of one place.
 Clusters are rows (id, cluster), so copies are not expanded into pairs.
 
 Bounds: given names and organisation words are those with more than
-1/COMMON_SHARE of all tokens, so there are at most COMMON_SHARE of each.
+1/COMMON_SHARE of all tokens, so there are at most COMMON_SHARE of each;
+weights of n-grams are known for those in more than 1/COMMON_SHARE of the
+heads. Linkage holds only the pairs that agree at all: a name of an initial
+agrees with all names of that letter, others with those of one given name, so
+a component's pairs grow with its names, not with their square.
 """
 
 from __future__ import annotations
@@ -29,15 +32,16 @@ from __future__ import annotations
 import math
 import re
 import unicodedata
+from collections import Counter
 from collections.abc import Iterator
+from heapq import heappop, heappush
 from itertools import combinations
 
-import numpy as np
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from folioscale.llm.pairs import pairs_within
 from folioscale.operators.graph import connected_components
 from folioscale.runtime import attach_group, cut_lineage
 
@@ -53,8 +57,8 @@ TWO_EDITS, TWO_EDITS_RATIO = 8, 3
 LEAST_HEAD = 5
 #: Agreement of an initial with a name, and the least mean similarity of clusters that are merged.
 INITIAL, LINK = 0.6, 0.42
-#: Agreement of heads by the edits between them.
-HEAD_AGREEMENT = (1.0, 0.85, 0.75, 0.7)
+#: Length of the n-grams of which the similarity of heads is the cosine, and the edits beyond which it is 0.
+LINK_GRAM, FAR = 2, 3
 
 #: Familiar forms and the names they stand for.
 FAMILIAR = {
@@ -159,6 +163,8 @@ class Words:
         self.given, self.common = given, common
         self._near: dict[str, str] = {}
         self._twice: dict[str, str] = {}
+        self._long: dict[str, str] = {}
+        self._long: dict[str, str] = {}
         self._by_length: dict[int, list[str]] = {}
         for word in given:
             self._by_length.setdefault(len(word), []).append(word)
@@ -190,8 +196,10 @@ class Words:
 
     def written_out(self, word: str) -> str:
         """A short form as the commonest word of organisations that it begins."""
-        longer = [other for other in self.common if len(other) > len(word) >= 3 and other.startswith(word)]
-        return max(longer, key=lambda other: (self.common[other], other), default=word)
+        if word not in self._long:
+            longer = [other for other in self.common if len(other) > len(word) >= 3 and other.startswith(word)]
+            self._long[word] = max(longer, key=lambda other: (self.common[other], other), default=word)
+        return self._long[word]
 
     def parse(self, name: str) -> tuple[str, str, str, str] | None:
         """(kind, head, given, middle) of a folded name."""
@@ -273,36 +281,91 @@ def _agreement(a: tuple[str, str], b: tuple[str, str]) -> float:
     return score
 
 
-def average_linkage(similarity: np.ndarray, weights: np.ndarray, least: float) -> np.ndarray:
-    """Cluster numbers; the two clusters of greatest mean similarity are merged while it is at least `least`."""
-    n = len(weights)
-    label = np.arange(n)
-    mean = similarity.astype(float).copy()
-    np.fill_diagonal(mean, -1)
-    size = np.ones(n)
-    alive = np.ones(n, bool)
-    # of equal means the pair with more rows is merged first
-    heavy = weights.astype(float).copy()
-    while alive.sum() > 1:
-        top = mean.max()
-        if top < least:
-            break
-        rows, columns = np.nonzero(mean >= top - 1e-9)
-        pick = max(range(len(rows)), key=lambda k: (heavy[rows[k]] + heavy[columns[k]], -rows[k], -columns[k]))
-        i, j = sorted((rows[pick], columns[pick]))
-        merged = (mean[i] * size[i] + mean[j] * size[j]) / (size[i] + size[j])
-        mean[i] = mean[:, i] = np.where(alive, merged, -1)
-        mean[i, i] = -1
-        mean[j] = mean[:, j] = -1
-        size[i] += size[j]
+def average_linkage(similarity: dict[tuple[int, int], float], weights: list[float], least: float) -> list[int]:
+    """Cluster numbers (the smallest member); the two clusters of greatest mean similarity are merged while it is at least `least`.
+
+    similarity holds the pairs (i, j), i < j, that are not 0. Of equal means
+    the pair with more rows is merged first.
+    """
+    label = list(range(len(weights)))
+    members = [[i] for i in label]
+    heavy = list(weights)
+    sums: list[dict[int, float]] = [{} for _ in label]
+    heap: list[tuple[float, float, int, int]] = []
+
+    def push(i: int, j: int) -> None:
+        mean = round(sums[i][j] / (len(members[i]) * len(members[j])), 9)
+        if mean >= least:
+            heappush(heap, (-mean, -(heavy[i] + heavy[j]), min(i, j), max(i, j)))
+
+    for (i, j), value in similarity.items():
+        sums[i][j] = sums[j][i] = value
+        push(i, j)
+    while heap:
+        mean, weight, i, j = heappop(heap)
+        # what was pushed before a merger is stale
+        if j not in sums[i] or weight != -(heavy[i] + heavy[j]) or -mean != round(sums[i][j] / (len(members[i]) * len(members[j])), 9):
+            continue
+        for k, value in sums[j].items():
+            del sums[k][j]
+            if k != i:
+                sums[i][k] = sums[k][i] = sums[i].get(k, 0.0) + value
+        sums[j] = {}
+        members[i] += members[j]
+        members[j] = []
         heavy[i] += heavy[j]
-        alive[j] = False
-        label[label == label[j]] = label[i]
+        for k in sums[i]:
+            push(i, k)
+    for i, own in enumerate(members):
+        for member in own:
+            label[member] = i
     return label
 
 
+class Cosine:
+    """Cosine of n-gram vectors of heads, weighted by inverse frequency among the heads."""
+
+    def __init__(self, heads: int, frequency: dict[str, int]) -> None:
+        self.heads, self.frequency = max(1, heads), frequency
+        self._vectors: dict[str, dict[str, float]] = {}
+
+    def vector(self, head: str) -> dict[str, float]:
+        if head not in self._vectors:
+            if len(self._vectors) > 100_000:
+                self._vectors.clear()
+            tf = Counter(grams(head))
+            raw = {gram: n * (math.log(self.heads / min(self.heads, self.frequency.get(gram, 1))) + 1) for gram, n in tf.items()}
+            norm = math.sqrt(sum(w * w for w in raw.values()))
+            self._vectors[head] = {gram: w / norm for gram, w in raw.items()}
+        return self._vectors[head]
+
+    def __call__(self, a: str, b: str) -> float:
+        if a == b:
+            return 1.0
+        v, w = self.vector(a), self.vector(b)
+        return sum(x * w[gram] for gram, x in v.items() if gram in w)
+
+    def agreement(self, a: str, b: str) -> float:
+        """The root of the cosine, since a slip spoils two or three n-grams; 0 of heads with more than FAR edits."""
+        cosine = self(a, b)
+        return 0.0 if cosine <= 0.0 or a != b and edits(a, b, FAR) > FAR else math.sqrt(min(1.0, cosine))
+
+
+def grams(head: str, n: int = LINK_GRAM) -> list[str]:
+    padded = f"^{head}$"
+    return [padded[i : i + n] for i in range(len(padded) - n + 1)]
+
+
+def _cosine(heads: DataFrame) -> Cosine:
+    """The weights of n-grams in more than 1/COMMON_SHARE of the heads (kind, head); rarer ones have the greatest weight."""
+    padded = F.concat(F.lit("^"), "head", F.lit("$"))
+    found = heads.select(F.explode(F.array_distinct(F.transform(F.sequence(F.lit(1), F.length("head") + 3 - LINK_GRAM), lambda i: F.substring(padded, i, LINK_GRAM)))).alias("gram"))
+    total = heads.count()
+    return Cosine(total, {row.gram: row.n for row in found.groupBy("gram").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > max(1, total / COMMON_SHARE)).collect()})
+
+
 def similar_heads(heads: DataFrame, least: float = LEAST_COSINE, gram: int = GRAM, starts: DataFrame | None = None) -> DataFrame:
-    """(kind, a, b, cosine), a < b: heads of one kind whose weighted n-gram vectors have at least this cosine.
+    """(kind, a, b), a < b: candidates among heads of one kind, all within four edits whose n-gram vectors have at least this cosine.
 
     With starts (kind, head, start), only heads that have a start in common
     are compared; the weights are those of all heads.
@@ -318,10 +381,8 @@ def similar_heads(heads: DataFrame, least: float = LEAST_COSINE, gram: int = GRA
     weighted = grams.join(frequency, ["kind", "gram"]).join(F.broadcast(total), "kind").withColumn("w", F.col("tf") * (F.log(F.col("heads") / F.col("df")) + 1.0))
     norm = Window.partitionBy("kind", "head")
     rare_first = norm.orderBy(F.col("w").desc(), "gram").rowsBetween(Window.unboundedPreceding, -1)
-    unit = weighted.withColumn("w", F.col("w") / F.sqrt(F.sum(F.col("w") * F.col("w")).over(norm)))
-    unit = unit.withColumn("before", F.coalesce(F.sum(F.col("w") * F.col("w")).over(rare_first), F.lit(0.0)))
-    unit = cut_lineage(unit.select("kind", "head", "gram", "w", "before", "first", "last"))
-    index = unit.where(F.lit(1.0) - F.col("before") >= least * least)
+    unit = weighted.withColumn("share", F.col("w") * F.col("w") / F.sum(F.col("w") * F.col("w")).over(norm))
+    index = cut_lineage(unit.withColumn("before", F.coalesce(F.sum("share").over(rare_first), F.lit(0.0))).where(F.lit(1.0) - F.col("before") >= least * least).select("kind", "head", "gram", "first", "last"))
     keys = ["kind", "gram"]
     if starts is not None:
         index, keys = index.join(starts.select("kind", "head", "start").distinct(), ["kind", "head"]), ["kind", "gram", "start"]
@@ -329,11 +390,7 @@ def similar_heads(heads: DataFrame, least: float = LEAST_COSINE, gram: int = GRA
     right = index.select(*keys, F.col("head").alias("b"), F.col("first").alias("first_b"), F.col("last").alias("last_b"))
     # two edits move an n-gram by two places at most; an exchange counts as two
     near = "a < b AND abs(length(a) - length(b)) <= 2 AND first_a <= last_b + 2 AND first_b <= last_a + 2"
-    pairs = left.join(right, keys).where(near).where("levenshtein(a, b, 4) >= 0").select("kind", "a", "b").distinct()
-    vectors = unit.groupBy("kind", "head").agg(F.map_from_entries(F.collect_list(F.struct("gram", "w"))).alias("v"))
-    both = pairs.join(vectors.select("kind", F.col("head").alias("a"), F.col("v").alias("va")), ["kind", "a"]).join(vectors.select("kind", F.col("head").alias("b"), F.col("v").alias("vb")), ["kind", "b"])
-    cosine = F.aggregate(F.map_keys("va"), F.lit(0.0), lambda total, g: total + F.col("va")[g] * F.coalesce(F.try_element_at("vb", g), F.lit(0.0)))
-    return both.select("kind", "a", "b", cosine.alias("cosine")).where(F.col("cosine") >= least)
+    return left.join(right, keys).where(near).where("levenshtein(a, b, 4) >= 0").select("kind", "a", "b").distinct()
 
 
 def dropped(head: str) -> set[str]:
@@ -416,13 +473,13 @@ def clusters(rows: DataFrame, id_col: str, authors: str) -> DataFrame:
     forms = cut_lineage(forms.withColumn("start", start).withColumn("form", F.concat_ws("\x1f", "kind", "head", "given", "middle")))
     blocks = cut_lineage(forms.groupBy("kind", "start", "head").agg(F.min("form").alias("first")))
     heads = cut_lineage(forms.where(F.col("kind").isin("person", "organisation")).groupBy("kind", "head").agg(F.sum("n").alias("n")))
-    candidates = similar_heads(heads, starts=blocks).select("kind", "a", "b").unionByName(near_heads(heads)).distinct()
-    joined = _slips(cut_lineage(candidates), heads)
+    candidates = similar_heads(heads, starts=blocks).unionByName(near_heads(heads)).distinct()
+    joined, cosine = _slips(candidates, heads), _cosine(heads)
     sides = joined.join(blocks.withColumnsRenamed({"head": "a", "first": "form_a"}), ["kind", "a"]).join(blocks.withColumnsRenamed({"head": "b", "first": "form_b"}), ["kind", "b", "start"])
     # components are those of blocks (kind, start, head), whose first form names them
     component = connected_components(blocks.select(F.col("first").alias("id")), sides.select(F.col("form_a").alias("a"), F.col("form_b").alias("b")))
     placed = forms.join(blocks, ["kind", "start", "head"]).join(component.withColumnsRenamed({"id": "first"}), "first")
-    settled = placed.select("component", "form", "head", "given", "middle", "n").repartition("component").sortWithinPartitions("component").mapInPandas(_settle_all, "form string, cluster string")
+    settled = placed.select("component", "form", "head", "given", "middle", "n").repartition("component").sortWithinPartitions("component").mapInArrow(lambda batches: _settle_all(batches, cosine), "form string, cluster string")
     of_name = parsed.select("name", "n", F.concat_ws("\x1f", "kind", "head", "given", "middle").alias("form")).join(settled, "form").select("name", "n", "cluster")
     return attach_group(named, of_name, ["name"], "n").select("id", "cluster")
 
@@ -446,45 +503,58 @@ def _slip(a: str, b: str, n_a: int, n_b: int) -> bool:
     return min(len(a), len(b)) >= TWO_EDITS and max(n_a, n_b) >= TWO_EDITS_RATIO * min(n_a, n_b) and edits(a, b) == 2
 
 
-def _settle_all(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+def _settle_all(batches: Iterator[pa.RecordBatch], cosine: Cosine) -> Iterator[pa.RecordBatch]:
     """Clusters of components that come one after the other; a component may go over several batches."""
-
-    def ready(rows: pd.DataFrame) -> Iterator[pd.DataFrame]:
-        alone = ~rows["component"].duplicated(keep=False)
-        yield pd.DataFrame({"form": rows.loc[alone, "form"], "cluster": rows.loc[alone, "form"]})
-        for _, component in rows[~alone].groupby("component", sort=False):
-            yield _settle(component)
-
-    rest: pd.DataFrame | None = None
+    rows: list[tuple] = []
+    last = None
     for batch in batches:
-        rows = batch if rest is None else pd.concat([rest, batch], ignore_index=True)
-        if not len(rows):
-            continue
-        open_end = rows["component"] == rows["component"].iloc[-1]
-        yield from ready(rows[~open_end])
-        rest = rows[open_end]
-    if rest is not None:
-        yield from ready(rest)
-
-
-def _settle(component: pd.DataFrame) -> pd.DataFrame:
-    """Average linkage within a component; each cluster is named by its first form."""
-    rows = component.sort_values("form", ignore_index=True)
-    n = len(rows)
-    if n == 1:
-        return pd.DataFrame({"form": rows["form"], "cluster": rows["form"]})
-    parts = list(zip(rows["given"], rows["middle"]))
-    heads = rows["head"].tolist()
-    similarity = np.zeros((n, n))
-    for i in range(n):
-        for j in range(i):
-            # heads of one component are joined by slips, at least by way of a third
-            apart = edits(heads[i], heads[j], 3)
-            similarity[i, j] = similarity[j, i] = HEAD_AGREEMENT[apart] * _agreement(parts[i], parts[j]) if apart <= 3 else 0.0
-    label = average_linkage(similarity, rows["n"].to_numpy(), LINK)
-    return pd.DataFrame({"form": rows["form"], "cluster": [rows["form"][k] for k in label]})
+        done: list[tuple[str, str]] = []
+        for component, *row in zip(*(column.to_pylist() for column in batch.columns)):
+            if component != last and rows:
+                done += settle(rows, cosine)
+                rows = []
+            last = component
+            rows.append(tuple(row))
+        yield _pairs(done)
+    yield _pairs(settle(rows, cosine))
+
+
+def _pairs(rows: list[tuple[str, str]]) -> pa.RecordBatch:
+    forms, clusters_ = zip(*rows) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(forms, pa.string()), pa.array(clusters_, pa.string())], names=["form", "cluster"])
+
+
+def settle(component: list[tuple[str, str, str, str, int]], cosine: Cosine) -> list[tuple[str, str]]:
+    """(form, cluster) of the rows (form, head, given, middle, n) of a component; each cluster is named by its first form."""
+    if len(component) < 2:
+        return [(row[0], row[0]) for row in component]
+    rows = sorted(component)
+    by_given: dict[str, list[int]] = {}
+    for i, (_, _, given, _, _) in enumerate(rows):
+        by_given.setdefault(given, []).append(i)
+    heads: dict[tuple[str, str], float] = {}
+    similarity: dict[tuple[int, int], float] = {}
+
+    def compare(i: int, j: int) -> None:
+        agreement = _agreement(rows[i][2:4], rows[j][2:4])
+        if agreement:
+            pair = (rows[i][1], rows[j][1])
+            if pair not in heads:
+                heads[pair] = cosine.agreement(*pair)
+            if heads[pair]:
+                similarity[min(i, j), max(i, j)] = heads[pair] * agreement
+
+    for given, own in by_given.items():
+        for i, j in combinations(own, 2):
+            compare(i, j)
+        if len(given) > 1:
+            for i in by_given.get(given[0], ()):
+                for j in own:
+                    compare(i, j)
+    label = average_linkage(similarity, [row[4] for row in rows], LINK)
+    return [(row[0], rows[k][0]) for row, k in zip(rows, label)]
 
 
 def same_pairs(found: DataFrame) -> DataFrame:
     """(id_a, id_b), id_a < id_b: all pairs within clusters."""
-    return found.select(F.col("id").alias("id_a"), "cluster").join(found.select(F.col("id").alias("id_b"), "cluster"), "cluster").where("id_a < id_b").select("id_a", "id_b")
+    return pairs_within(cut_lineage(found), "cluster", "id").select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))

@@ -170,6 +170,45 @@ def test_similar_heads_are_those_of_all_pairs(spark):
             assert (a, b) in found, (a, b, cosine)
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 9), st.randoms(use_true_random=False))
+def test_average_linkage_against_a_full_matrix(n, rng):
+    weights = [rng.randint(1, 5) for _ in range(n)]
+    similarity = {pair: rng.choice([0.3, 0.5, 0.6, 0.61, 0.9, 1.0]) for pair in itertools.combinations(range(n), 2) if rng.random() < 0.6}
+    groups = [[i] for i in range(n)]
+    while True:
+        mean = lambda a, b: round(sum(similarity.get((min(i, j), max(i, j)), 0.0) for i in a for j in b) / len(a) / len(b), 9)
+        best = max(((mean(a, b), sum(weights[i] for i in (*a, *b)), -a[0], -b[0]) for a, b in itertools.combinations(groups, 2)), default=(0,))
+        if best[0] < 0.42:
+            break
+        a, b = next(g for g in groups if g[0] == -best[2]), next(g for g in groups if g[0] == -best[3])
+        groups = sorted([g for g in groups if g not in (a, b)] + [sorted(a + b)])
+    label = names.average_linkage(similarity, weights, 0.42)
+    assert sorted(sorted(i for i in range(n) if label[i] == c) for c in set(label)) == groups
+
+
+def test_hot_component_is_linked_in_time(spark):
+    """A family name with 20,000 given names of one letter, and initials that may stand for each."""
+    given_ = ["".join(p) for p in itertools.product("abcdefghij", repeat=4)] * 2
+    full = [f"Stovesevon, M{g}{'q' * (i % 2)}" for i, g in enumerate(sorted(given_))] + ["Stovesevon, M.", "Stovesevom, M. K."]
+    parsed = [(form, "stovesevon" if "von" in form else "stovesevom", form.split(", ")[1].lower().rstrip(".")[:1] if "." in form else form.split(", ")[1].lower(), "k" if "K." in form else "", 1) for form in sorted(set(full))]
+    out = dict(names.settle(parsed, names.Cosine(10, {})))
+    assert len(set(out.values())) == len(parsed) - 2 and out["Stovesevon, M."] == out["Stovesevom, M. K."]
+
+
+def test_pairs_within_hot_groups(spark):
+    from folioscale.llm.pairs import BLOCK, pairs_within
+
+    rows = [(i, "hot" if i <= BLOCK + 50 else f"k{i % 40}" if i % 3 else None) for i in range(BLOCK + 400)]
+    table = spark.createDataFrame(rows, "id long, cluster string")
+    found = pairs_within(table, "cluster", "id")
+    by: dict = {}
+    for i, key in rows:
+        by.setdefault(key, []).append(i)
+    assert found.count() == found.distinct().count() == sum(len(ids) * (len(ids) - 1) // 2 for key, ids in by.items() if key)
+    assert found.where("a >= b").count() == 0
+
+
 # 3 layout duplicates
 
 
