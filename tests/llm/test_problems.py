@@ -428,8 +428,26 @@ def test_leaks(spark, text, found):
         piece = leaks.compact(text[row.start : row.end])
         assert piece and piece[:8] in leaks.compact(text) and row.end <= len(text)
     assert leaks.leaks(docs.limit(0), items).count() == 0 and leaks.leaks(docs, items.limit(0)).count() == 0
-    if len(found) == 1:
-        assert {row.item_id for row in leaks.leaks(docs, items, max_items=2).collect()} >= found
+    assert sorted(leaks.leaks(docs, items, block_chars=400).collect()) == sorted(rows)
+
+
+def test_leaks_do_not_depend_on_blocks(spark):
+    """Shared sentences and the best item of a passage are found over all items, in however many automata."""
+    items = spark.createDataFrame([(1, ASK + ITEM), (2, ASK + OTHER), (3, ZH), (4, ASK + ITEM), (5, OTHER.replace("school", "nursery"))], "item_id long, text string")
+    docs = spark.createDataFrame([(1, ASK), (2, ITEM), (3, OTHER), (4, OTHER.replace("school", "nursery") + ITEM + ZH), (None, ITEM), (None, OTHER)], "doc_id long, text string")
+    once = leaks.leaks(docs, items).collect()
+    key = lambda rows: sorted((row.doc_id or 0, row.item_id, row.start, row.end, row.words, row.cover) for row in rows)
+    assert {(row.doc_id, row.item_id) for row in once} == {(2, 1), (2, 4), (3, 2), (4, 5), (4, 1), (4, 4), (4, 3), (None, 1), (None, 4), (None, 2)}
+    for chars in (150, 600):
+        assert key(leaks.leaks(docs, items, block_chars=chars).collect()) == key(once), chars
+
+
+@pytest.mark.parametrize("at", range(20))
+def test_stretch_of_twenty_words_with_a_changed_one(at):
+    words = ITEM.split()[2:22]
+    known = leaks.patterns([(1, [(ITEM, True)])])
+    text = "something else " + " ".join("changed" if i == at else word for i, word in enumerate(words)) + " and more"
+    assert len(words) == 20 and bool(leaks.find(text, leaks.automaton_of(known), known)) is (at not in (0, 19)), at
 
 
 @settings(max_examples=100, deadline=None)
