@@ -64,6 +64,7 @@ _URL = re.compile(r"""(?:https?://|www\.)[^\s"'<>)\]，。；、]+""")
 _MARKUP = re.compile(r"<[^<>]{1,400}>")
 #: What stands for a link and for markup among the words.
 LINK, MARK = "\x01", "\x02"
+_HAN = re.compile("[㐀-鿿]")
 _TOKEN = re.compile(r"[㐀-鿿]|[^\W\d_㐀-鿿]+(?:['’-][^\W\d_㐀-鿿]+)*|[\x01\x02]|#(?=[^\s#])")
 _SENTENCE = re.compile(r"(?<=[.!?])\s+(?=[^\W\d_a-z])|(?<=[。！？])")
 _SENTENCE_END = re.compile(r"[.。!！?？][\"'”’)）\]}*_]*\s*$")
@@ -111,31 +112,35 @@ class Unit:
 
     size: int
     words: list[str]
+    #: Words, ideographs counting half, since a word of Chinese has about two.
+    length: float
     #: Whether its words read like a sentence, a reference or a labelled line, and whether it is only a link.
     sentence: bool
     link: bool
 
     @property
     def long(self) -> bool:
-        return len(self.words) > SALAD_WORDS and _length(self.words) > SALAD_WORDS
+        return self.length > SALAD_WORDS
 
     def open(self) -> bool:
         """Whether its neighbours may show that it is spam."""
         return self.link or len(self.words) > 1 and (not self.sentence or self.long)
 
 
-def _length(words: list[str]) -> float:
-    """A word of Chinese is about two ideographs."""
-    return len(words) - sum(map(_is_ideograph, words)) / 2
+def _ideographs(text: str, words: list[str]) -> int:
+    if text.isascii():
+        return 0
+    return len(_HAN.findall("".join(words) if LINK in words or MARK in words else text))
 
 
 def units_of(text: str) -> list[Unit]:
     out: list[Unit] = []
-    lines: list[tuple[str, list[str]]] = []
+    lines: list[tuple[str, list[str], int]] = []
 
     def end_list() -> None:
         if lines:
-            out.append(_unit("\n".join(line for line, _ in lines), [word for _, words in lines for word in words], len(lines)))
+            texts, words, han = zip(*lines)
+            out.append(_unit("\n".join(texts), [word for own in words for word in own], sum(han), len(lines)))
             lines.clear()
 
     for line in text.split("\n"):
@@ -143,33 +148,33 @@ def units_of(text: str) -> list[Unit]:
             if not part:
                 continue
             words = words_of(part)
-            if _length(words) < SHORT and not _SENTENCE_END.search(part) and (LINK in words or "#" in words or not _LABEL.match(part)):
-                lines.append((part, words))
+            han = _ideographs(part, words)
+            if len(words) - han / 2 < SHORT and not _SENTENCE_END.search(part) and (LINK in words or "#" in words or not _LABEL.match(part)):
+                lines.append((part, words, han))
             else:
                 end_list()
-                out.append(_unit(part, words, 1))
+                out.append(_unit(part, words, han, 1))
     end_list()
     return out
 
 
-def _unit(text: str, words: list[str], lines: int) -> Unit:
-    return Unit(len(text), words, len(words) > 1 and reads_like_sentence(text, words, lines), words == [LINK])
+def _unit(text: str, words: list[str], han: int, lines: int) -> Unit:
+    length = len(words) - han / 2
+    return Unit(len(text), words, length, len(words) > 1 and reads_like_sentence(text, words, length, lines), words == [LINK])
 
 
-def reads_like_sentence(text: str, words: list[str], lines: int) -> bool:
+def reads_like_sentence(text: str, words: list[str], length: float, lines: int) -> bool:
     """Whether a unit is a sentence, a reference or a short line with a label, going by its words only."""
-    if lines == 1 and LINK not in words and _length(words) < SHORT and (_LABEL.match(text) or _SENTENCE_END.search(text)):
+    links = words.count(LINK)
+    if lines == 1 and not links and length < SHORT and (_LABEL.match(text) or _SENTENCE_END.search(text)):
         return True
-    if lines == 1 and words.count(LINK) == 1 and _REFERENCE.search(text):
+    if lines == 1 and links == 1 and _REFERENCE.search(text):
         return True
+    distinct = set(words)
     small = sum(map(SMALL_WORDS.__contains__, words))
-    if sum(map(_is_ideograph, words)) * 2 > len(words):
+    if length < 0.75 * len(words):  # more than half ideographs
         return small >= GLUE["ideographs"] * len(words) and len(set(zip(words, words[1:]))) > DIFFERENT["ideographs"] * (len(words) - 1)
-    return small >= GLUE["latin"] * len(words) and len(set(words) - SMALL_WORDS) > DIFFERENT["latin"] * (len(words) - small)
-
-
-def _is_ideograph(word: str) -> bool:
-    return "㐀" <= word <= "鿿"
+    return small >= GLUE["latin"] * len(words) and len(distinct - SMALL_WORDS) > DIFFERENT["latin"] * (len(words) - small)
 
 
 class Page:
