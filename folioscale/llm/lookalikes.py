@@ -4,14 +4,17 @@ Words are compared by a weighted edit automaton that walks a trie of the
 vocabulary: look-alike letters, widths, compositions and invisible characters
 cost nothing, any other edit costs 1, and with the limit 0 a word reaches
 exactly the spellings that read like it. Of these the canonical one is chosen
-(one script before several, then the most frequent). A word that reaches no
-other spelling is normalised by table. The trie is built in blocks, by the
-first letters of what a word reads as, so no task or driver holds the whole
-vocabulary; only blocks with an unusual word are visited.
+(one that has nothing odd, else one script before several, then the most
+frequent). A word that reaches no other spelling is normalised by table. Words
+are spread by what they read as, so that spellings that may reach each other
+meet and no reading crowds a task; a task walks its words in order, in tries
+of a few thousand. Only readings of an odd word are visited. Texts are read
+once, for their keys and their words.
 
 Defined results: null stays null; ordinary blanks are collapsed and trimmed;
 unusual blanks count as blanks; accents, raised and lowered digits, case and
-punctuation are kept, since a reader can see them.
+punctuation are kept, since a reader can see them. Rows that agree are given
+as pairs, or as rows with the class they are in.
 """
 
 from __future__ import annotations
@@ -24,12 +27,12 @@ from collections import Counter
 from collections.abc import Iterator
 from functools import cache
 
-import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from folioscale.runtime import cut_lineage, salt
+from folioscale.llm.pairs import pairs_within
+from folioscale.runtime import attach_group, cut_lineage
 
 #: Letters of other scripts and the Latin letters they look like.
 LOOKALIKES = {
@@ -135,9 +138,14 @@ def by_table(word: str) -> str:
 
 
 def choose(spellings: dict[str, int]) -> str:
-    """The canonical one of spellings that read the same: one script, then frequency, then the smallest."""
+    """The canonical one of spellings that read the same: nothing odd, one script, then frequency, then the smallest.
+
+    At most one of them has nothing odd: its rows keep it without being looked up.
+    """
     clean: dict[str, int] = {}
     for word, count in spellings.items():
+        if not is_odd(word):
+            return word
         form = unicodedata.normalize("NFC", _spelled(word))
         clean[form] = clean.get(form, 0) + count
     return min(clean, key=lambda form: (len({script(unit) for unit in form} - {""}) > 1, -clean[form], form))
@@ -202,86 +210,103 @@ def is_odd(text: str) -> bool:
     return not text.isascii() and _unusual().search(text) is not None
 
 
-#: Letters that name a block, and the number of tries the blocks are spread over.
-_BLOCK, _TRIES = 3, 256
-
-
-def vocabulary(df: DataFrame, fields: list[str]) -> DataFrame:
-    """(word, odd, block, n): the words of all rows, with what they may read as; combined within partitions."""
-
-    def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        words: Counter = Counter()
-        for batch in batches:
-            for column in batch.columns:
-                for text in column.to_pylist():
-                    if text:
-                        even = plain(text)
-                        words.update((_WORDS if is_odd(even) else _RUNS).findall(even))
-            if len(words) > 200_000:
-                yield table(words)
-                words = Counter()
-        yield table(words)
-
-    def table(words: Counter) -> pa.RecordBatch:
-        words.pop(" ", None)
-        odd = [is_odd(word) for word in words]
-        block = [(skeleton(word) if strange else word)[:_BLOCK] for word, strange in zip(words, odd)]
-        return pa.RecordBatch.from_arrays([pa.array(list(words), pa.string()), pa.array(odd, pa.bool_()), pa.array(block, pa.string()), pa.array(list(words.values()), pa.int64())], names=["word", "odd", "block", "n"])
+#: Words that a trie holds before the next reading starts another, and words a task counts before it passes them on.
+TRIE_WORDS, HELD = 5_000, 200_000
+_READ = "id long, stored string, key string, odd boolean, texts array<string>, word string, reading string, n long"
 
-    rows = df.select(*[F.col(name) for name in fields])
-    return rows.mapInArrow(count, "word string, odd boolean, block string, n long").groupBy("word", "odd", "block").agg(F.sum("n").alias("n"))
 
+def _read(df: DataFrame, id_col: str, fields: list[str], with_text: bool) -> DataFrame:
+    """Rows (id, stored, key, odd, texts) of the texts, and rows (word, reading, n) of the vocabulary, counted within partitions.
 
-def spellings(words: DataFrame) -> DataFrame:
-    """(word, canonical) of the odd words of a vocabulary: by trie within a block, else by table."""
-    blocks = words.where("odd").select("block").distinct()
-    pool = words.join(blocks, "block", "left_semi")
-
-    def settle(block: pd.DataFrame) -> pd.DataFrame:
-        counts = dict(zip(block["word"], block["n"]))
-        trie = Trie()
-        for word in counts:
-            trie.add(word)
-        out = []
-        for word in block.loc[block["odd"], "word"]:
-            same = trie.reach(word)
-            out.append((word, choose({x: counts[x] for x in same}) if len(same) > 1 else by_table(word)))
-        return pd.DataFrame(out, columns=["word", "canonical"])
-
-    return pool.groupBy(salt("block", _TRIES).alias("trie")).applyInPandas(settle, "word string, canonical string")
-
-
-def _digest(parts: list[str]) -> str:
-    return hashlib.md5("\x1f".join(parts).encode(), usedforsecurity=False).hexdigest()
-
+    stored hashes the stored texts; usual rows have the key (or with_text,
+    texts), odd rows texts only. With a null field, key and stored are null.
+    reading is what an odd word reads as; usual words read as they are.
+    """
 
-def _split(df: DataFrame, id_col: str, fields: list[str], with_text: bool) -> DataFrame:
-    """(id, stored, key, texts): stored hashes the stored texts; usual rows have the key (or with_text, texts), odd rows texts only.
+    def table(columns: dict[str, list], size: int) -> pa.RecordBatch:
+        types = {"id": pa.int64(), "stored": pa.string(), "key": pa.string(), "odd": pa.bool_(), "texts": pa.list_(pa.string()), "word": pa.string(), "reading": pa.string(), "n": pa.int64()}
+        return pa.RecordBatch.from_arrays([pa.array(columns.get(name, [None] * size), kind) for name, kind in types.items()], names=list(types))
 
-    With a null field, key and stored are null.
-    """
+    def counted(words: Counter) -> pa.RecordBatch:
+        words.pop(" ", None)
+        return table({"word": list(words), "reading": [skeleton(word) if is_odd(word) else None for word in words], "n": list(words.values())}, len(words))
 
     def rows(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        words: Counter = Counter()
         for batch in batches:
             columns = [column.to_pylist() for column in batch.columns]
             stored, keys, odd, texts = [], [], [], []
             for row in zip(*columns[1:]):
-                whole = None not in row
-                even = [plain(text) if text is not None else None for text in row]
-                strange = any(text is not None and is_odd(text) for text in even)
+                whole, strange = None not in row, False
+                even = []
+                for text in row:
+                    text = text if text is None else plain(text)
+                    even.append(text)
+                    if text:
+                        unusual = is_odd(text)
+                        strange = strange or unusual
+                        words.update((_WORDS if unusual else _RUNS).findall(text))
                 odd.append(strange)
                 stored.append(_digest([tidy(text) for text in row]) if whole else None)
                 keys.append(_digest(even) if whole and not strange else None)
                 texts.append(even if strange or with_text else None)
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(stored, pa.string()), pa.array(keys, pa.string()), pa.array(odd, pa.bool_()), pa.array(texts, pa.list_(pa.string()))], names=["id", "stored", "key", "odd", "texts"])
+            yield table({"id": columns[0], "stored": stored, "key": keys, "odd": odd, "texts": texts}, len(odd))
+            if len(words) > HELD:
+                yield counted(words)
+                words = Counter()
+        yield counted(words)
 
     named = [F.col(name).alias(f"text_{i}") for i, name in enumerate(fields)]
-    return df.select(F.col(id_col).cast("long").alias("id"), *named).mapInArrow(rows, "id long, stored string, key string, odd boolean, texts array<string>")
+    return cut_lineage(df.select(F.col(id_col).cast("long").alias("id"), *named).mapInArrow(rows, _READ))
+
+
+def spellings(words: DataFrame) -> DataFrame:
+    """(word, canonical) of the odd words of a vocabulary (word, reading, n): by trie, else by table."""
+    counts = cut_lineage(words.groupBy("word", "reading").agg(F.sum("n").alias("n")).withColumn("as", F.coalesce("reading", "word")))
+    pool = counts.join(counts.where("reading is not null").select("as").distinct(), "as", "left_semi")
+
+    def settle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held: dict[str, int] = {}
+        last = None
+        for batch in batches:
+            out: list[tuple[str, str]] = []
+            for reading, word, n in zip(*(column.to_pylist() for column in batch.columns)):
+                if reading != last and len(held) >= TRIE_WORDS:
+                    out += canonical(held)
+                    held = {}
+                held[word], last = n, reading
+            yield _pairs(out)
+        yield _pairs(canonical(held))
+
+    return pool.select("as", "word", "n").repartition("as").sortWithinPartitions("as").mapInArrow(settle, "word string, canonical string")
+
+
+def _pairs(rows: list[tuple[str, str]]) -> pa.RecordBatch:
+    words, forms = zip(*rows) if rows else ((), ())
+    return pa.RecordBatch.from_arrays([pa.array(words, pa.string()), pa.array(forms, pa.string())], names=["word", "canonical"])
+
+
+def canonical(counts: dict[str, int]) -> list[tuple[str, str]]:
+    """(word, canonical spelling) of the odd ones among some words."""
+    trie = Trie()
+    for word in counts:
+        trie.add(word)
+    out = []
+    for word in counts:
+        if is_odd(word):
+            same = trie.reach(word)
+            out.append((word, choose({x: counts[x] for x in same}) if len(same) > 1 else by_table(word)))
+    return out
+
+
+def _digest(parts: list[str]) -> str:
+    return hashlib.md5("\x1f".join(parts).encode(), usedforsecurity=False).hexdigest()
 
 
-def _mended(odd: DataFrame, df: DataFrame, fields: list[str]) -> DataFrame:
-    """The odd rows of _split with their texts in consistent form."""
-    chosen = cut_lineage(spellings(cut_lineage(vocabulary(df, fields))))
+def _mended(read: DataFrame, fields: list[str]) -> DataFrame:
+    """(id, stored, texts): the odd rows of _read with their texts in consistent form."""
+    odd = read.where("odd").select("id", "stored", "texts")
+    chosen = cut_lineage(spellings(read.where("word is not null").select("word", "reading", "n")))
 
     def words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -298,19 +323,30 @@ def _mended(odd: DataFrame, df: DataFrame, fields: list[str]) -> DataFrame:
 
 def consistent(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
     """(id, <fields>): each field in its consistent form."""
-    rows = cut_lineage(_split(df, id_col, fields, True))
-    all_rows = _mended(rows.where("odd"), df, fields).unionByName(rows.where("not odd").select("id", "stored", "texts"))
+    read = _read(df, id_col, fields, True)
+    all_rows = _mended(read, fields).unionByName(read.where("not odd").select("id", "stored", "texts"))
     return all_rows.select("id", *[F.col("texts")[i].alias(name) for i, name in enumerate(fields)])
 
 
-def alike_pairs(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
-    """(id_a, id_b): rows whose fields (none null) all read the same while a stored text differs."""
-    rows = cut_lineage(_split(df, id_col, fields, False)).where("stored is not null")
-    odd = _mended(rows.where("odd"), df, fields).select("id", F.md5(F.array_join("texts", "\x1f")).alias("key"), "stored")
+def alike(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """(id, key, stored): rows whose fields (none null) read like those of another row and differ in a stored text from some row of their key."""
+    read = _read(df, id_col, fields, False)
+    odd = _mended(read.where("stored is not null or word is not null"), fields).select("id", F.md5(F.array_join("texts", "\x1f")).alias("key"), "stored")
     odd = cut_lineage(odd)
-    keyed = rows.where("not odd").select("id", "key", "stored").unionByName(odd)
+    keyed = read.where("stored is not null and not odd").select("id", "key", "stored").unionByName(odd)
     mixed = keyed.groupBy("key").agg(F.min("stored").alias("low"), F.max("stored").alias("high")).where("low <> high").select("key")
-    kept = cut_lineage(keyed.join(mixed, "key", "left_semi"))
-    left = kept.select("key", F.col("id").alias("id_a"), F.col("stored").alias("stored_a"))
-    right = kept.select("key", F.col("id").alias("id_b"), F.col("stored").alias("stored_b"))
-    return left.join(right, "key").where("id_a < id_b AND stored_a <> stored_b").select("id_a", "id_b")
+    return cut_lineage(keyed.join(mixed, "key", "left_semi"))
+
+
+def alike_pairs(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """(id_a, id_b): rows whose fields (none null) all read the same while a stored text differs."""
+    pairs = pairs_within(alike(df, id_col, fields), "key", "id", "stored").where("stored_a <> stored_b")
+    return pairs.select(F.col("a").alias("id_a"), F.col("b").alias("id_b"))
+
+
+def alike_classes(df: DataFrame, id_col: str, fields: list[str]) -> DataFrame:
+    """(id, class, members, spellings): the rows of alike_pairs, each with the smallest id, the rows and the stored spellings of its class."""
+    rows = alike(df, id_col, fields)
+    forms = rows.groupBy("key", "stored").agg(F.min("id").alias("class"), F.count(F.lit(1)).alias("members"))
+    classes = forms.groupBy("key").agg(F.min("class").alias("class"), F.sum("members").alias("members"), F.count(F.lit(1)).alias("spellings"))
+    return attach_group(rows.select("id", "key"), classes, ["key"], "members").select("id", "class", "members", "spellings")

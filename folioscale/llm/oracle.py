@@ -57,8 +57,8 @@ select l.dedup_key, {', '.join(f'w.{f}' for f in fields)}, coalesce(ls.direction
 
 
 @cache
-def _p6() -> str:
-    """Characters are replaced one by one from the tables of the operator; only what has no accents to take apart."""
+def _p6() -> tuple[str, str]:
+    """SQL of the classes and of the pairs. Characters are replaced one by one from the tables of the operator; only what has no accents to take apart."""
     source, target = lookalikes._punctuation()
     pairs = dict(zip(source + lookalikes.UNUSUAL_BLANKS, target + " " * len(lookalikes.UNUSUAL_BLANKS))) | lookalikes.LOOKALIKES
     longer = {}
@@ -81,8 +81,9 @@ def _p6() -> str:
         return f"trim(regexp_replace({text}, '\\s+', ' ', 'g'), ' ')"
 
     stored = "trim(regexp_replace({}, '[ \\t\\r\\n]+', ' ', 'g'), ' ')".format
-    return f"""
-with forms as (select paper_id, {form_of('title')} t, {form_of('first_author')} a, {stored('title')} st, {stored('first_author')} sa from papers where title is not null and first_author is not null)
+    forms = f"with forms as (select paper_id, {form_of('title')} t, {form_of('first_author')} a, {stored('title')} st, {stored('first_author')} sa from papers where title is not null and first_author is not null)"
+    classes = f"{forms}, c as (select t, a, min(paper_id) class_id, count(*) members, count(distinct (st, sa)) spellings from forms group by t, a) select paper_id, class_id, members, spellings from forms join c using (t, a) where spellings > 1"
+    return classes, f"""{forms}
 select x.paper_id as paper_id_a, y.paper_id as paper_id_b from forms x join forms y on x.t = y.t and x.a = y.a and x.paper_id < y.paper_id and (x.st <> y.st or x.sa <> y.sa)
 """
 
@@ -100,7 +101,8 @@ def oracle() -> dict[str, str]:
         "p3_records": _P3 + "select keep_id, count(*) as copies from grouped group by keep_id",
         "p4_found": _P4_FOUND,
         "p4_survivors": _p4_survivors(),
-        "p6_found": _p6(),
+        "p6_classes": _p6()[0],
+        "p6_found": _p6()[1],
         "p7_found": f"""
             select direction::bigint as direction, paper_id, rank_no from (select direction, paper_id, row_number() over (partition by direction
             order by {_RANK}, relevance desc nulls last, paper_id) as rank_no from papers where direction is not null) where rank_no <= 10""",

@@ -73,6 +73,12 @@ def p6_found(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pairs.select(F.col("id_a").alias("paper_id_a"), F.col("id_b").alias("paper_id_b"))
 
 
+def p6_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The rows of p6_found with the class they are in, instead of its pairs."""
+    rows = lookalikes.alike_classes(read_table(spark, sf_dir, "papers"), "paper_id", ["title", "first_author"])
+    return rows.select(F.col("id").alias("paper_id"), F.col("class").alias("class_id"), "members", "spellings")
+
+
 def p6_text(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = lookalikes.consistent(read_table(spark, sf_dir, "papers"), "paper_id", ["title", "first_author"])
     return rows.select(F.col("id").alias("paper_id"), "title", "first_author")
@@ -128,6 +134,7 @@ QUERIES: dict[str, Query] = {
     "p4_survivors": p4_survivors,
     "p5_found": p5_found,
     "p6_found": p6_found,
+    "p6_classes": p6_classes,
     "p6_text": p6_text,
     "p7_found": p7_found,
     "p8_found": p8_found,

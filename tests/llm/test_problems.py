@@ -344,6 +344,20 @@ def test_alike_pairs_against_brute_force(spark):
     found = {tuple(row) for row in lookalikes.alike_pairs(table, "paper_id", ["title", "first_author"]).collect()}
     assert found == expected and (902, 903) in found
     assert lookalikes.alike_pairs(table.limit(0), "paper_id", ["title", "first_author"]).count() == 0
+    classes = {row.id: row for row in lookalikes.alike_classes(table, "paper_id", ["title", "first_author"]).collect()}
+    assert set(classes) == {i for pair in expected for i in pair} and all(classes[i]["class"] == classes[j]["class"] for i, j in expected)
+    assert all(row.members == sum(other["class"] == row["class"] for other in classes.values()) for row in classes.values())
+
+
+def test_readings_of_a_large_foreign_source(spark):
+    """Where a word of look-alikes only is commoner in Cyrillic than in Latin letters, its rows agree all the same."""
+    rows = [(1, "A. in ACE", "Moxo B."), (2, "А. in АСЕ", "Moxo В.")] + [(i, "А. и АСЕ", "В.") for i in range(3, 60)]
+    table = spark.createDataFrame(rows, "paper_id long, title string, first_author string")
+    assert [tuple(row) for row in lookalikes.alike_pairs(table, "paper_id", ["title", "first_author"]).collect()] == [(1, 2)]
+    text = {row.id: (row.title, row.first_author) for row in lookalikes.consistent(table, "paper_id", ["title", "first_author"]).collect()}
+    assert text[1] == text[2] == ("A. in ACE", "Moxo B.")
+    small = dict(lookalikes.canonical({f"w{i}о": 1 for i in range(40)} | {"w7o": 1}))
+    assert small["w7о"] == "w7o" and small["w8о"] == "w8o"
 
 
 def test_consistent_text(spark):
@@ -571,7 +585,7 @@ def test_counts_are_those_of_all_words_and_neighbours(spark):
 def test_spam_is_shown_by_the_counts(spark):
     """Without the counts (every PMI middling) nothing but bare links is found."""
     words = page_spam.words_of("buy paper buy paper buy paper cheap essay paper help cheap essay " * 8)
-    unit = page_spam.Unit(99, words, False, False)
+    unit = page_spam.Unit(99, words, 60.0, False, False)
     middling, never = [1.5] * (len(words) - 1), [False] * (len(words) - 1)
     import numpy as np
 
