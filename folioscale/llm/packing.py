@@ -6,11 +6,12 @@ and one small task per pool packs these counts, largest size first, into the
 open bins with the least room that still holds them, whole stacks of equal
 bins at a time. When no bin fits, bins of the capacity with the least cost
 per packed unit are opened, and at the end each bin is cut down to the
-smallest permitted capacity that holds its contents. Where sizes are few, the
-fullest possible filling of each opened bin is tried as well, and the way
-with the fewest bins, then the least capacity, is taken. Items are then numbered
-within their pool and size, without one task per pool, and looked up in the
-pool's layout. The work per pool depends on the number of sizes, not items.
+smallest permitted capacity that holds its contents. This is tried for a few
+costs of opening, and with each opened bin filled as fully as can be found;
+the way of least cost is taken, a bin costing its capacity and OPENING_COST
+times the limit. Items are then numbered within their pool and size, without
+one task per pool, and looked up in the pool's layout. The work per pool
+depends on the number of sizes, not items, and is done alike at any size.
 
 Defined results: an item larger than the largest capacity, and no other, is
 split into full pieces and a rest; items without a positive count have
@@ -23,6 +24,7 @@ counts.
 from __future__ import annotations
 
 from bisect import bisect_left, insort
+from itertools import islice
 
 import pandas as pd
 from pyspark.sql import DataFrame
@@ -31,9 +33,14 @@ from pyspark.sql import types as T
 
 from folioscale.runtime import attach_group, cut_lineage, map_groups, numbered
 
-#: Permitted capacities as fractions of the limit, and the cost of opening any bin, in units of the limit.
+#: Permitted capacities as fractions of the limit, the cost of a bin besides its capacity, and the costs tried when bins are opened, in units of the limit.
 FRACTIONS = (1.0, 0.75, 0.5, 0.25)
-OPENING_COST = 0.25
+OPENING_COST = 4.0
+OPENINGS = (0.25, 1.0, 4.0)
+#: Groups of equal items looked at, largest first, to fill an opened bin.
+LOOK = 256
+#: Items that one task numbers.
+NUMBERED_ROWS = 50_000
 
 
 def capacities(limit: int, fractions: tuple[float, ...] = FRACTIONS) -> list[int]:
@@ -102,33 +109,34 @@ def pack_counts(sizes: dict[int, int], permitted: list[int], opening: float) ->
     return out
 
 
-#: Cells of the table that finds the fullest bin; with more sizes and room than this, plain best fit decides.
-FILL_CELLS = 100_000
+def fullest(room: int, available: list[tuple[int, int]]) -> dict[int, int]:
+    """Items (size, n), largest first, that fill a room best: sums that can be reached are the bits of a number."""
+    mask, reach = (1 << (room + 1)) - 1, 1
+    steps: list[tuple[int, int, int]] = []
+    for size, n in available:
+        times = 1
+        while n and size * times <= room and len(steps) < LOOK and not reach >> room & 1:
+            times = min(times, n)
+            steps.append((size, times, reach))
+            reach |= reach << size * times & mask
+            n -= times
+            times *= 2
+    at, contents = reach.bit_length() - 1, {}
+    for size, times, before in reversed(steps):
+        if not before >> at & 1:
+            contents[size] = contents.get(size, 0) + times
+            at -= size * times
+    return contents
 
 
 def fullest_counts(sizes: dict[int, int], permitted: list[int]) -> list[tuple[int, int, dict[int, int]]]:
     """As pack_counts, each bin opened for the largest item left and filled with the sizes that best fit its whole room."""
-    limit, left, out = max(permitted), dict(sizes), []
+    limit, left, out = max(permitted), dict(sorted(sizes.items(), reverse=True)), []
     while left:
-        largest = max(left)
-        contents = {largest: 1}
-        # best[r]: for a filled room r, the last size put in and how many of it
-        best: dict[int, tuple[int, int]] = {0: (0, 0)}
-        room = limit - largest
-        for size in sorted(left, reverse=True):
-            available = left[size] - (size == largest)
-            for base in sorted(best, reverse=True) if available and size <= room else ():
-                for n in range(1, min(available, (room - base) // size) + 1):
-                    if base + n * size in best:
-                        break
-                    best[base + n * size] = (size, n)
-            if room in best:
-                break
-        at = max(best)
-        while at:
-            size, n = best[at]
-            contents[size] = contents.get(size, 0) + n
-            at -= size * n
+        largest = next(iter(left))
+        rest = ((size, n - (size == largest)) for size, n in left.items() if size <= limit - largest)
+        contents = fullest(limit - largest, list(islice(rest, LOOK)))
+        contents[largest] = contents.get(largest, 0) + 1
         bins = min(left[size] // n for size, n in contents.items())
         for size, n in contents.items():
             left[size] -= n * bins
@@ -139,13 +147,15 @@ def fullest_counts(sizes: dict[int, int], permitted: list[int]) -> list[tuple[in
     return out
 
 
+def cost(stacks: list[tuple[int, int, dict[int, int]]], limit: int) -> float:
+    return sum(bins * (capacity + OPENING_COST * limit) for capacity, bins, _ in stacks)
+
+
 def pack_best(sizes: dict[int, int], limit: int) -> list[tuple[int, int, dict[int, int]]]:
-    """The stacks with the fewest bins, then the least capacity, of the ways to open and fill bins."""
+    """The stacks of least cost, of the ways to open and fill bins."""
     permitted = capacities(limit)
-    tries = [pack_counts(sizes, permitted, opening * limit) for opening in (OPENING_COST, 4.0)]
-    if len(sizes) * limit <= FILL_CELLS:
-        tries.append(fullest_counts(sizes, permitted))
-    return min(tries, key=lambda stacks: (sum(bins for _, bins, _ in stacks), sum(bins * capacity for capacity, bins, _ in stacks)))
+    tries = [pack_counts(sizes, permitted, opening * limit) for opening in OPENINGS]
+    return min([*tries, fullest_counts(sizes, permitted)], key=lambda stacks: cost(stacks, limit))
 
 
 _LAYOUT = "pool long, bins long, size int, n long, slots array<struct<first:long,bin:long,each:int,capacity:int>>"
@@ -193,23 +203,30 @@ def pack(items: DataFrame, item: str, pool: str, count: str, limit: str) -> Data
     counts = loose.groupBy("pool", "capacity", "size").agg(F.count(F.lit(1)).alias("n"))
     layout = cut_lineage(map_groups(counts, "pool", _lay_out, _LAYOUT))
     ordered = loose.withColumn("_order", F.xxhash64("item", "piece_no"))
-    placed = attach_group(numbered(ordered, ["pool", "size"], "_order", "number"), layout.drop("bins"), ["pool", "size"], "n")
+    placed = attach_group(numbered(ordered, ["pool", "size"], "_order", "number", _buckets(layout)), layout.drop("bins"), ["pool", "size"], "n")
     slot = F.element_at(F.filter("slots", lambda s: s["first"] <= F.col("number")), -1)
     placed = placed.withColumn("slot", slot).select("plan", F.col("capacity").alias("limit"), (F.col("slot.bin") + F.floor((F.col("number") - F.col("slot.first")) / F.col("slot.each"))).cast("long").alias("bin"), F.col("slot.capacity").alias("capacity"), "item", "piece_no", "size")
     # bins of full pieces have the numbers after those of the layout, by hash of the piece
-    full = numbered(whole.withColumn("_order", F.xxhash64("item", "piece_no")), ["pool"], "_order", "number")
-    after = whole.groupBy("pool").agg(F.count(F.lit(1)).alias("n")).join(layout.select("pool", "bins").distinct(), "pool", "left").withColumn("bins", F.coalesce("bins", F.lit(0)))
+    after = cut_lineage(whole.groupBy("pool").agg(F.count(F.lit(1)).alias("n")).join(layout.select("pool", "bins").distinct(), "pool", "left").withColumn("bins", F.coalesce("bins", F.lit(0))))
+    full = numbered(whole.withColumn("_order", F.xxhash64("item", "piece_no")), ["pool"], "_order", "number", _buckets(after))
     full = attach_group(full, after, ["pool"], "n")
     full = full.select("plan", F.col("capacity").alias("limit"), (F.col("bins") + F.col("number")).alias("bin"), "capacity", "item", "piece_no", "size")
     return placed.unionByName(full)
 
 
+def _buckets(groups: DataFrame) -> int:
+    """Buckets to number the rows of groups (n) in, so that a hot group is spread over tasks of about NUMBERED_ROWS."""
+    return max(64, min(65_536, (groups.agg(F.sum("n")).first()[0] or 0) // NUMBERED_ROWS))
+
+
 def batches(items: DataFrame) -> DataFrame:
     """The batches of dispatch_items: one row per batch with its items, tags, filled size and capacity."""
     whole = F.max(F.struct("plan_id", "item_count", "batch_limit", F.coalesce("tags", F.array().cast(T.ArrayType(T.StringType()))).alias("tags")))
     items = items.groupBy("item_id").agg(whole.alias("r")).select("item_id", "r.*")
     packed = pack(items, "item_id", "plan_id", "item_count", "batch_limit")
-    tagged = packed.join(items.select(F.col("item_id").cast("long").alias("item"), "tags"), "item", "left")
+    # an item may have any number of pieces
+    pieces_of = F.ceil(F.col("item_count") / F.col("batch_limit")).cast("long").alias("n")
+    tagged = attach_group(packed, items.where("item_count > 0 and batch_limit > 0").select(F.col("item_id").cast("long").alias("item"), "tags", pieces_of), ["item"], "n")
     grouped = tagged.groupBy(F.col("plan").alias("plan_id"), "limit", "bin").agg(
         F.max("capacity").alias("capacity"),
         F.sum("size").cast("long").alias("filled"),

@@ -78,6 +78,23 @@ def test_stacks_hold_the_counts(sizes):
     assert math.ceil(total / 50) <= bins <= max(1, math.floor(1.7 * max(total / 50, sum(n for s, n in sizes.items() if s > 25)) + 1))
 
 
+@settings(max_examples=60, deadline=None)
+@given(st.integers(1, 60), st.dictionaries(st.integers(1, 30), st.integers(1, 9), max_size=8))
+def test_fullest_filling_is_the_best_sum(room, sizes):
+    sums = {0}
+    for size, n in sizes.items():
+        sums = {s + k * size for s in sums for k in range(n + 1) if s + k * size <= room}
+    found = packing.fullest(room, sorted(sizes.items(), reverse=True))
+    assert sum(s * n for s, n in found.items()) == max(sums) and all(n <= sizes[s] for s, n in found.items())
+
+
+def test_item_of_many_pieces_and_hot_pool(spark):
+    items = [(1, 1, ["a"], 70_000, 2, 0), (2, 1, ["b"], 3, 2, 0)] + [(i, 1, None, 1, 2, 0) for i in range(3, 9000)]
+    rows = packing.batches(spark.createDataFrame(items, ITEMS)).collect()
+    check_batches(items, rows)
+    assert len(rows) == 35_000 + 1 + math.ceil((1 + 8997) / 2)
+
+
 # 2 names
 
 
@@ -504,6 +521,19 @@ def test_mixture_short_and_empty(spark):
     assert mixture(spark, [], [("A", 1.0, 1)])[0] == [] and mixture(spark, docs, [])[1] == {}
 
 
+def test_mixture_of_many_patterns(spark):
+    """Texts in many combinations of sources, one of which holds half of them."""
+    rng = random.Random(12)
+    names_ = [f"s{i}" for i in range(8)]
+    docs, number = [], 0
+    for i in range(600):
+        for name in names_[:1] if i % 2 else rng.sample(names_, rng.randint(1, 6)):
+            docs.append((number, f"text {i} " + "word " * 30, name, 0))
+            number += 1
+    rows, shares = mixture(spark, docs, [(name, 1 / 8, 2) for name in names_])
+    assert max(abs(row.share - 1 / 8) for row in shares.values()) < 0.03 and max(row.uses for row in rows) <= 2
+
+
 @settings(max_examples=40, deadline=None)
 @given(st.lists(st.tuples(st.sets(st.sampled_from("ABC"), min_size=1), st.integers(1, 50)), min_size=1, max_size=6), st.integers(1, 200))
 def test_route_is_a_flow_of_least_repetition(pools, total):
