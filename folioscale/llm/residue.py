@@ -13,6 +13,9 @@ too, and those with unmistakable evidence (template syntax, tracebacks, status
 pages) are protected from the subtraction. Keys are read by their form; a key
 of no real form that several hosts have is residue too, since a key names one
 work. (Keys of real form collide by chance, so their counts tell nothing.)
+The words of filler are learned from the corpus: beside those of the well-known
+passage, words are filler that are mostly found in company of its first two,
+and a run of them is evidence, so invented Latin needs no list.
 
 Defined results: null, blank and missing-value marks (—, -, N/A, 无) are no
 evidence; a record is excluded once, whatever the number of its fields with
@@ -21,9 +24,14 @@ evidence; very long fields are searched whole.
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import and_
+
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from folioscale.runtime import cut_lineage
+
 #: A form of words is boilerplate if it makes up at least 1/RECURS of all lines (so at most RECURS are) ...
 RECURS = 500
 #: ... and no host has more than 1/SPREAD of its lines beyond the host's own share of all lines, and it was seen this often at least.
@@ -57,10 +65,15 @@ SCRIPTS = [
     r"(?i)(?:enable|requires?|turn on|activate|without|allow)\b[^.;；]{0,40}\b(?:javascript|scripts?|scripting|cookies)\b|javascript is (?:disabled|required|turned off)|your browser is out of date",
     r"(?i)(?:未启用|请启用|请开启|需要启用)\s*JavaScript|需要脚本支持|脚本被拦截|启用脚本|浏览器不支持脚本",
 ]
-#: Filler: invented Latin, repeated units, keyboard runs. The words of the invented Latin.
-_LATIN = r"(?:lorem|ipsum|dolor|amet|adipra|magnor|sollen|elitra|vertul|quisol|merit|prudam|vado|tacta|conset)"
+#: The words of the well-known filler passage (small words of living languages left out).
+PASSAGE = frozenset(
+    "lorem ipsum dolor amet consectetur adipiscing elit eiusmod tempor incididunt labore dolore magna aliqua veniam nostrud exercitation ullamco laboris nisi aliquip commodo consequat duis aute irure reprehenderit voluptate velit cillum fugiat nulla pariatur excepteur sint occaecat cupidatat proident sunt culpa officia deserunt mollit laborum".split()
+)
+#: A word is filler if at least this share of the lines that have it, two at least, name the passage; a run of so many is evidence.
+FILLER_SHARE, FILLER_RUN = 0.25, 3
+#: Filler of other kinds: the passage named, repeated units, keyboard runs.
 FILLER = [
-    r"(?i)\b" + _LATIN + r"(?:\s+" + _LATIN + r"){2,}\b|\blorem[\s_]*ipsum\b",
+    r"(?i)\blorem[\s_]*ipsum\b",
     r"^[\s*>-]*(\S)\1{2,}[\s!.。…]*$", r"(?:^|[\s；;。，*>-])(\S{1,6}?)(?:\s?\1){3,}(?:$|[\s；;。，.!>…])", r"(?:^|[\s；;。，*>-])(\S{2,8}?)(?:\s?\1){2,}(?:$|[\s；;。，.!>…])", r"(?i)\bblah blah\b|\basdf asdf\b|\bqwer qwer\b",
 ]
 #: What stands alone where content should be; a number, a name in brackets or punctuation may follow.
@@ -117,13 +130,15 @@ def residue(df: DataFrame, id_col: str, key: str | None, texts: list[str], host:
     """(id) of the records to exclude. `texts` are searched as lines, `key` as a citation key; `host` names where a record is from."""
     rows = df.select(F.col(id_col).alias("id"), F.col(host).alias("host"), *([F.col(key).alias("key")] if key else []), F.array(*[F.col(name) for name in texts]).alias("texts"))
     lines = rows.select("id", "host", F.explode("texts").alias("text")).where(~missing(F.col("text"))).select("id", "host", F.explode(F.split("text", LINES)).alias("line")).where(~missing(F.col("line")))
-    lines = lines.withColumn("form", masked(F.col("line")))
+    # read several times below
+    lines = cut_lineage(lines.withColumn("form", masked(F.col("line"))))
     boilerplate = F.broadcast(shared_forms(lines))
     line = F.col("line")
     residual = lines.join(boilerplate, "form", "left_anti").where(evident(line) | line.rlike(AMBIGUOUS) & ~line.rlike(REFERENCE)).select("id")
     subtracted = lines.join(boilerplate, "form", "left_semi")
     protected = subtracted.select("line").distinct().where(evident(line))
-    found = residual.unionByName(subtracted.join(protected, "line", "left_semi").select("id"))
+    filler = filler_forms(lines.select("form").distinct())
+    found = residual.unionByName(subtracted.join(protected, "line", "left_semi").select("id")).unionByName(lines.join(filler, "form", "left_semi").select("id"))
     if key:
         keys = rows.where(~missing(F.col("key"))).select("id", "host", F.trim("key").alias("key"))
         odd = keys.where(~F.col("key").rlike(REAL_KEY) & F.col("host").isNotNull())
@@ -132,6 +147,20 @@ def residue(df: DataFrame, id_col: str, key: str | None, texts: list[str], host:
     return found.distinct()
 
 
+def filler_forms(forms: DataFrame) -> DataFrame:
+    """(form) of the distinct forms of lines that have a run of filler words, learned by whose company words keep."""
+    # what is not a Latin word keeps its place, so that it ends a run
+    tokens = F.regexp_extract_all("form", F.lit(r"([a-z]+|[^a-z\s])"), 1)
+    named = F.col("form").rlike(r"\b(?:lorem|ipsum)\b") & ~F.col("form").rlike(REFERENCE)
+    latin = forms.where(F.col("form").rlike(r"[a-z]+(?:\s+[a-z]+){%d}" % (FILLER_RUN - 1))).select("form", tokens.alias("words"), named.alias("named"))
+    words = latin.select("named", F.explode(F.array_distinct("words")).alias("word")).groupBy("word").agg(F.count(F.lit(1)).alias("n"), F.count_if("named").alias("k"))
+    known = (F.col("n") >= 2) & (F.col("k") >= FILLER_SHARE * F.col("n")) & F.col("word").rlike("^[a-z]{3,}$")
+    learned = words.where(known | F.col("word").isin(*PASSAGE)).select("word")
+    placed = latin.select("form", F.posexplode("words").alias("at", "word")).join(learned, "word").groupBy("form").agg(F.collect_set("at").alias("places"))
+    run = F.exists("places", lambda i: reduce(and_, [F.array_contains("places", i + k) for k in range(1, FILLER_RUN)]))
+    return placed.where(run).select("form")
+
+
 def shared_forms(lines: DataFrame) -> DataFrame:
     """(form) of the boilerplate among lines (host, form), at most RECURS; hosts are counted exactly."""
     by_host = lines.groupBy("form", F.coalesce("host", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("n"))

@@ -292,29 +292,31 @@ def test_old_votes_count_as_much_as_new_ones(spark):
 # 5 residue
 
 
-@pytest.mark.parametrize(
-    "text, found",
-    [
+NOTES = [
         ("{{scene}}", True), ("支撑__________的论证", True), ("用于第__usage__章说明", True), ("Lorem ipsum dolor sit", True), ("404 Not Found", True), ("Traceback (most recent call last): KeyError", True), ("请求超时，文献1详情加载失败", True),
         ("Please enable JavaScript to view this abstract", True), ("本页面需要脚本支持，请更换浏览器", True), ("TODO", True), ("待补充 7。", True), ("??????", True), ("示例：可在某节引用", True), ("可在<claim_text>节引用", True), ("好的，我将根据要求填写引用场景：", True), ("界定概念，与区分 null", True),
         ("界定技术采纳概念，与公共采购区分", False), ("<资源重构> 量表的来源，5.3节", False), ("[综述] 绿色创新的影响机制，1.1节", False), ("Section 2.5: TODO lists as a tool of job crafting", False), ("Access was denied to half of the sample firms; use as limitation in 2.5", False),
         ("讨论平台错误页面对用户信任的影响，可在2.5节引用", False), ("null results on trust repair (placebo test), cite in 2.2", False), ("Describes undefined property rights around noise exposure", False), (r"用于 \textbf{碳核算} 的定义，见3.1节", False), ("JavaScript 生态中开源治理的案例，支撑产业集群", False),
         ("说明问卷模板中占位符对作答率的影响，1.3节", False), ("待填补的研究空白：专利组合与社区治理的关系，3.1节", False), ("Lorem-style dummy items in surveys: see method 5.1", False), (None, False), ("", False), (" — ", False), ("N/A", False), ("无", False),
-    ],
-)
-def test_residue_in_notes(spark, text, found):
-    table = spark.createDataFrame([(1, "smith2020a", text, "J", "x")], "entry_id long, citation_key string, note string, journal string, host string")
-    assert (residue.residue(table, "entry_id", "citation_key", ["note"], "journal").count() == 1) is found
+]
 
 
-@pytest.mark.parametrize(
-    "key, found",
-    [("{{author}}2024{{letter}}", True), ("your-key-here", True), ("lorem_ipsum", True), ("undefinedNaNundefined", True), ("None2023", True), ("[key]", True), ("error500", True), ("待填", True), ("TODO-2020", True), ("surnameYYYYt", True), ("__surname__2012m", True),
-     ("smith2020a", False), ("TODOFUMEND2023M", False), ("TESTODRUTIND2016U", False), ("cn0_20_2022l", False), ("pidestobrirg2024t-b", False), ("stipovudum_2015b", False), ("cn6942016r", False), ("MUMEPABIM2014U", False), ("-", False), (None, False)],
-)
-def test_residue_in_keys(spark, key, found):
-    table = spark.createDataFrame([(1, key, None, None)], "entry_id long, citation_key string, note string, journal string")
-    assert (residue.residue(table, "entry_id", "citation_key", ["note"], "journal").count() == 1) is found
+def test_residue_in_notes(spark):
+    table = spark.createDataFrame([(i, "smith2020a", text, "J", "x") for i, (text, _) in enumerate(NOTES)], "entry_id long, citation_key string, note string, journal string, host string")
+    ids = {row.id for row in residue.residue(table, "entry_id", "citation_key", ["note"], "journal").collect()}
+    assert [NOTES[i] for i in range(len(NOTES)) if (i in ids) is not NOTES[i][1]] == []
+
+
+KEYS = [
+     ("{{author}}2024{{letter}}", True), ("your-key-here", True), ("lorem_ipsum", True), ("undefinedNaNundefined", True), ("None2023", True), ("[key]", True), ("error500", True), ("待填", True), ("TODO-2020", True), ("surnameYYYYt", True), ("__surname__2012m", True),
+     ("smith2020a", False), ("TODOFUMEND2023M", False), ("TESTODRUTIND2016U", False), ("cn0_20_2022l", False), ("pidestobrirg2024t-b", False), ("stipovudum_2015b", False), ("cn6942016r", False), ("MUMEPABIM2014U", False), ("-", False), (None, False),
+]
+
+
+def test_residue_in_keys(spark):
+    table = spark.createDataFrame([(i, key, None, None) for i, (key, _) in enumerate(KEYS)], "entry_id long, citation_key string, note string, journal string")
+    ids = {row.id for row in residue.residue(table, "entry_id", "citation_key", ["note"], "journal").collect()}
+    assert [KEYS[i] for i in range(len(KEYS)) if (i in ids) is not KEYS[i][1]] == []
 
 
 def test_residue_subtracts_boilerplate(spark):
@@ -337,6 +339,18 @@ def test_residue_is_judged_alike_at_every_size(spark, times):
     assert {"错误的类型 0", "0 not found"} <= {row.form for row in forms.collect()} and forms.where("form = '出现错误'").count() == 0
 
 
+def test_filler_is_learned_from_its_company(spark):
+    rng = random.Random(5)
+    coined = "veropas mindel tarsico lumbrae hostiva quendo".split()
+    filler = [" ".join(rng.choice([*coined, "lorem", "ipsum"]) for _ in range(7)) for _ in range(60)]
+    notes = [f"Contrast case for {a} {b}; discussion {i}" for i, (a, b) in enumerate(itertools.product("trade health school water".split(), "policy survey panel index".split()))]
+    odd = ["dolor sit amet, consectetur adipiscing elit, sed do eiusmod", "lumbrae quendo veropas", "Lorem-style dummy items in surveys: see method 5.1", "the lumbrae index, 2.1节"]
+    rows = [(i, "k2020a", text, f"J{i % 9}") for i, text in enumerate([*filler, *odd, *notes])]
+    table = spark.createDataFrame(rows, "entry_id long, citation_key string, note string, journal string")
+    found = {row.id for row in residue.residue(table, "entry_id", "citation_key", ["note"], "journal").collect()}
+    assert found == {*range(60), 60, 61}
+
+
 def test_residue_in_keys_by_hosts(spark):
     rows = [(1, "qqq0000x", "J1"), (2, "qqq0000x", "J2"), (3, "cn0_20_2022l", "J1"), (4, "cn0_20_2022l", "J1"), (5, "stotekupem2014d", "J1"), (6, "stotekupem2014d", "J2"), (7, "fixme2022x", "J1"), (8, "lorem2021i", "J1"), (9, "cn0_20_2022l", None)]
     table = spark.createDataFrame(rows, "entry_id long, citation_key string, journal string").withColumn("note", F.lit("a note"))
