@@ -15,9 +15,15 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 #: Words passed over when the first word of a title is taken.
-STOP_WORDS = tuple(
-    "a an the of in on at to for and or is are was were be been by with from as into through during before after between how what when where which who whom whose why"
-    " do does did has have had can could will would shall should may might must not no nor but if then than so its it this that these those".split()
+STOP_WORDS = (
+    "a", "an", "the", "of", "in", "on", "at", "to", "for", "and", "or",
+    "is", "are", "was", "were", "be", "been", "by", "with", "from",
+    "as", "into", "through", "during", "before", "after", "between",
+    "how", "what", "when", "where", "which", "who", "whom", "why",
+    "do", "does", "did", "has", "have", "had", "can", "could",
+    "will", "would", "shall", "should", "may", "might", "must",
+    "not", "no", "nor", "but", "if", "then", "than", "so",
+    "its", "it", "this", "that", "these", "those",
 )
 #: Small Chinese words passed over likewise.
 CJK_STOP = "的了是在有和与及其对从以为被把将而也都能要不"

@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscale.functions import text as X
-from folioscale.runtime import broadcast_if_small, cut_lineage
+from folioscale.runtime import cut_lineage
 
 
 def blocked_match(papers: DataFrame, entries: DataFrame) -> DataFrame:
@@ -75,21 +75,21 @@ def reference_check(cited: DataFrame, listed: DataFrame, key: str) -> DataFrame:
     return a.join(b, key, "left_anti").select(key, F.lit("missing").alias("problem"), F.lit("error").alias("severity")).unionByName(b.join(a, key, "left_anti").select(key, F.lit("unused").alias("problem"), F.lit("warning").alias("severity")))
 
 
-def match_sections(queries: DataFrame, nodes: DataFrame) -> DataFrame:
-    """(query_id, node_id, strategy): 1 equal titles, 2 equal forms, 3 one form within the other (from 3 characters), first node in order.
+def match_sections(queries: DataFrame, nodes: DataFrame, by: str = "doc_id") -> DataFrame:
+    """(by, query_id, node_id, strategy): 1 equal titles, 2 equal forms, 3 one form within the other (from 3 characters), first node in order.
 
-    The first two are equality joins. The third looks only at queries the
-    others left, in blocks, against the nodes, which are the headings of one
-    manuscript.
+    queries (by, query_id, query) are looked up among the headings (by,
+    node_id, title) of their own manuscript, so every join is on its key; the
+    third looks only at queries the others left.
     """
-    q = queries.select("query_id", F.lower(X.strip("query")).alias("q"), X.section_form("query").alias("qf"))
-    n = nodes.select("node_id", F.lower(X.strip("title")).alias("t"), X.section_form("title").alias("tf"))
-    first = q.join(n.groupBy(F.col("t").alias("q")).agg(F.min("node_id").alias("node_id")), "q").select("query_id", "node_id", F.lit(1).alias("strategy"))
-    left = q.join(first, "query_id", "left_anti")
-    second = left.join(n.groupBy(F.col("tf").alias("qf")).agg(F.min("node_id").alias("node_id")), "qf").select("query_id", "node_id", F.lit(2).alias("strategy"))
-    left = left.join(second, "query_id", "left_anti").where(F.length("qf") >= 3)
-    within = (F.col("tf").contains(F.col("qf"))) | (F.col("qf").contains(F.col("tf")))
-    third = left.join(broadcast_if_small(n), within).groupBy("query_id").agg(F.min("node_id").alias("node_id")).withColumn("strategy", F.lit(3))
+    q = queries.select(by, "query_id", F.lower(X.strip("query")).alias("q"), X.section_form("query").alias("qf"))
+    n = nodes.select(by, "node_id", F.lower(X.strip("title")).alias("t"), X.section_form("title").alias("tf"))
+    first = q.join(n.groupBy(by, F.col("t").alias("q")).agg(F.min("node_id").alias("node_id")), [by, "q"]).select(by, "query_id", "node_id", F.lit(1).alias("strategy"))
+    left = q.join(first, [by, "query_id"], "left_anti")
+    second = left.join(n.groupBy(by, F.col("tf").alias("qf")).agg(F.min("node_id").alias("node_id")), [by, "qf"]).select(by, "query_id", "node_id", F.lit(2).alias("strategy"))
+    left = left.join(second, [by, "query_id"], "left_anti").where(F.length("qf") >= 3)
+    within = F.col("tf").contains(F.col("qf")) | F.col("qf").contains(F.col("tf"))
+    third = left.join(n, by).where(within).groupBy(by, "query_id").agg(F.min("node_id").alias("node_id")).withColumn("strategy", F.lit(3))
     return first.unionByName(second).unionByName(third)
 
 

@@ -131,8 +131,8 @@ def zones(rows: DataFrame, zone: str = "zone") -> DataFrame:
 
 def raw_total(summary: DataFrame, found: str, records: DataFrame) -> DataFrame:
     """One row: the sum of a summary's column, or the number of records if that is 0."""
-    total = summary.agg(F.coalesce(F.sum(found), F.lit(0)).alias("s")).first()[0]
-    return summary.sparkSession.createDataFrame([(int(total) or records.count(),)], "total long")
+    both = summary.select(F.col(found).cast("long").alias("s"), F.lit(0).alias("n")).unionByName(records.select(F.lit(0).cast("long").alias("s"), F.lit(1).alias("n")))
+    return both.agg(F.coalesce(F.nullif(F.sum("s"), F.lit(0)), F.sum("n"), F.lit(0)).alias("total"))
 
 
 def work_order(clusters: DataFrame, edges: DataFrame) -> DataFrame:
@@ -197,8 +197,10 @@ def balanced_points(points: DataFrame, by: str, text: str) -> DataFrame:
 
 def screening_totals(merged: DataFrame, unique: DataFrame) -> DataFrame:
     """One row: rows, duplicates and unique keys, and whether rows less duplicates are the unique keys."""
-    total, keys, listed = merged.count(), merged.select("key").distinct().count(), unique.count()
-    return merged.sparkSession.createDataFrame([(total, total - keys, keys, listed, keys == listed)], "total long, duplicates long, unique_keys long, listed long, holds boolean")
+    keys = merged.groupBy("key").agg(F.count(F.lit(1)).alias("n")).select("n", F.lit(1).alias("keys"), F.lit(0).alias("listed"))
+    rows = keys.unionByName(unique.select(F.lit(0).cast("long").alias("n"), F.lit(0).alias("keys"), F.lit(1).alias("listed")))
+    sums = rows.agg(F.coalesce(F.sum("n"), F.lit(0)).alias("total"), F.coalesce(F.sum("keys"), F.lit(0)).alias("unique_keys"), F.coalesce(F.sum("listed"), F.lit(0)).alias("listed"))
+    return sums.select("total", (F.col("total") - F.col("unique_keys")).alias("duplicates"), "unique_keys", "listed", (F.col("unique_keys") == F.col("listed")).alias("holds"))
 
 
 def bib_checks(entries: DataFrame) -> DataFrame:

@@ -77,8 +77,9 @@ def name_token_search(spark: SparkSession, sf_dir: str) -> DataFrame:
 def hits_until_misses(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Events above the mean value of each user, before the first three below it in a row."""
     events = read_table(spark, sf_dir, "events")
-    mean = events.agg(F.avg("value")).first()[0]
-    rows = events.select("user_id", "event_id", "ts", (F.col("value") >= F.lit(mean)).alias("hit"))
+    # one row, joined by a constant
+    mean = F.broadcast(events.agg(F.avg("value").alias("mean"), F.lit(1).alias("k")))
+    rows = events.withColumn("k", F.lit(1)).join(mean, "k").select("user_id", "event_id", "ts", (F.col("value") >= F.col("mean")).alias("hit"))
     rows = rows.withColumn("n", F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")))
     return sequences.until_misses(rows, "hit", "user_id", "n").groupBy("user_id").agg(F.count(F.lit(1)).alias("hits"))
 
@@ -112,6 +113,6 @@ def x_session_30m(spark: SparkSession, sf_dir: str) -> DataFrame:
 def look_back(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The last five days, as a scheduled scan looks back."""
     events = read_table(spark, sf_dir, "events")
-    last = events.agg(F.max("ts").alias("last")).first()["last"]
-    rows = events.where(F.col("ts") >= F.lit(last).cast("timestamp_ntz") - F.expr("interval 5 days"))
+    last = F.broadcast(events.agg(F.max("ts").alias("last"), F.lit(1).alias("k")))
+    rows = events.withColumn("k", F.lit(1)).join(last, "k").where(F.col("ts") >= F.col("last") - F.expr("interval 5 days"))
     return rows.groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg("value"), 4).alias("mean"))

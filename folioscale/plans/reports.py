@@ -57,7 +57,7 @@ def zone_distribution(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.zones(read_table(spark, sf_dir, "papers").join(F.broadcast(dimension), F.upper(F.trim("journal")) == F.col("k"), "left"))
 
 
-@query(lambda: f"with {S.screened()} select count(*) as total, count(*) - count(distinct key) as duplicates, count(distinct key) as unique_keys, count(distinct key) as listed, true as holds from rows")
+@query(lambda: f"with {S.screened()} select count(*) as total, count(*) - count(distinct key) as duplicates, count(distinct key) as unique_keys, (select count(*) from (select row_number() over (partition by key order by rank, direction, ord) n from rows) where n = 1) as listed, count(distinct key) = (select count(*) from (select row_number() over (partition by key order by rank, direction, ord) n from rows) where n = 1) as holds from rows")
 def screening_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = screening.screened(read_table(spark, sf_dir, "papers"))
     return reports.screening_totals(rows, screening.flatten_unique(rows))

@@ -66,10 +66,12 @@ case when regexp_matches(raw, '[一-鿿]') then 'cn' || lower(printf('%x', unico
 || coalesce(cast(year as varchar), '') || coalesce(left(list_filter(words, lambda w: not list_contains(stop, w))[1], 1), left(words[1], 1), 'x')"""
 
 
+#: Words passed over in titles, written out for the SQL.
+_PASSED_OVER = "a an and are as at be been before between but by can could did do does during after for from had has have how if in into is it its may might must no nor not of on or shall should so than that the then these this those through to was were what when where which who whom why will with would"
+
+
 def citation_keys(table: str, author: str, year: str, title: str, ident: str) -> str:
     """CTE `keyed` with (id, citation_key) of a table."""
-    from folioscale.functions.text import STOP_WORDS
-
-    stop = "[" + ", ".join(f"'{word}'" for word in STOP_WORDS) + "]"
+    stop = f"string_split('{_PASSED_OVER}', ' ')"
     raw = strip(f"regexp_replace({strip(f'''split_part(split_part(coalesce({author}, ''), ',', 1), ';', 1)''')}, '\\s+[A-Z]\\.?$', '')")
     return f"parts as (select {ident} as id, {raw} as raw, {year} as year, regexp_extract_all(lower(coalesce({title}, '')), '[a-z]+') as words, {stop} as stop from {table}), keyed as (select id, {CITATION_KEY} as citation_key from parts)"

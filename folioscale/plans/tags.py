@@ -183,12 +183,27 @@ def quota_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     return checks.quotas(quotas, directions, directions.count() * 30)
 
 
-@query("select 0 as violations")
+@query("""select code, item_id::varchar as key from (select 'OVER_LIMIT' as code, item_id from dispatch_items where item_count > batch_limit and batch_limit > 0 union all
+    select 'MISSING_COVERAGE', item_id from dispatch_items where item_count > 0 and batch_limit > 0 and plan_id is null union all
+    select 'COUNT_MISMATCH', item_id from dispatch_items where item_count > 0 and batch_limit > 0 and plan_id is not null and plan_id % 7 = 0)""")
 def dispatch_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A plan that is wrong on purpose: no item is split, items without a plan are left out, every seventh plan loses a record."""
+    items = _items(spark, sf_dir)
+    parts = items.where("item_count > 0 and batch_limit > 0 and plan_id is not null").withColumn("part_count", F.col("item_count") - F.when(F.col("plan_id") % 7 == 0, 1).otherwise(0))
+    over = items.where("item_count > batch_limit and batch_limit > 0").withColumn("part_count", F.col("item_count"))
+    found = checks.dispatch(items, parts, "item_id", "item_count", "batch_limit").where("code <> 'OVER_LIMIT'")
+    return found.unionByName(checks.dispatch(items, over, "item_id", "item_count", "batch_limit").where("code = 'OVER_LIMIT'"))
+
+
+@query("""with s as (select item_id, item_count, batch_limit, ceil(item_count / batch_limit::double) as n from dispatch_items where item_count > 0 and batch_limit > 0)
+    select count(*) as items, sum(n)::bigint as parts, sum(item_count)::bigint as records, 0::bigint as violations from s""")
+def dispatch_conserved(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Splitting keeps the limit, the counts and every item."""
     items = _items(spark, sf_dir)
-    found = checks.dispatch(items, allocation.split_work(items, "item_count", "batch_limit"), "item_id", "item_count", "batch_limit")
-    return found.agg(F.count(F.lit(1)).cast("int").alias("violations"))
+    parts = allocation.split_work(items, "item_count", "batch_limit")
+    found = checks.dispatch(items, parts, "item_id", "item_count", "batch_limit").select(F.lit(None).alias("item_id"), F.lit(0).alias("part_count"), F.lit(True).alias("wrong"))
+    both = parts.select("item_id", "part_count", F.lit(False).alias("wrong")).unionByName(found)
+    return both.agg(F.countDistinct("item_id").alias("items"), F.count_if(~F.col("wrong")).alias("parts"), F.sum("part_count").alias("records"), F.count_if("wrong").alias("violations"))
 
 
 @query("""with r as (select year, count(*) as n from papers where year is not null group by year)
@@ -232,10 +247,10 @@ def prevalence_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.where("share is not null and recent is not null").select("direction", prevalence(F.col("share"), F.col("recent") >= 0.9).alias("advice"))
 
 
-@query("""select * from (with b as (select unnest(string_split(lower(title), ' ')) as token from papers where source_type = 'wos'), a as (select unnest(string_split(lower(title), ' ')) as token from merged_papers where source_type = 'wos'),
+@query("""select * from (with b as (select unnest(string_split(lower(title), ' ')) as token from papers), a as (select unnest(string_split(lower(title), ' ')) as token from merged_papers),
     l as (select token from b except all select token from a), g as (select token from a except all select token from b)
     select token, count(*) as n, 'lost' as change from l group by token union all select token, count(*), 'gained' from g group by token)""")
 def multiset_difference(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Words of titles before and after merging, duplicates counting."""
-    tokens = lambda name: read_table(spark, sf_dir, name).where("source_type = 'wos'").select(F.explode(F.split(F.lower("title"), " ")).alias("token"))
+    tokens = lambda name: read_table(spark, sf_dir, name).select(F.explode(F.split(F.lower("title"), " ")).alias("token"))
     return matching.multiset_difference(tokens("papers"), tokens("merged_papers"))

@@ -28,6 +28,32 @@ _PARAGRAPHS = "list_filter(regexp_split_to_array({}, '\\n\\s*\\n'), lambda x: tr
 _WORDS = "len(regexp_extract_all({}, '\\S+'))".format
 
 
+#: Patterns of the rules, written out for the SQL.
+_ADDITIVE = "(?i)\\b(?:in addition|moreover|furthermore|additionally|besides)\\b"
+_TRANSITIONS = "(?i)\\b(?:in addition|moreover|furthermore|additionally|besides|therefore|meanwhile|hence|consequently)\\b"
+_STUDY = "(?:^|[.!?]\\s+)This (?:research|paper|study)\\b"
+_EXISTS = "(?i)\\bthere (?:are|is|were|was|exists|exist)\\b"
+_FILLERS = "(?i)\\b(?:actually|basically|certainly|clearly|essentially|extremely|greatly|highly|indeed|obviously|very)\\b"
+_RESPECTIVELY = "(?i)\\brespectively\\b"
+_PASSIVE = "(?i)\\b(?:was|were|is|are|been|being|be)\\s+(?:\\w+ly\\s+)?\\w+(?:en|ed)\\b"
+_UNFINISHED = "(?i)\\btbd\\b|\\btodo\\b|xxx|fixme|\\\\textcolor\\{red\\}|\\?\\?\\?"
+_JUNK = "(?i)^(?:from|to|sent|date|subject|cc):\\s+|^(?:content-type|mime-version):|^manuscript\\s+(?:manager|central)\\s+url|^https?://\\S+editorial\\S*$|^(?:-{5,}|={5,}|\\*{5,}|_{5,})$|^(?:powered\\s+by|scholarone)\\s+|^editorial\\s+manager|^\\d{1,2}/\\d{1,2}/\\d{2,4}\\s+\\d{1,2}:\\d{2}"
+_REVIEWER = "(?i)(?:referee|reviewer)\\s*(?:#?\\s*(\\d+)|\\((\\d+)\\))"
+_ASSOCIATE = "(?i)(?:handling|associate)\\s+editor|\\bae\\b"
+_EDITOR = "(?i)decision|comments?\\s+(?:for|to)\\s+(?:the\\s+)?author|dear\\s+(?:dr|prof|mr|ms|author)|editor"
+_KIND = "(?i){}\\s+(?:comment|revision|issue|point|concern)"
+_NUMBERED = "^\\s*(?:\\(\\d+\\)\\s+|\\d+[.)]\\s+|#\\d+\\s+|(?:Comment|Point|Issue)\\s*#?\\s*\\d+)"
+_BLOCKED = {
+    "privacy": "大学|学术|教师|老师|科研|学院|课题|讲师|副教授|学者|博士|论文|教授|研究方法", "workload": "(?:凌晨|深夜|每周)[0-9]|每天[0-9]+小时|[0-9]+ (?:个 skill|个项目|篇论文)", "metrics": "SCI|影响因子|引用量|项目编号|课题号|青基|国基|自科|社科",
+    "platform": "推特|Twitter|X\\.com|YouTube|油管|Facebook|脸书|Instagram|Reddit|TikTok|Discord", "region": "台[湾北中南]|高雄|香港|澳门|新疆|西藏", "episode": "(?:EP|S[0-9]+E)[0-9]+|第[0-9一二三四五六七八九十百]+集|第[0-9]+期", "jargon": "杏仁核|前额叶|肾上腺素|多巴胺|神经质|血清素|皮质醇|海马体|amygdala|cortisol|serotonin|prefrontal|hippocampus",
+}
+_CAPS = [("(?:已有|现有)研究表明", 2), ("鲜有研究关注|较少有研究", 1), ("丰富了[^，。]{0,20}理论体系", 1), ("填补了[^，。]{0,20}空白", 0), ("具有重要的(?:理论|实践)意义", 1), ("研究发现", 2), ("本文认为|本研究认为", 1), ("此外|另外", 2), ("综上所述", 1), ("一方面", 2)]
+_PARTS = [
+    ("Abstract", "\\\\begin\\{abstract\\}", "red"), ("Keywords", "\\\\begin\\{keyword\\}|\\\\keywords", "red"), ("Introduction", "(?i)\\\\section\\*?\\{introduction", "red"), ("Conclusion", "(?i)\\\\section\\*?\\{conclusion", "red"),
+    ("References", "\\\\bibliography|\\\\begin\\{thebibliography\\}", "red"), ("Acknowledgments", "(?i)\\\\section\\*\\{acknowledg", "yellow"), ("Author contributions", "(?i)credit|author contribution", "yellow"), ("Declaration of interest", "(?i)declaration|conflict", "yellow"),
+]
+
+
 def _count(text: str, pattern: str) -> str:
     return f"len(regexp_extract_all({text}, {_q(pattern)}))"
 
@@ -43,23 +69,23 @@ def _over(pattern: str, most: int) -> str:
 
 
 @query(
-    f"select doc_id, {_over('---|—', 1)} as em_dashes, {_over(audits.TRANSITIONS, 2)} as transitions, {_over(audits.ADDITIVE, 1)} as additive, {_over(audits.STUDY, 2)} as study_subjects, {_over(audits.EXISTS, 0)} as existential, {_over(audits.FILLERS, 1)} as fillers, {_over(audits.RESPECTIVELY, 0)} as respectively from documents where text is not null"
+    f"select doc_id, {_over('---|—', 1)} as em_dashes, {_over(_TRANSITIONS, 2)} as transitions, {_over(_ADDITIVE, 1)} as additive, {_over(_STUDY, 2)} as study_subjects, {_over(_EXISTS, 0)} as existential, {_over(_FILLERS, 1)} as fillers, {_over(_RESPECTIVELY, 0)} as respectively from documents where text is not null"
 )
 def paragraph_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
     docs = _docs(spark, sf_dir).where("text is not null")
     return docs.select("doc_id", *[flag.alias(name) for name, flag in audits.paragraph_flags(F.col("text")).items()])
 
 
-@query(f"select doc_id, len(list_filter({_PARAGRAPHS('text')}, lambda p: len(list_filter({_SENTENCES('p')}, lambda s: regexp_matches(s, {_q(audits.PASSIVE)}))) > 0.6 * len({_SENTENCES('p')})))::bigint as passive from documents where text is not null")
+@query(f"select doc_id, len(list_filter({_PARAGRAPHS('text')}, lambda p: len(list_filter({_SENTENCES('p')}, lambda s: regexp_matches(s, {_q(_PASSIVE)}))) > 0.6 * len({_SENTENCES('p')})))::bigint as passive from documents where text is not null")
 def passive_paragraphs(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).where("text is not null").select("doc_id", audits.passive_paragraphs(F.col("text")).alias("passive"))
 
 
-@query("select doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x, ' ') <> '' and regexp_matches(x, '\\\\cite'))) / nullif(len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x, ' ') <> '')), 0)::double as density from documents where section is not null and text is not null")
+@query("select doc_id, len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x, ' ') <> '' and regexp_matches(x, '\\\\cite'))) / nullif(len(list_filter(string_split(regexp_replace(text, '([.!?])\\s+', '\\1' || chr(10), 'g'), chr(10)), lambda x: trim(x, ' ') <> '')), 0)::double as density from documents where text is not null")
 def citation_density(spark: SparkSession, sf_dir: str) -> DataFrame:
     parts = audits.sentences(F.col("text"))
     share = F.size(F.filter(parts, lambda s: s.rlike(r"\\cite"))) / F.nullif(F.size(parts), F.lit(0)).cast("double")
-    return _docs(spark, sf_dir).where("section is not null and text is not null").select("doc_id", share.alias("density"))
+    return _docs(spark, sf_dir).where("text is not null").select("doc_id", share.alias("density"))
 
 
 @query("""
@@ -70,7 +96,7 @@ def zh_sentence_variety(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).where("lang = 'zh' and text is not null").select("doc_id", F.size(lengths).cast("long").alias("sentences"), F.coalesce((F.array_min(lengths) <= 15) & (F.array_max(lengths) >= 45), F.lit(False)).alias("varied"))
 
 
-_PHRASES = " union all ".join(f"select doc_id, {_q(phrase)} as phrase, {_count('text', phrase)}::bigint as n, {cap} as cap from documents where text is not null" for phrase, cap in audits.PHRASE_CAPS.items())
+_PHRASES = " union all ".join(f"select doc_id, {_q(phrase)} as phrase, {_count('text', phrase)}::bigint as n, {cap} as cap from documents where text is not null" for phrase, cap in _CAPS)
 
 
 @query(f"select * from ({_PHRASES}) where n > cap")
@@ -79,7 +105,7 @@ def phrase_caps(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.select("doc_id", "p.phrase", F.col("p.n").cast("long").alias("n"), "p.cap")
 
 
-_STRUCTURE = " union all ".join(f"select doc_id, '{part}' as part, '{severity}' as severity from documents where source like 'manuscript%' and text is not null and not regexp_matches(text, {_q(pattern)})" for part, pattern, severity in audits.STRUCTURE)
+_STRUCTURE = " union all ".join(f"select doc_id, '{part}' as part, '{severity}' as severity from documents where source like 'manuscript%' and text is not null and not regexp_matches(text, {_q(pattern)})" for part, pattern, severity in _PARTS)
 
 
 @query(f"select * from ({_STRUCTURE})")
@@ -97,13 +123,13 @@ def severity_rollup(spark: SparkSession, sf_dir: str) -> DataFrame:
 _LINES = "(select doc_id, generate_subscripts(ls, 1)::bigint as line_no, unnest(ls) as line from (select doc_id, string_split(regexp_replace(text, '\\r\\n?', chr(10), 'g'), chr(10)) as ls from documents where text is not null))"
 
 
-@query(f"select doc_id, line_no, left(line, 80) as line from {_LINES} where regexp_matches(line, {_q(audits.RESIDUE)})")
+@query(f"select doc_id, line_no, line from {_LINES} where regexp_matches(line, {_q(_UNFINISHED)})")
 def placeholder_lines(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = letters.lines(_docs(spark, sf_dir), "doc_id", "text").where(F.col("line").rlike(audits.RESIDUE))
-    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), F.left("line", F.lit(80)).alias("line"))
+    return rows.select("doc_id", F.col("line_no").cast("long").alias("line_no"), "line")
 
 
-_BLOCK = " union all ".join(f"select '{group}' as rule, count(*) filter (regexp_matches(line, {_q(pattern)})) as hits from {_LINES}" for group, pattern in audits.BLOCKLIST.items())
+_BLOCK = " union all ".join(f"select '{group}' as rule, count(*) filter (regexp_matches(line, {_q(pattern)})) as hits from {_LINES}" for group, pattern in _BLOCKED.items())
 
 
 @query(_BLOCK)
@@ -166,8 +192,8 @@ def decision_class(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _docs(spark, sf_dir).where("source = 'decision_letters'").select("doc_id", X.decision("text").alias("decision"))
 
 
-_LETTER = f"""ln as (select l.doc_id, line_no, line, trim(line, ' ') as bare from {_LINES} l join documents d using (doc_id) where source = 'decision_letters' and not regexp_matches(line, {_q(letters.JUNK)})),
- op as (select *, nullif(coalesce(nullif(regexp_extract(bare, {_q(letters.REVIEWER)}, 1), ''), regexp_extract(bare, {_q(letters.REVIEWER)}, 2)), '') as num, regexp_matches(bare, {_q(letters.ASSOCIATE)}) as is_ae, regexp_matches(bare, {_q(letters.EDITOR)}) as is_ed from ln),
+_LETTER = f"""ln as (select l.doc_id, line_no, line, trim(line, ' ') as bare from {_LINES} l join documents d using (doc_id) where source = 'decision_letters' and not regexp_matches(line, {_q(_JUNK)})),
+ op as (select *, nullif(coalesce(nullif(regexp_extract(bare, {_q(_REVIEWER)}, 1), ''), regexp_extract(bare, {_q(_REVIEWER)}, 2)), '') as num, regexp_matches(bare, {_q(_ASSOCIATE)}) as is_ae, regexp_matches(bare, {_q(_EDITOR)}) as is_ed from ln),
  pt as (select *, last_value(case when num is not null then 'reviewer:' || num when is_ae then 'ae:' end ignore nulls) over (partition by doc_id order by line_no rows unbounded preceding) as part from op),
  ed as (select *, sum((part is null and is_ed)::int) over (partition by doc_id order by line_no rows unbounded preceding) as eds from pt),
  rl as (select doc_id, line_no, line, bare, coalesce(split_part(part, ':', 1), case when eds > 0 then 'editor' else 'preamble' end) as role, nullif(split_part(part, ':', 2), '')::int as number from ed where num is null and not is_ae and not (part is null and is_ed and eds = 1))"""
@@ -179,10 +205,10 @@ def letter_segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     return rows.groupBy("doc_id", "role", "number").agg(F.count(F.lit(1)).alias("lines"))
 
 
-COMMENTS = f"""{_LETTER}, rv as (select *, case when regexp_matches(bare, {_q(letters.MAJOR)}) then 'major' when regexp_matches(bare, {_q(letters.MINOR)}) then 'minor' end as heading from rl where role = 'reviewer'),
- nb as (select *, heading is null and regexp_matches(bare, {_q(letters.NUMBERED)}) as numbered from rv),
+COMMENTS = f"""{_LETTER}, rv as (select *, case when regexp_matches(bare, {_q(_KIND.format('major'))}) then 'major' when regexp_matches(bare, {_q(_KIND.format('minor'))}) then 'minor' end as heading from rl where role = 'reviewer'),
+ nb as (select *, heading is null and regexp_matches(bare, {_q(_NUMBERED)}) as numbered from rv),
  ty as (select *, coalesce(last_value(heading ignore nulls) over w, 'major') as type, sum((numbered or heading is not null)::int) over w as block from nb window w as (partition by doc_id, number order by line_no rows unbounded preceding)),
- tx as (select doc_id, number, block, type, trim(string_agg(case when numbered then trim(regexp_replace(bare, {_q(letters.NUMBERED)}, ''), ' ') else line end, chr(10) order by line_no), ' ') as text from ty where heading is null group by all)"""
+ tx as (select doc_id, number, block, type, trim(string_agg(case when numbered then trim(regexp_replace(bare, {_q(_NUMBERED)}, ''), ' ') else line end, chr(10) order by line_no), ' ') as text from ty where heading is null group by all)"""
 
 
 @query(f"with {COMMENTS} select doc_id, number, 'R' || number || case when type = 'minor' then '-m' else '-' end || row_number() over (partition by doc_id, number, type order by block) as comment_id, type from tx where length(text) >= 5")

@@ -3,12 +3,13 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-#: Rows a side may have to be broadcast; wider rows should pass a smaller limit.
-BROADCAST_ROWS = 200_000
+#: Bytes a side may have to be broadcast, and rows that are looked at to tell.
+BROADCAST_BYTES, BROADCAST_ROWS = 16_000_000, 200_000
 #: A key is hot when it holds more than 1/HOT_SHARE of all rows, so at most HOT_SHARE keys are.
 HOT_SHARE = 2_000
 
@@ -24,19 +25,33 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     The folder is the one the cluster names in spark.checkpoint.dir; only where
     none is set (tests, one machine) a temporary folder is taken.
     """
-    context = df.sparkSession.sparkContext
+    _checkpoint_folder(df.sparkSession)
+    return df.checkpoint(eager=True)
+
+
+def _checkpoint_folder(spark: SparkSession) -> str:
+    context = spark.sparkContext
     if context.getCheckpointDir() is None:
         folder = context.getConf().get("spark.checkpoint.dir", None)
+        if folder is None and not context.master.startswith("local"):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         context.setCheckpointDir(folder or tempfile.mkdtemp(prefix="folioscale-"))
-    return df.checkpoint(eager=True)
+    return context.getCheckpointDir()
+
+
+def shared_path(spark: SparkSession, name: str) -> str:
+    """A new path in the session's checkpoint folder, for files that a job writes and reads again."""
+    return f"{_checkpoint_folder(spark)}/{name}-{uuid.uuid4().hex}"
 
 
-def broadcast_if_small(df: DataFrame, rows: int = BROADCAST_ROWS) -> DataFrame:
-    """Mark df for broadcast if it has at most `rows` rows; else leave the choice to the planner.
+def broadcast_if_small(df: DataFrame, most_bytes: int = BROADCAST_BYTES) -> DataFrame:
+    """Mark df for broadcast if its rows, measured as JSON, have at most so many bytes; else leave the choice to the planner.
 
-    df is counted, so it should be cheap to compute or already cut from its lineage.
+    df is read for it, so it should be cheap to compute or already cut from its lineage.
     """
-    return F.broadcast(df) if len(df.limit(rows + 1).select(F.lit(1)).take(rows + 1)) <= rows else df
+    size = F.sum(F.octet_length(F.to_json(F.struct("*"))))
+    row = df.limit(BROADCAST_ROWS + 1).agg(F.count(F.lit(1)).alias("n"), F.coalesce(size, F.lit(0)).alias("bytes")).first()
+    return F.broadcast(df) if row.n <= BROADCAST_ROWS and row.bytes <= most_bytes else df
 
 
 def attach_group(rows: DataFrame, groups: DataFrame, keys: list[str], count: str) -> DataFrame:

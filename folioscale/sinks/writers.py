@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import codecs
 import os
 import re
 
@@ -12,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from folioscale.functions import text as X
+from folioscale.runtime import cut_lineage
 from folioscale.sources.records import value, values
 
 #: Document types of EndNote exports and of RIS, and entry types of BibTeX.
@@ -59,10 +59,10 @@ def enw_to_ris(records: DataFrame, skip_newspapers: bool = False) -> DataFrame:
 
 def conversion_counts(converted: DataFrame, records: DataFrame) -> DataFrame:
     """One row: records in, converted, skipped, without a year, with one found elsewhere than in the date."""
-    whole = records.agg(F.count(F.lit(1)).alias("records"))
-    done = converted.agg(F.count(F.lit(1)).alias("converted"), F.count_if(F.col("year").isNull()).alias("no_year"), F.count_if(F.col("year").isNotNull() & value("%D").isNull()).alias("found_year"))
-    first, second = whole.first(), done.first()
-    return records.sparkSession.createDataFrame([(first.records, second.converted, first.records - second.converted, second.no_year, second.found_year)], "records long, converted long, skipped long, no_year long, found_year long")
+    done = converted.select(F.lit(True).alias("done"), F.col("year").isNull().alias("no_year"), (F.col("year").isNotNull() & value("%D").isNull()).alias("found_year"))
+    both = done.unionByName(records.select(F.lit(False).alias("done"), F.lit(False).alias("no_year"), F.lit(False).alias("found_year")))
+    counts = both.agg(F.count_if(~F.col("done")).alias("records"), F.count_if("done").alias("converted"), F.count_if("no_year").alias("no_year"), F.count_if("found_year").alias("found_year"))
+    return counts.select("records", "converted", (F.col("records") - F.col("converted")).alias("skipped"), "no_year", "found_year")
 
 
 def ris_to_bibtex(key: Column, fields: Column, author: Column, title: Column, journal: Column, year: Column) -> Column:
@@ -155,7 +155,6 @@ class NothingToWrite(ValueError):
 
 def guarded_overwrite(rows: DataFrame, path: str, least: int = 1) -> int:
     """Replace a Parquet table, but never by fewer than `least` rows; the rows are staged first, so they may come from it."""
-    from folioscale.runtime import cut_lineage
     from folioscale.streaming.incremental import swap_in
 
     rows = cut_lineage(rows)
@@ -172,10 +171,37 @@ def write_chunks(items: DataFrame, parts: DataFrame, ident: str, path: str) -> N
     ranged.drop("range_start", "range_end").repartition(ident, "part").write.partitionBy(ident, "part").mode("overwrite").json(path)
 
 
-def write_csv_with_bom(rows: DataFrame, order: list[str], path: str, number: str = "序号") -> None:
-    """A numbered CSV for spreadsheets: one file with a byte-order mark. Meant for reports that a person opens."""
-    n = F.row_number().over(Window.partitionBy(F.lit(0)).orderBy(*order))
-    frame = rows.withColumn(number, n).select(number, *rows.columns).orderBy(number).toPandas()
+#: Rows a spreadsheet can show.
+SHEET_ROWS = 1_048_575
+
+
+def csv_lines(rows: DataFrame, order: list[str], number: str = "序号") -> DataFrame:
+    """(place, line): the lines of a numbered CSV, place 0 being the header after a byte-order mark.
+
+    Numbered by a distributed sort: each partition starts where the counts of those before it end.
+    """
+    spark = rows.sparkSession
+    ordered = rows.orderBy(*order).withColumn("_part", F.spark_partition_id())
+    ordered = cut_lineage(ordered.withColumn("_at", F.monotonically_increasing_id()))
+    sizes = {row["_part"]: row["n"] for row in ordered.groupBy("_part").agg(F.count(F.lit(1)).alias("n")).collect()}
+    starts, total = [], 0
+    for part in sorted(sizes):
+        starts.append((part, total))
+        total += sizes[part]
+    first = F.broadcast(spark.createDataFrame(starts, "_part int, _start long"))
+    place = (F.col("_start") + F.row_number().over(Window.partitionBy("_part").orderBy("_at"))).alias("place")
+    text = lambda name: F.coalesce(F.col(f"`{name}`").cast("string"), F.lit(""))
+    quoted = lambda cell: F.when(cell.rlike('[",\\r\\n]'), F.concat(F.lit('"'), F.replace(cell, F.lit('"'), F.lit('""')), F.lit('"'))).otherwise(cell)
+    lines = ordered.join(first, "_part").select(place, F.concat_ws(",", place.cast("string"), *[quoted(text(name)) for name in rows.columns]).alias("line"))
+    head = spark.createDataFrame([(0, "\ufeff" + ",".join([number, *rows.columns]))], "place long, line string")
+    return head.unionByName(lines)
+
+
+def write_csv_with_bom(rows: DataFrame, order: list[str], path: str, number: str = "序号", most: int = SHEET_ROWS) -> None:
+    """A numbered CSV for spreadsheets: one file with a byte-order mark, of at most as many rows as a sheet has (an error beyond)."""
+    if rows.limit(most + 1).count() > most:
+        raise ValueError(f"more than {most} rows; write csv_lines with Spark instead")
     os.makedirs(os.path.dirname(path) or ".", exist_ok=True)
-    with open(path, "wb") as file:
-        file.write(codecs.BOM_UTF8 + frame.to_csv(index=False).encode())
+    with open(path, "w", encoding="utf-8", newline="") as file:
+        for row in csv_lines(rows, order, number).orderBy("place").toLocalIterator():
+            file.write(row.line + "\n")

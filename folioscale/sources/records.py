@@ -1,9 +1,10 @@
 """RIS, EndNote and BibTeX files as DataFrames of records.
 
-Two ways in: `read_ris` and the like, which let Spark's text reader split and
-distribute the files (any file system Spark can read), and the formats "ris",
-"enw" and "bibtex" for spark.read.format after `register`, which read one
-file a partition.
+Two ways in: `read_ris` and the like, which let Spark's text reader split the
+files at record ends and distribute them (any file system Spark can read), and
+the formats "ris", "enw" and "bibtex" for spark.read.format after `register`,
+which read one file a partition from any file system Arrow can open. Records
+that stand in a text column are read by `records_of`.
 
 Records are rows (file, ordinal, fields, raw): fields maps a tag to its
 values in order, so a repeated tag needs no other type than a single one.
@@ -11,12 +12,12 @@ values in order, so a repeated tag needs no other type than a single one.
 
 from __future__ import annotations
 
-import glob
-import os
 import re
 from collections.abc import Iterator
+from fnmatch import fnmatch
 
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
@@ -114,15 +115,22 @@ class _Reader(DataSourceReader):
         self.kind, self.path = kind, path
 
     def partitions(self) -> list[InputPartition]:
-        path = self.path.removeprefix("file://")
-        names = sorted(glob.glob(os.path.join(path, "*")) if os.path.isdir(path) else glob.glob(path))
-        return [_File(name) for name in names if os.path.isfile(name)]
+        system, path = fs.FileSystem.from_uri(self.path)
+        found = system.get_file_info(path)
+        if found.type == fs.FileType.Directory:
+            files = system.get_file_info(fs.FileSelector(path))
+        else:
+            folder, _, pattern = path.rpartition("/")
+            files = [found] if found.is_file else [file for file in system.get_file_info(fs.FileSelector(folder, allow_not_found=True)) if fnmatch(file.base_name, pattern)]
+        scheme = self.path.partition("://")[0] + "://" if "://" in self.path else ""
+        return [_File(scheme + file.path) for file in sorted(files, key=lambda file: file.path) if file.is_file]
 
     def read(self, partition: InputPartition) -> Iterator[tuple]:
         if partition is None:  # no file
             return
-        with open(partition.path, encoding="utf-8", errors="replace", newline="") as file:
-            text = file.read()
+        system, path = fs.FileSystem.from_uri(partition.path)
+        with system.open_input_stream(path) as file:
+            text = file.read().decode("utf-8", errors="replace")
         for ordinal, (fields, raw) in enumerate(_PARSERS[self.kind](text)):
             yield partition.path, ordinal, fields, raw
 
@@ -159,36 +167,60 @@ def register(spark: SparkSession) -> None:
         spark.dataSource.register(source)
 
 
-def read_ris(spark: SparkSession, path: str) -> DataFrame:
-    """RIS records of any number of files of any size: the reader splits at record ends, so large files are split too.
+def _chunks(spark: SparkSession, path: str, end: str) -> DataFrame:
+    """(file, ordinal, raw): text files cut at a separator, by splits. ordinal orders the parts of a file; it is not consecutive."""
+    # a split has fewer parts than bytes, so its start plus a number within the task orders the parts of a file
+    ordinal = F.col("_metadata.file_block_start") + F.monotonically_increasing_id().bitwiseAND(F.lit((1 << 33) - 1))
+    return spark.read.option("lineSep", end).text(path).select(F.col("_metadata.file_path").alias("file"), ordinal.alias("ordinal"), F.regexp_replace("value", r"^\x{feff}", "").alias("raw"))
+
 
-    ordinal orders the records of a file; it is not consecutive.
-    """
-    chunks = spark.read.option("lineSep", "\nER  -").text(path).select(F.col("_metadata.file_path").alias("file"), F.monotonically_increasing_id().alias("ordinal"), F.regexp_replace("value", r"^\x{feff}", "").alias("raw"))
+def ris_fields(raw: Column | str) -> Column:
+    """The fields of one RIS record in a text."""
     tag = r"(?m)^([A-Z][A-Z0-9])  -[ \t]?(.*)$"
-    flat = F.regexp_replace("raw", "\r", "")
+    flat = F.regexp_replace(raw, "\r", "")
     pairs = F.arrays_zip(F.regexp_extract_all(flat, F.lit(tag), 1).alias("t"), F.regexp_extract_all(flat, F.lit(tag), 2).alias("v"))
     tags = F.array_distinct(F.regexp_extract_all(flat, F.lit(tag), 1))
-    fields = F.map_from_arrays(tags, F.transform(tags, lambda t: F.transform(F.filter(pairs, lambda p: p["t"] == t), lambda p: F.trim(p["v"]))))
-    return chunks.withColumn("fields", fields).where(F.size("fields") > 0).select("file", "ordinal", "fields", "raw")
+    return F.map_from_arrays(tags, F.transform(tags, lambda t: F.transform(F.filter(pairs, lambda p: p["t"] == t), lambda p: F.trim(p["v"]))))
+
+
+def read_ris(spark: SparkSession, path: str) -> DataFrame:
+    """RIS records of any number of files of any size."""
+    return _chunks(spark, path, "\nER  -").withColumn("fields", ris_fields("raw")).where(F.size("fields") > 0).select("file", "ordinal", "fields", "raw")
+
+
+def records_of(docs: DataFrame, ident: str, text: str, kind: str) -> DataFrame:
+    """(ident, n, fields, raw): the records that stand in the texts of a column, numbered from 0. kind is ris, enw or bibtex."""
+    fields = {field.name: field.dataType for field in docs.select(ident).schema}
+    schema = T.StructType([T.StructField(ident, fields[ident]), T.StructField("n", T.LongType()), *T.StructType.fromDDL(SCHEMA).fields[2:]])
+
+    def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            rows = [(own, n, fields, raw) for own, text in zip(batch.iloc[:, 0], batch.iloc[:, 1]) if text for n, (fields, raw) in enumerate(_PARSERS[kind](text))]
+            yield pd.DataFrame(rows, columns=[ident, "n", "fields", "raw"])
+
+    return docs.select(ident, text).mapInPandas(parse, schema)
+
 
+def _parsed(chunks: DataFrame, kind: str, start: str = "") -> DataFrame:
+    """Records within the parts of files; where a separator takes the first letters of a record with it, start puts them back."""
 
-def _parsed(files: DataFrame, kind: str) -> DataFrame:
     def parse(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for batch in batches:
-            rows = [(file, n, fields, raw) for file, text in zip(batch["file"], batch["value"]) for n, (fields, raw) in enumerate(_PARSERS[kind](text))]
+            texts = (text if not start or text.lstrip().startswith(start) else start + text for text in batch["raw"])
+            rows = [(file, ordinal, fields, raw) for file, ordinal, text in zip(batch["file"], batch["ordinal"], texts) for fields, raw in _PARSERS[kind](text)]
             yield pd.DataFrame(rows, columns=["file", "ordinal", "fields", "raw"])
 
-    return files.mapInPandas(parse, SCHEMA)
+    return chunks.mapInPandas(parse, SCHEMA)
 
 
 def read_enw(spark: SparkSession, path: str) -> DataFrame:
-    return _parsed(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"), "enw")
+    """EndNote records of files, cut at empty lines (files with other line ends than \\n are read whole)."""
+    return _parsed(_chunks(spark, path, "\n\n"), "enw")
 
 
 def read_bibtex(spark: SparkSession, path: str, last_wins: bool = True) -> DataFrame:
-    """Entries of BibTeX files; with last_wins only the last of each key in a file."""
-    rows = _parsed(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"), "bibtex")
+    """Entries of BibTeX files, cut where a line starts with @; with last_wins only the last of each key in a file."""
+    rows = _parsed(_chunks(spark, path, "\n@"), "bibtex", "@")
     if not last_wins:
         return rows
     key = F.col("fields")["key"][0]

@@ -37,8 +37,8 @@ def test_numbered_is_a_numbering(spark):
 
 def test_broadcast_only_when_small(spark):
     small, large = spark.range(10), spark.range(1000)
-    assert "ResolvedHint" in broadcast_if_small(small, 10)._jdf.queryExecution().analyzed().toString()
-    assert "ResolvedHint" not in broadcast_if_small(large, 10)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" in broadcast_if_small(small, 100)._jdf.queryExecution().analyzed().toString()
+    assert "ResolvedHint" not in broadcast_if_small(large, 100)._jdf.queryExecution().analyzed().toString()
 
 
 PAPERS = "paper_id long, direction int, title string, first_author string, year int, journal string, tier string, source_type string"
@@ -110,8 +110,8 @@ def test_blocked_match_rules(spark):
 
 
 def test_section_match_cascade(spark):
-    nodes = spark.createDataFrame([(1, "Introduction"), (2, "The Data & Method"), (3, "Data and Methods of Study")], "node_id int, title string")
-    queries = spark.createDataFrame([(1, " introduction "), (2, "data and method"), (3, "methods of study"), (4, "xy"), (5, "nothing like it"), (6, None)], "query_id int, query string")
+    nodes = spark.createDataFrame([(1, 1, "Introduction"), (1, 2, "The Data & Method"), (1, 3, "Data and Methods of Study"), (2, 0, "nothing like it")], "doc_id int, node_id int, title string")
+    queries = spark.createDataFrame([(1, 1, " introduction "), (1, 2, "data and method"), (1, 3, "methods of study"), (1, 4, "xy"), (1, 5, "nothing like it"), (1, 6, None)], "doc_id int, query_id int, query string")
     assert {row.query_id: (row.node_id, row.strategy) for row in matching.match_sections(queries, nodes).collect()} == {1: (1, 1), 2: (2, 2), 3: (3, 3)}
 
 

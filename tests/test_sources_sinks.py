@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import json
+from functools import partial
 
 import pytest
 from pyspark.sql import functions as F
@@ -59,9 +60,31 @@ def test_bibtex(spark, folder):
     found = {row.fields["key"][0]: row.fields for row in rows}
     assert found["a1"]["title"] == ["Later"] and found["b2"]["type"] == ["book"] and "open" in found
     first = next(records.bibtex_entries(BIB))[0]
+    whole = {key: value for row in rows for key, value in [(row.fields["key"][0], row.raw)]}
+    assert whole["b2"] == "@book{b2, title={X}}"
     assert first["title"] == ["The {Big {Nested}} One"] and first["year"] == ["2020"] and first["author"] == ["A and B"]
 
 
+def test_files_are_split_at_record_ends(spark, tmp_path):
+    """Files of many splits give the records that one pass over the text gives, in order."""
+    entries = "".join(f"@article{{k{i},\n title = {{Title {i} of {{nested}} braces}},\n year = {2000 + i % 20}\n}}\n" for i in range(400))
+    exports = "".join(f"%0 Journal Article\n%A 张{i}\n%T Title {i}\n on two lines\n%D {2000 + i % 20}\n\n" for i in range(400))
+    records_ = "".join(f"TY  - JOUR\nTI  - Title {i}\nAU  - A{i}\nER  - \n\n" for i in range(400))
+    for name, text in (("x.bib", entries), ("x.enw", exports), ("x.ris", records_)):
+        (tmp_path / name).write_text(text, encoding="utf-8")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", "2000")
+    try:
+        for reader, name, parser in ((partial(records.read_bibtex, last_wins=False), "x.bib", records.bibtex_entries), (records.read_enw, "x.enw", records.enw_records), (records.read_ris, "x.ris", records.ris_records)):
+            frame = reader(spark, str(tmp_path / name))
+            assert frame.rdd.getNumPartitions() > 2
+            found = [row.fields for row in frame.orderBy("ordinal").collect()]
+            assert found == [fields for fields, _ in parser((tmp_path / name).read_text(encoding="utf-8"))], name
+    finally:
+        spark.conf.unset("spark.sql.files.maxPartitionBytes")
+    docs = spark.createDataFrame([(1, records_[:200]), (2, None), (3, "no records")], "doc_id long, text string")
+    assert [(row.doc_id, row.n) for row in records.records_of(docs, "doc_id", "text", "ris").orderBy("n").collect()] == [(1, n) for n in range(len(list(records.ris_records(records_[:200]))))]
+
+
 def test_bibtex_out(spark):
     row = spark.createDataFrame([({"TY": ["CONF"], "AU": ["A & B", "C"], "TI": ["T_1"], "T2": ["Proc"], "PY": ["2020/1"], "SP": ["1"], "EP": ["9"], "N1": ["LA:zh"]},)], "fields map<string,array<string>>")
     text = row.select(writers.ris_to_bibtex(F.lit("k1"), F.col("fields"), F.lit("x"), F.lit("y"), F.lit(""), F.lit(1999)).alias("t")).first().t
