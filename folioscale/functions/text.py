@@ -265,7 +265,7 @@ def volume_label(column: Column | str, default_date: str = "2026") -> Column:
 
 
 def palette(colours: Column | str, allowed: tuple[str, ...]) -> Column:
-    """ALL, PARTIAL or NONE of the colours allowed; N/A without colours."""
+    """FULL, PARTIAL or NONE of the colours allowed; N/A without colours."""
     upper = F.array_distinct(F.transform(F.coalesce(_c(colours), F.array().cast("array<string>")), lambda x: F.upper(x)))
     hits = F.size(F.array_intersect(upper, F.array(*[F.lit(x.upper()) for x in allowed])))
-    return F.when(F.size(upper) == 0, "N/A").when(hits == F.size(upper), "ALL").when(hits > 0, "PARTIAL").otherwise("NONE")
+    return F.when(F.size(upper) == 0, "N/A").when(hits == F.size(upper), "FULL").when(hits > 0, "PARTIAL").otherwise("NONE")

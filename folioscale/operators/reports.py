@@ -157,12 +157,12 @@ def work_order(clusters: DataFrame, edges: DataFrame) -> DataFrame:
     return done.withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("stage", F.col("is_global").desc(), "cluster")))
 
 
-def severity_queue(issues: DataFrame, severity: str, order: str) -> DataFrame:
-    """Issues with their place: red, yellow, green, structural, in order within."""
+def severity_queue(issues: DataFrame, severity: str, order: str, by: str | None = None) -> DataFrame:
+    """Issues with their place: red, yellow, green, structural, in order within; of each manuscript (by), else of one."""
     rank = F.lit(4)
     for level, name in reversed(list(enumerate(("red", "yellow", "green", "structural")))):
         rank = F.when(F.col(severity) == name, level).otherwise(rank)
-    return issues.withColumn("rank", rank).withColumn("place", F.row_number().over(Window.partitionBy(F.lit(0)).orderBy("rank", order))).drop("rank")
+    return issues.withColumn("rank", rank).withColumn("place", F.row_number().over(Window.partitionBy(by or F.lit(0)).orderBy("rank", order))).drop("rank")
 
 
 def dispatch_metadata(agents: DataFrame) -> DataFrame:
@@ -239,3 +239,33 @@ def tag_checks(rows: DataFrame, ident: str, tags: str, groups: DataFrame) -> Dat
 def journal_leaders(ideas: DataFrame, journal: str, score: str) -> DataFrame:
     """Ideas with their rank in each journal, equal scores sharing it."""
     return ideas.withColumn("rank", F.rank().over(Window.partitionBy(journal).orderBy(F.col(score).desc())))
+
+
+def overflow(rows: DataFrame, by: str, quota: Column, cited: Column, year: Column, zone: Column, method: Column, now: int, ident: str) -> DataFrame:
+    """Rows of each group within its quota: much cited first, then those of the last five years, of top journals, of like methods."""
+    order = [cited.desc_nulls_last(), F.coalesce(year > now - 5, F.lit(False)).desc(), zone.asc_nulls_last(), F.coalesce(method, F.lit(False)).desc(), F.col(ident)]
+    return rows.withColumn("place", F.row_number().over(Window.partitionBy(by).orderBy(*order))).where(F.col("place") <= quota)
+
+
+def harvest_totals(log: DataFrame, journal: str, volume: str, papers: Column, figures: Column) -> DataFrame:
+    """(journal, volume, papers, figures) of a harvest log, with sums by journal and of all (volume, then journal null)."""
+    return log.rollup(journal, volume).agg(F.sum(papers).alias("papers"), F.sum(figures).alias("figures"))
+
+
+#: Phases of a run and the artifacts that must be there to start from them.
+PHASES = [(2.0, "directions.json"), (2.0, "selected.json"), (3.0, "workflow.json"), (4.0, "drafts/blog-draft.md"), (4.5, "sensitive-words.txt"), (5.0, "drafts/self-audit.log"), (6.0, "images/image-manifest.json")]
+
+
+def resume_phase(runs: DataFrame, artifacts: DataFrame, run: str, wanted: str, name: str) -> DataFrame:
+    """(run, wanted, phase, missing): the phase a run may start from: the wanted one, or the first whose artifact is missing before it.
+
+    runs: run, wanted; artifacts: run, name.
+    """
+    need = F.array(*[F.struct(F.lit(phase).alias("phase"), F.lit(artifact).alias("name")) for phase, artifact in PHASES])
+    have = artifacts.groupBy(run).agg(F.collect_set(name).alias("have"))
+    joined = runs.join(have, run, "left")
+    lacking = F.filter(need, lambda n: (n["phase"] <= F.col(wanted)) & ~F.array_contains(F.coalesce("have", F.array().cast("array<string>")), n["name"]))
+    out = joined.withColumn("_lacking", lacking)
+    # the phase before the first that lacks something makes it anew
+    before = F.array_max(F.filter(F.array(F.lit(0.0), *[F.lit(p) for p in sorted({p for p, _ in PHASES})]), lambda p: p < F.array_min(F.col("_lacking"))["phase"]))
+    return out.select(run, wanted, F.when(F.size("_lacking") == 0, F.col(wanted)).otherwise(before).alias("phase"), F.transform("_lacking", lambda n: n["name"]).alias("missing"))

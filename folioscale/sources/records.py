@@ -176,7 +176,7 @@ def _chunks(spark: SparkSession, path: str, end: str) -> DataFrame:
 
 def ris_fields(raw: Column | str) -> Column:
     """The fields of one RIS record in a text."""
-    tag = r"(?m)^([A-Z][A-Z0-9])  -[ \t]?(.*)$"
+    tag = r"(?md)^([A-Z][A-Z0-9])  -[ \t]?(.*)$"
     flat = F.regexp_replace(raw, "\r", "")
     pairs = F.arrays_zip(F.regexp_extract_all(flat, F.lit(tag), 1).alias("t"), F.regexp_extract_all(flat, F.lit(tag), 2).alias("v"))
     tags = F.array_distinct(F.regexp_extract_all(flat, F.lit(tag), 1))

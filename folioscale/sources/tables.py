@@ -45,7 +45,7 @@ def cells(line: Column) -> Column:
 def tag_cell(cell: Column, closed: bool = True) -> Column:
     """Tags of a cell; marks for nothing give none. closed keeps only known prefixes."""
     plain = F.trim(F.regexp_replace(cell, "`", ""))
-    parts = F.filter(F.transform(F.split(F.regexp_replace(plain, r"\|", ";"), r"[+,、/;]"), F.trim), lambda t: t != "")
+    parts = F.filter(F.transform(F.split(F.regexp_replace(plain, r"\|", ";"), r"[+,、/;]"), lambda t: F.trim(t)), lambda t: t != "")
     if closed:
         parts = F.filter(parts, lambda t: t.rlike(r"^(BG|LR|COMP|METHOD|GAP|DISC)"))
     return F.when(plain.isin("—", "-", "N/A", ""), F.array().cast("array<string>")).otherwise(parts)
@@ -170,14 +170,26 @@ BATCH = "direction int, direction_name string, batch_id string, total_items int,
 
 def json_batches(spark: SparkSession, path: str) -> DataFrame:
     """(file, batch, readable): batches with inner quotes repaired; those that stay unreadable are kept as such."""
-    files = spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value")
+    return batches_of(spark.read.text(path, wholetext=True).select(F.col("_metadata.file_path").alias("file"), "value"))
+
+
+def batches_of(files: DataFrame) -> DataFrame:
+    """As json_batches, of texts (file, value)."""
     return files.withColumn("fixed", _repaired("value")).select("file", F.from_json("fixed", BATCH).alias("batch"), F.col("fixed").isNotNull().alias("readable"))
 
 
+#: Metadata of an image.
+IMAGE = "id string, name string, ext string, annotation string, tags array<string>, width int, height int, mtime long, isDeleted boolean"
+
+
 def images(spark: SparkSession, path: str) -> DataFrame:
     """Image metadata files (*.info/metadata.json), deleted ones left out; mtime 0 if missing."""
-    schema = "id string, name string, ext string, annotation string, tags array<string>, width int, height int, mtime long, isDeleted boolean"
-    return spark.read.schema(schema).json(path, multiLine=True).where("not coalesce(isDeleted, false)").withColumn("mtime", F.coalesce("mtime", F.lit(0)))
+    return live_images(spark.read.schema(IMAGE).json(path, multiLine=True))
+
+
+def live_images(rows: DataFrame) -> DataFrame:
+    """Image metadata without deleted ones; mtime 0 if missing."""
+    return rows.where("not coalesce(isDeleted, false)").withColumn("mtime", F.coalesce("mtime", F.lit(0)))
 
 
 #: The eight colours of the palette.
@@ -185,19 +197,25 @@ PALETTE = ("#576fa0", "#a7b9d7", "#e3b87f", "#fadcb4", "#b57979", "#dea3a2", "#9
 
 
 def figure_styles(files: DataFrame, file: str = "file", text: str = "text") -> DataFrame:
-    """(file, tool, colours, fonts, dpi, formats, palette, issues) of figure sources in TikZ, Python or R."""
+    """(file, tool, colours, palette, has_font, dpi, formats, issues) of figure sources in TikZ, Python or R; others are left out."""
     body = F.coalesce(F.col(text), F.lit(""))
     every = lambda pattern: F.array_sort(F.array_distinct(F.regexp_extract_all(body, F.lit(pattern), 1)))
-    tool = F.when(F.col(file).rlike(r"\.tex$"), "tikz").when(F.col(file).rlike(r"\.py$"), "python").when(F.col(file).rlike(r"\.[Rr]$"), "r").otherwise("other")
-    hexes = F.array_sort(F.array_distinct(F.transform(F.regexp_extract_all(body, F.lit("(#[0-9a-fA-F]{6})"), 1), F.lower)))
-    fonts = F.array_sort(F.array_distinct(F.concat(every(r"font\.family['\"]?\]?\s*[=:]\s*['\"]([^'\"]+)"), every(r"\\setmainfont\{([^}]*)\}"), every(r"(?:base_)?family\s*=\s*['\"]([^'\"]+)"))))
-    formats = every(r"\.(png|pdf|svg|eps|tiff?)['\"]")
-    out = files.select(F.col(file).alias("file"), tool.alias("tool"), hexes.alias("colours"), fonts.alias("fonts"), every(r"dpi\s*=\s*(\d+)").alias("dpi"), formats.alias("formats"))
+    tool = F.when(F.col(file).rlike(r"\.tex$"), "tikz").when(F.col(file).rlike(r"\.py$"), "python").when(F.col(file).rlike(r"\.[Rr]$"), "R")
+    hexes = F.array_sort(F.array_distinct(F.transform(F.when(tool == "tikz", every("(#[0-9a-fA-F]{6})")).otherwise(every(r"['\"](#[0-9a-fA-F]{6})['\"]")), F.lower)))
+    font = F.when(tool == "tikz", F.exists(every(r"\\usepackage(?:\[.*?\])?\{([^}]*)\}"), lambda name: F.contains(name, F.lit("newtxtext")))).when(tool == "python", body.contains("Times New Roman") | body.rlike(r"font\.serif['\"]?\s*[:\]]\s*\[?\s*['\"][^'\"]*Times")).otherwise(F.exists(every(r"family\s*=\s*['\"]([^'\"]+)['\"]"), lambda name: F.contains(name, F.lit("Times"))))
+    saved = F.when(tool == "python", every(r"savefig\(['\"].*?\.(pdf|png|svg|eps)['\"]")).when(tool == "R", F.array_sort(F.array_distinct(F.concat(every(r"ggsave\(\s*['\"].*?\.(pdf|png|svg|eps)['\"]"), every(r"device\s*=\s*['\"](\w+)['\"]"))))).otherwise(F.array().cast("array<string>"))
+    out = files.withColumn("tool", tool).where("tool is not null").select(F.col(file).alias("file"), "tool", hexes.alias("colours"), font.alias("has_font"), every(r"dpi\s*=\s*(\d+)").alias("dpi"), saved.alias("formats"))
     out = out.withColumn("palette", X.palette("colours", PALETTE))
-    issues = F.array_compact(F.array(F.when(F.col("palette").isin("NONE", "PARTIAL"), F.concat(F.lit("palette "), "palette")), F.when((F.size("fonts") == 0) & (F.col("tool") != "tikz"), F.lit("no font")), F.when(F.array_contains("formats", "png"), F.lit("png output"))))
+    issues = F.array_compact(F.array(F.when(F.col("palette") == "NONE", F.lit("no palette colours")).when(F.col("palette") == "PARTIAL", F.lit("other colours")), F.when(~F.col("has_font"), F.lit("missing font")), F.when(F.array_contains("formats", "png"), F.lit("png output"))))
     return out.withColumn("issues", issues)
 
 
+def figure_inventory(styles: DataFrame) -> DataFrame:
+    """(tool, file, colours, palette, font, format): a line of the inventory for each figure source."""
+    shown = F.when(F.col("tool") == "tikz", "PDF").when(F.size("formats") > 0, F.array_join("formats", ",")).otherwise("?")
+    return styles.select("tool", F.substring_index("file", "/", -1).alias("file"), F.size("colours").alias("colours"), "palette", F.when(F.col("has_font"), "OK").otherwise("MISS").alias("font"), shown.alias("format"))
+
+
 def captions(pages: DataFrame, text: str = "text", page: str = "page", by: str = "doc_id") -> DataFrame:
     """(by, kind, number, page): the first page on which a table or figure is captioned."""
     line = F.explode(F.split(text, "\n")).alias("line")

@@ -130,7 +130,8 @@ def test_json_repair(spark, tmp_path):
 def test_other_readers(spark):
     files = spark.createDataFrame([("a.py", 'c="#576FA0"; d="#000000"; plt.savefig("x.png", dpi=300)'), ("b.tex", ""), ("c.R", None)], "file string, text string")
     out = {row.file: row for row in tables.figure_styles(files).collect()}
-    assert out["a.py"].palette == "PARTIAL" and out["a.py"].dpi == ["300"] and set(out["a.py"].issues) == {"palette PARTIAL", "no font", "png output"} and out["b.tex"].palette == "N/A"
+    assert out["a.py"].palette == "PARTIAL" and out["a.py"].dpi == ["300"] and out["a.py"].issues == ["other colours", "missing font", "png output"] and out["b.tex"].palette == "N/A"
+    assert {(row.file, row.colours, row.font, row.format) for row in tables.figure_inventory(tables.figure_styles(files)).collect()} == {("a.py", 2, "MISS", "png"), ("b.tex", 0, "MISS", "PDF"), ("c.R", 0, "MISS", "?")}
     pages = spark.createDataFrame([(1, 2, "Table 1. x\nFig. 2 y"), (1, 1, "see Table 1\nFigure 2. y")], "doc_id int, page int, text string")
     assert {(row.kind, row.number): row.page for row in tables.captions(pages).collect()} == {("table", 1): 2, ("figure", 2): 1}
     html = spark.createDataFrame([(1, '<a href="/pii/S1">short</a><a class="x" href="/pii/S1?a">A title that is long <b>enough</b></a><a href="/pii/S1">Another title of the same one</a>')], "page_id int, html string")
