@@ -4,10 +4,10 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from folioscale.plans import formats, relational, reports, scalars, screening, tags, texts
+from folioscale.plans import formats, gates, relational, reports, scalars, screening, tags, texts
 from folioscale.plans.registry import Query
 
-_PARTS = (screening, tags, texts, relational, reports, scalars, formats)
+_PARTS = (screening, tags, texts, relational, reports, scalars, formats, gates)
 
 
 def flagship(spark: SparkSession, sf_dir: str) -> DataFrame:
