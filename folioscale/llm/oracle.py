@@ -88,8 +88,23 @@ select x.paper_id as paper_id_a, y.paper_id as paper_id_b from forms x join form
 """
 
 
+#: Words with a character each for links, markup and hash signs, their neighbours, and the PMI of these by counting all of them.
+_P10 = r"""
+with plain as (select row_number() over () as page, doc_id, regexp_replace(regexp_replace(regexp_replace(lower(text), '(?:https?://|www\.)[^\s"''<>)\]，。；、]+', chr(1), 'g'), '<[^<>]{1,400}>', chr(2), 'g'), '#([^\s#\x{a0}\x{2000}-\x{200a}\x{202f}\x{3000}])', chr(3) || '\1', 'g') as t from documents where text is not null),
+toks as (select page, doc_id, regexp_extract_all(t, '[㐀-鿿]|[\p{Latin}\p{Cyrillic}\p{Greek}\p{Hangul}\p{Nl}\p{No}]+(?:[''’-][\p{Latin}\p{Cyrillic}\p{Greek}\p{Hangul}\p{Nl}\p{No}]+)*|[\x01\x02\x03]') as w from plain),
+words as (select unnest(w) as word from toks), one as (select word, count(*) as n from words group by word),
+pairs as (select page, doc_id, unnest(list_zip(w[:-2], w[2:])) as p from toks where len(w) > 1),
+flat as (select page, doc_id, p[1] as a, p[2] as b from pairs), two as (select a, b, count(*) as n from flat group by all),
+own as (select page, doc_id, a, b, count(*) as times from flat group by all),
+known as (select own.*, ln(two.n::double * (select sum(n) from one) / (select sum(n) from two) * (select sum(n) from one) / x.n / y.n) + ln(two.n / (two.n + 1.0::double) * (least(x.n, y.n) / (least(x.n, y.n) + 1.0::double))) as pmi
+  from own join two using (a, b) join one x on x.word = a join one y on y.word = b)
+select doc_id, round(sum(pmi * times) / sum(times), 5) as mean_pmi, round(sum(case when times >= 3 and pmi >= 2 then times else 0 end) / sum(times)::double, 5) as repeated from known group by page, doc_id
+"""
+
+
 def oracle() -> dict[str, str]:
     return {
+        "p10_pmi": _P10,
         "p1_plan_totals": """
             select plan_id::bigint as plan_id, batch_limit, sum(item_count)::bigint as records, sum(ceil(item_count / batch_limit::double))::bigint as pieces,
                    sum(ceil(item_count / batch_limit::double) - 1)::bigint as further_pieces

@@ -121,6 +121,12 @@ def p10_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
     return page_spam.spam_pages(read_table(spark, sf_dir, "documents"), full=True)
 
 
+def p10_pmi(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean PMI of neighbours and share of repeated collocations of every document with two words or more."""
+    rows = page_spam.spam_pages(read_table(spark, sf_dir, "documents"), full=True).where("mean_pmi <> 0 or repeated <> 0")
+    return rows.select("doc_id", F.round("mean_pmi", 5).alias("mean_pmi"), F.round("repeated", 5).alias("repeated"))
+
+
 QUERIES: dict[str, Query] = {
     "p1_batches": p1_batches,
     "p1_items": p1_items,
@@ -144,4 +150,5 @@ QUERIES: dict[str, Query] = {
     "p9_shares_of_pool": p9_shares_of_pool,
     "p10_found": p10_found,
     "p10_scores": p10_scores,
+    "p10_pmi": p10_pmi,
 }

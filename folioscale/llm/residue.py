@@ -165,7 +165,9 @@ def shared_forms(lines: DataFrame) -> DataFrame:
     """(form) of the boilerplate among lines (host, form), at most RECURS; hosts are counted exactly."""
     by_host = lines.groupBy("form", F.coalesce("host", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
     shares = by_host.groupBy("host").agg(F.sum("n").alias("of_host"))
-    shares = shares.crossJoin(F.broadcast(shares.agg(F.sum("of_host").alias("of_all")))).withColumn("share", F.col("of_host") / F.col("of_all"))
+    # one row, joined by a constant
+    whole = F.broadcast(shares.agg(F.sum("of_host").alias("of_all"), F.lit(1).alias("k")))
+    shares = shares.withColumn("k", F.lit(1)).join(whole, "k").drop("k").withColumn("share", F.col("of_host") / F.col("of_all"))
     excess = by_host.join(shares, "host").groupBy("form").agg(F.sum("n").alias("n"), F.first("of_all").alias("of_all"), F.count(F.lit(1)).alias("hosts"), F.collect_list(F.struct("n", "share")).alias("parts"))
     even = F.forall("parts", lambda part: part["n"] <= F.col("n") * (part["share"] + 1 / SPREAD))
     return excess.where((F.col("n") >= SPREAD) & (F.col("n") * RECURS >= F.col("of_all")) & (F.col("hosts") > 1) & even).select("form")
