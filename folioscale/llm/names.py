@@ -38,7 +38,7 @@ from heapq import heappop, heappush
 from itertools import combinations
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from folioscale.llm.pairs import pairs_within
@@ -401,27 +401,28 @@ def dropped(head: str) -> set[str]:
     return found
 
 
+def _drops(word: Column) -> Column:
+    """The words that dropping one letter leaves."""
+    return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
+
+
 def near_heads(heads: DataFrame) -> DataFrame:
-    """(kind, a, b), a < b: heads of one kind that become equal by dropping letters.
+    """(kind, a, b), a < b: heads of one kind that become equal by dropping letters, as many as `dropped` does.
 
     Exact: each edit, an exchange of neighbours included, is undone by dropping
     one letter at most from each side, so every pair that _slip accepts is here.
+    No group is large: only so many words become a given one by dropping two letters.
     """
-
-    def drop(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(kind, head, word) for kind, head in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for word in dropped(head)]
-            yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], pa.string()) for i in range(3)], names=["kind", "head", "word"])
-
-    def pair(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out = [(kind, a, b) for kind, group in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()) for a, b in combinations(sorted(group), 2) if abs(len(a) - len(b)) <= 2]
-            yield pa.RecordBatch.from_arrays([pa.array([row[i] for row in out], pa.string()) for i in range(3)], names=["kind", "a", "b"])
-
-    words = heads.where(F.length("head") >= LEAST_HEAD).select("kind", "head").mapInArrow(drop, "kind string, head string, word string")
+    once = _drops(F.col("head"))
+    twice = F.when(F.length("head") >= TWO_EDITS, F.flatten(F.transform(once, _drops))).otherwise(F.array().cast("array<string>"))
     # equal hashes of different words only add candidates
-    groups = words.groupBy("kind", F.xxhash64("word").alias("word")).agg(F.collect_set("head").alias("group")).where(F.size("group") > 1)
-    return groups.select("kind", "group").mapInArrow(pair, "kind string, a string, b string").distinct()
+    hashes = F.array_distinct(F.transform(F.concat(F.array("head"), once, twice), lambda word: F.xxhash64(word)))
+    partitions = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    words = heads.where(F.length("head") >= LEAST_HEAD).select("kind", "head").repartition(partitions, "head").select("kind", "head", F.explode(hashes).alias("word"))
+    groups = words.groupBy("kind", "word").agg(F.collect_set("head").alias("group")).where(F.size("group") > 1)
+    beyond = lambda a: F.filter("group", lambda b: (a < b) & (F.abs(F.length(a) - F.length(b)) <= 2))
+    pairs = F.flatten(F.transform("group", lambda a: F.transform(beyond(a), lambda b: F.struct(a.alias("a"), b.alias("b")))))
+    return groups.select("kind", F.explode(pairs).alias("p")).select("kind", "p.a", "p.b").distinct()
 
 
 def _common(tokens: DataFrame) -> dict[str, int]:
