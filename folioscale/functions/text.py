@@ -84,18 +84,27 @@ def source_type(declared: Column | str, *fields: Column | str) -> Column:
     return F.when(_c(declared).isin("cnki", "wos"), _c(declared)).when(guess, "cnki").otherwise("wos")
 
 
-def citation_key(author: Column | str, year: Column | str, title: Column | str) -> Column:
+#: Chinese surnames of two characters.
+COMPOUND_SURNAMES = ("欧阳", "司马", "上官", "诸葛", "司徒", "令狐", "宇文", "长孙", "慕容", "皇甫", "东方", "端木", "公孙", "南宫", "独孤", "赫连")
+
+
+def citation_key(author: Column | str, year: Column | str, title: Column | str, pinyin: dict[str, str] | None = None) -> Column:
     """Surname, year and first letter of the first content word.
 
-    Without a pinyin table a Chinese surname gives cn and its code point, and a Chinese title x.
+    pinyin maps Chinese characters to their spelling. Of a character it does
+    not have, a surname gives cn and its code point, and a title x.
     """
     raw = strip(F.split(F.split(F.coalesce(_c(author), F.lit("")), ",")[0], ";")[0])
     raw = strip(F.regexp_replace(raw, r"\s+[A-Z]\.?$", ""))
     latin = F.regexp_replace(F.lower(raw), r"[^a-z]", "")
-    surname = F.when(raw.rlike(CJK), F.concat(F.lit("cn"), F.lower(F.hex(F.ascii(raw))))).when(latin == "", "unknown").otherwise(latin)
+    spelled = lambda char: F.try_element_at(F.create_map(*[F.lit(x) for pair in pinyin.items() for x in pair]), char) if pinyin else F.lit(None).cast("string")
+    first, second = F.left(raw, F.lit(1)), F.substring(raw, 2, 1)
+    own = F.coalesce(F.when(F.left(raw, F.lit(2)).isin(*COMPOUND_SURNAMES), F.concat(spelled(first), spelled(second))), spelled(first), F.concat(F.lit("cn"), F.lower(F.hex(F.ascii(raw)))))
+    surname = F.when(raw.rlike(CJK), own).when(latin == "", "unknown").otherwise(latin)
     words = F.regexp_extract_all(F.lower(F.coalesce(_c(title), F.lit(""))), F.lit("([a-z]+)"), 1)
     content = F.filter(words, lambda word: ~word.isin(*STOP_WORDS))
-    initial = F.coalesce(F.left(F.get(content, F.lit(0)), F.lit(1)), F.left(F.get(words, F.lit(0)), F.lit(1)), F.lit("x"))
+    chinese = F.filter(F.split(F.coalesce(_c(title), F.lit("")), ""), lambda char: char.rlike(CJK) & ~F.lit(CJK_STOP).contains(char))
+    initial = F.coalesce(F.left(F.get(content, F.lit(0)), F.lit(1)), F.left(F.get(words, F.lit(0)), F.lit(1)), F.left(spelled(F.get(chinese, F.lit(0))), F.lit(1)), F.lit("x"))
     return F.concat(surname, F.coalesce(_c(year).cast("string"), F.lit("")), initial)
 
 

@@ -12,6 +12,7 @@ from folioscale.plans import sqltext as S
 from folioscale.plans.registry import Registry
 from folioscale.runtime import cut_lineage, read_table, shared_path
 from folioscale.sinks import writers
+from folioscale.sources.works import read_works
 from folioscale.streaming import incremental
 
 registry = Registry()
@@ -216,6 +217,23 @@ def project_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
     return reports.project_stage(files, "project", "path", "text")
 
 
+@query("select openalex_id as source_id, count(*) as works, max('2024-03-' || lpad((n % 28 + 1)::varchar, 2, '0')) as latest from (select openalex_id, unnest(range(0, length(name) * 3)) as n from journals where openalex_id is not null) group by openalex_id")
+def works_of_journals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Works of the journals from a stub of the service, thrice as many as their names have letters, seven to a page."""
+    journals = read_table(spark, sf_dir, "journals").where("openalex_id is not null").select("openalex_id", "name").collect()  # a dimension of 48 rows
+    size = {row.openalex_id: 3 * len(row.name or "") for row in journals}
+
+    def fetch(params: dict) -> dict:
+        sources = params["filter"].split(",")[0].split(":")[1].split("|")
+        works = [{"source_id": source, "id": f"{source}-{n}", "title": f"work {n}", "publication_date": f"2024-03-{n % 28 + 1:02d}"} for source in sources for n in range(size[source])]
+        start = 0 if params["cursor"] == "*" else int(params["cursor"])
+        end = start + params["per-page"]
+        return {"results": works[start:end], "next_cursor": str(end) if end < len(works) else None}
+
+    works = read_works(spark, fetch, list(size), "2024-03-01", page=7)
+    return works.groupBy("source_id").agg(F.count(F.lit(1)).alias("works"), F.max("published").alias("latest"))
+
+
 @query("select paper_id, case when paper_id % 11 = 0 then null when length(title) % 2 = 0 then '1' else '0' end as answer, paper_id % 11 = 0 as failed from papers where title is not null")
 def judged_records(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Records judged one by one by a rule that fails now and then: failures are kept and marked."""

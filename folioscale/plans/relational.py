@@ -14,9 +14,11 @@ registry = Registry()
 query = registry.query
 
 
-@query("select customer.c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders)")
+@query("select customer.c_custkey, c_name from customer where c_custkey not in (select o_custkey from orders where o_orderpriority like '1%' and o_totalprice > 100000)")
 def orphan_customers(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return read_table(spark, sf_dir, "customer").join(read_table(spark, sf_dir, "orders").select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
+    """Customers without an urgent order of a high price."""
+    urgent = read_table(spark, sf_dir, "orders").where("o_orderpriority like '1%' and o_totalprice > 100000")
+    return read_table(spark, sf_dir, "customer").join(urgent.select(F.col("o_custkey").alias("c_custkey")), "c_custkey", "left_anti").select("c_custkey", "c_name")
 
 
 @query("with t as (select n_nationkey, n_name, r_name, s_suppkey from region join nation on r_regionkey = n_regionkey join supplier on s_nationkey = n_nationkey) select s_suppkey as id, 'nation:' || n_nationkey as ancestor, 1 as distance from t union all select s_suppkey, 'region:' || r_name, 2 from t")

@@ -90,3 +90,10 @@ def test_normalize_like_python(spark, texts):
     rows = spark.createDataFrame([(i, text) for i, text in enumerate(texts)], "i int, t string").select("i", X.normalize("t").alias("x"), F.col("t")).collect()
     for row in rows:
         assert row.x == python(row.t), ascii(row.t)
+
+
+def test_citation_key_with_pinyin(spark):
+    rows = spark.createDataFrame([("陶鸠", 2026, "价值创造与资源重构"), ("欧阳明", 2025, "的数字化转型"), ("王一", 2024, "测"), ("Akcomak, S.", 2023, "What drives network evolution?"), ("Doe", 2020, "Whose turn")], "a string, y int, t string")
+    spelled = {"陶": "tao", "价": "jia", "欧": "ou", "阳": "yang", "数": "shu"}
+    assert [row.k for row in rows.select(X.citation_key("a", "y", "t", spelled).alias("k")).collect()] == ["tao2026j", "ouyang2025s", "cn738b2024x", "akcomak2023d", "doe2020w"]
+    assert [row.k for row in rows.select(X.citation_key("a", "y", "t").alias("k")).collect()][:2] == ["cn96762026x", "cn6b272025x"]
