@@ -106,25 +106,40 @@ def pair_keys(ids: np.ndarray) -> np.ndarray:
     return ((mixed >> np.uint64(1)) | np.uint64(1)).astype(np.int64)
 
 
-@dataclass
 class Unit:
-    """A sentence, a line, or a run of short lines."""
+    """A sentence, a line, or a run of short lines; what is known of its words is found out when first asked for."""
+
+    __slots__ = ("_length", "_sentence", "lines", "size", "text", "words")
+
+    def __init__(self, text: str, words: list[str], lines: int = 1, length: float | None = None) -> None:
+        self.text, self.words, self.lines, self.size = text, words, lines, len(text)
+        self._length, self._sentence = length, None
+
+    @property
+    def length(self) -> float:
+        """Words, ideographs counting half, since a word of Chinese has about two."""
+        if self._length is None:
+            self._length = len(self.words) - _ideographs(self.text, self.words) / 2
+        return self._length
 
-    size: int
-    words: list[str]
-    #: Words, ideographs counting half, since a word of Chinese has about two.
-    length: float
-    #: Whether its words read like a sentence, a reference or a labelled line, and whether it is only a link.
-    sentence: bool
-    link: bool
+    @property
+    def sentence(self) -> bool:
+        """Whether its words read like a sentence, a reference or a labelled line."""
+        if self._sentence is None:
+            self._sentence = len(self.words) > 1 and reads_like_sentence(self.text, self.words, self.length, self.lines)
+        return self._sentence
+
+    @property
+    def link(self) -> bool:
+        return self.words == [LINK]
 
     @property
     def long(self) -> bool:
-        return self.length > SALAD_WORDS
+        return len(self.words) > SALAD_WORDS and self.length > SALAD_WORDS
 
     def open(self) -> bool:
         """Whether its neighbours may show that it is spam."""
-        return self.link or len(self.words) > 1 and (not self.sentence or self.long)
+        return self.link or len(self.words) > 1 and (self.long or not self.sentence)
 
 
 def _ideographs(text: str, words: list[str]) -> int:
@@ -135,12 +150,12 @@ def _ideographs(text: str, words: list[str]) -> int:
 
 def units_of(text: str) -> list[Unit]:
     out: list[Unit] = []
-    lines: list[tuple[str, list[str], int]] = []
+    lines: list[tuple[str, list[str], float]] = []
 
     def end_list() -> None:
         if lines:
-            texts, words, han = zip(*lines)
-            out.append(_unit("\n".join(texts), [word for own in words for word in own], sum(han), len(lines)))
+            texts, words, lengths = zip(*lines)
+            out.append(Unit("\n".join(texts), [word for own in words for word in own], len(lines), sum(lengths)))
             lines.clear()
 
     for line in text.split("\n"):
@@ -148,21 +163,18 @@ def units_of(text: str) -> list[Unit]:
             if not part:
                 continue
             words = words_of(part)
-            han = _ideographs(part, words)
-            if len(words) - han / 2 < SHORT and not _SENTENCE_END.search(part) and (LINK in words or "#" in words or not _LABEL.match(part)):
-                lines.append((part, words, han))
-            else:
-                end_list()
-                out.append(_unit(part, words, han, 1))
+            length = None
+            if len(words) < 2 * SHORT:
+                length = len(words) - _ideographs(part, words) / 2
+                if length < SHORT and not _SENTENCE_END.search(part) and (LINK in words or "#" in words or not _LABEL.match(part)):
+                    lines.append((part, words, length))
+                    continue
+            end_list()
+            out.append(Unit(part, words, 1, length))
     end_list()
     return out
 
 
-def _unit(text: str, words: list[str], han: int, lines: int) -> Unit:
-    length = len(words) - han / 2
-    return Unit(len(text), words, length, len(words) > 1 and reads_like_sentence(text, words, length, lines), words == [LINK])
-
-
 def reads_like_sentence(text: str, words: list[str], length: float, lines: int) -> bool:
     """Whether a unit is a sentence, a reference or a short line with a label, going by its words only."""
     links = words.count(LINK)
@@ -187,8 +199,14 @@ class Page:
         self.size = sum(unit.size for unit in self.units)
 
     def doubtful(self) -> bool:
-        """Whether the units that may be spam make up half of the page."""
-        return self.size > 0 and sum(unit.size for unit in self.units if unit.open()) > HALF * self.size
+        """Whether the units that may be spam make up more than half of the page; the largest are looked at first."""
+        rest = (1 - HALF) * self.size
+        for unit in sorted(self.units, key=lambda unit: -unit.size):
+            if not unit.open():
+                rest -= unit.size
+                if rest <= 0:
+                    return False
+        return self.size > 0
 
     def keys(self) -> np.ndarray:
         return np.unique(np.concatenate([self.ids, self.pairs]))

@@ -629,7 +629,7 @@ def test_counts_are_those_of_all_words_and_neighbours(spark):
 def test_spam_is_shown_by_the_counts(spark):
     """Without the counts (every PMI middling) nothing but bare links is found."""
     words = page_spam.words_of("buy paper buy paper buy paper cheap essay paper help cheap essay " * 8)
-    unit = page_spam.Unit(99, words, 60.0, False, False)
+    unit = page_spam.Unit("x" * 99, words, 9, 60.0)
     middling, never = [1.5] * (len(words) - 1), [False] * (len(words) - 1)
     import numpy as np
 
