@@ -133,12 +133,14 @@ def residue(df: DataFrame, id_col: str, key: str | None, texts: list[str], host:
     # read several times below
     lines = cut_lineage(lines.withColumn("form", masked(F.col("line"))))
     boilerplate = F.broadcast(shared_forms(lines))
+    # every distinct line is looked at once: in the residual for any evidence, among boilerplate for unmistakable one
+    distinct = cut_lineage(lines.select("line", "form").distinct())
     line = F.col("line")
-    residual = lines.join(boilerplate, "form", "left_anti").where(evident(line) | line.rlike(AMBIGUOUS) & ~line.rlike(REFERENCE)).select("id")
-    subtracted = lines.join(boilerplate, "form", "left_semi")
-    protected = subtracted.select("line").distinct().where(evident(line))
-    filler = filler_forms(lines.select("form").distinct())
-    found = residual.unionByName(subtracted.join(protected, "line", "left_semi").select("id")).unionByName(lines.join(filler, "form", "left_semi").select("id"))
+    residual = distinct.join(boilerplate, "form", "left_anti").where(evident(line) | line.rlike(AMBIGUOUS) & ~line.rlike(REFERENCE))
+    protected = distinct.join(boilerplate, "form", "left_semi").where(evident(line))
+    filler = distinct.join(filler_forms(distinct.select("form").distinct()), "form", "left_semi")
+    evidence = residual.select("line").unionByName(protected.select("line")).unionByName(filler.select("line")).distinct()
+    found = lines.join(evidence, "line", "left_semi").select("id")
     if key:
         keys = rows.where(~missing(F.col("key"))).select("id", "host", F.trim("key").alias("key"))
         odd = keys.where(~F.col("key").rlike(REAL_KEY) & F.col("host").isNotNull())
@@ -163,11 +165,9 @@ def filler_forms(forms: DataFrame) -> DataFrame:
 
 def shared_forms(lines: DataFrame) -> DataFrame:
     """(form) of the boilerplate among lines (host, form), at most RECURS; hosts are counted exactly."""
-    by_host = lines.groupBy("form", F.coalesce("host", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("n"))
-    shares = by_host.groupBy("host").agg(F.sum("n").alias("of_host"))
-    # one row, joined by a constant
-    whole = F.broadcast(shares.agg(F.sum("of_host").alias("of_all"), F.lit(1).alias("k")))
-    shares = shares.withColumn("k", F.lit(1)).join(whole, "k").drop("k").withColumn("share", F.col("of_host") / F.col("of_all"))
-    excess = by_host.join(shares, "host").groupBy("form").agg(F.sum("n").alias("n"), F.first("of_all").alias("of_all"), F.count(F.lit(1)).alias("hosts"), F.collect_list(F.struct("n", "share")).alias("parts"))
+    by_host = cut_lineage(lines.groupBy("form", F.coalesce("host", F.lit("")).alias("host")).agg(F.count(F.lit(1)).alias("n")))
+    total = by_host.agg(F.coalesce(F.sum("n"), F.lit(0))).first()[0]
+    shares = by_host.groupBy("host").agg((F.sum("n") / F.lit(total)).alias("share"))
+    excess = by_host.join(shares, "host").groupBy("form").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("hosts"), F.collect_list(F.struct("n", "share")).alias("parts"))
     even = F.forall("parts", lambda part: part["n"] <= F.col("n") * (part["share"] + 1 / SPREAD))
-    return excess.where((F.col("n") >= SPREAD) & (F.col("n") * RECURS >= F.col("of_all")) & (F.col("hosts") > 1) & even).select("form")
+    return excess.where((F.col("n") >= SPREAD) & (F.col("n") * RECURS >= total) & (F.col("hosts") > 1) & even).select("form")
