@@ -34,9 +34,10 @@ def pool(entries: DataFrame) -> DataFrame:
     )
 
 
-def quotas(split: DataFrame, directions: DataFrame, budget: int, least: int = 20) -> DataFrame:
-    """The sum is the budget, none is under the least, tiers add up, every tag group is covered, every direction has tags."""
-    total = split.agg(F.sum("quota").alias("s")).where(F.col("s") != budget)
+def quotas(split: DataFrame, directions: DataFrame, budget: int | Column, least: int = 20) -> DataFrame:
+    """The sum is the budget (a number, or an aggregate of the quotas' rows), none is under the least, tiers add up, every tag group is covered, every direction has tags."""
+    wanted = budget if isinstance(budget, Column) else F.lit(budget)
+    total = split.agg(F.sum("quota").alias("s"), wanted.alias("wanted")).where("s <> wanted")
     spark = split.sparkSession
     wanted = spark.createDataFrame([(tag,) for tag in ("BG", "LR", "METHOD", "GAP", "DISC")], "tag_group string")
     covered = directions.select(F.explode("tags").alias("tag")).where("tag is not null").select(X.quota_group("tag").alias("tag_group")).distinct()

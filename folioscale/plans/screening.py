@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from folioscale.functions import text as X
@@ -79,21 +79,22 @@ def quota_sql(budget: str) -> str:
     return _QUOTA_SQL.format(group=S.quota_group("tag"), budget=budget)
 
 
-def _budget(directions: DataFrame) -> int:
-    return directions.count() * BUDGET_PER_DIRECTION
+def _budget(per_direction: int = BUDGET_PER_DIRECTION) -> Column:
+    """So many records for each direction, counted where the budget is apportioned."""
+    return F.count(F.lit(1)).over(Window.partitionBy(F.lit(0))) * per_direction
 
 
 @query(lambda: f"with {quota_sql(f'(select count(*) * {BUDGET_PER_DIRECTION} from directions)')} select id, round(raw_demand, 6) as raw_demand, quota from quotas")
 def quota_apportion(spark: SparkSession, sf_dir: str) -> DataFrame:
     directions = read_table(spark, sf_dir, "directions")
-    return allocation.apportion(directions, _budget(directions)).select("id", F.round("raw_demand", 6).alias("raw_demand"), "quota")
+    return allocation.apportion(directions, _budget()).select("id", F.round("raw_demand", 6).alias("raw_demand"), "quota")
 
 
 @query(lambda: f"with {quota_sql('(select count(*) * 5 from directions)')} select id, quota from quotas")
 def quota_below_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
     """A budget the least quotas exceed: the same for all, the residue to the first."""
     directions = read_table(spark, sf_dir, "directions")
-    return allocation.apportion(directions, directions.count() * 5).select("id", "quota")
+    return allocation.apportion(directions, _budget(5)).select("id", "quota")
 
 
 @query(
@@ -102,12 +103,12 @@ def quota_below_minimum(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def quota_tier_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     directions = read_table(spark, sf_dir, "directions")
-    return allocation.tier_split(allocation.apportion(directions, _budget(directions)).select("id", "quota"))
+    return allocation.tier_split(allocation.apportion(directions, _budget()).select("id", "quota"))
 
 
 def _quotas(spark: SparkSession, sf_dir: str) -> DataFrame:
     directions = read_table(spark, sf_dir, "directions")
-    return allocation.apportion(directions, _budget(directions)).select(F.col("id").cast("long").alias("direction"), "quota")
+    return allocation.apportion(directions, _budget()).select(F.col("id").cast("long").alias("direction"), "quota")
 
 
 def _truncated(quota: str, by: str) -> str:
@@ -187,8 +188,6 @@ def zone_screen(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _all(order: str):
     """A window over a dimension of a few dozen rows."""
-    from pyspark.sql import Window
-
     return Window.partitionBy(F.lit(0)).orderBy(order)
 
 

@@ -179,8 +179,9 @@ def pool_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
 def quota_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Sum, minimum, tiers, coverage and tags of an apportionment (scaling may leave a quota under the minimum)."""
     directions = read_table(spark, sf_dir, "directions")
-    quotas = allocation.tier_split(allocation.apportion(directions, directions.count() * 30).select("id", "quota"))
-    return checks.quotas(quotas, directions, directions.count() * 30)
+    each = F.count(F.lit(1))
+    quotas = allocation.tier_split(allocation.apportion(directions, each.over(Window.partitionBy(F.lit(0))) * 30).select("id", "quota"))
+    return checks.quotas(quotas, directions, each * 30)
 
 
 @query("""select code, item_id::varchar as key from (select 'OVER_LIMIT' as code, item_id from dispatch_items where item_count > batch_limit and batch_limit > 0 union all
