@@ -114,7 +114,13 @@ def batch_sequence(spark: SparkSession, sf_dir: str) -> DataFrame:
     return numbered.select("item_id", "part", F.when(F.contains("source_file", F.lit("_cnki")), "cnki").otherwise("wos").alias("source_type"), F.col("batch_seq").cast("long").alias("batch_seq"))
 
 
-@query()
+@query("""with recursive per as (select plan_id, batch_limit, tag, count(*) as n from (select plan_id, batch_limit, unnest(tags) as tag from dispatch_items where item_count > 0) where tag is not null and plan_id is not null and batch_limit > 0 group by all),
+    big as (select plan_id, tag, n, row_number() over (partition by plan_id order by tag) as bin from per where n > batch_limit // 2), many as (select plan_id, count(*) as c from big group by plan_id),
+    small as (select *, row_number() over (partition by plan_id order by n desc, tag) as k from per where n <= batch_limit // 2),
+    fit as (select distinct plan_id, 0::bigint as k, '' as tag, 0::bigint as n, 0::bigint as bin, []::bigint[] as rooms from small union all
+      select plan_id, k, tag, n, coalesce(slot, len(rooms) + 1)::bigint, case when slot is null then list_append(rooms, room - n) else list_transform(rooms, lambda r, i: case when i = slot then r - n else r end) end
+      from (select f.plan_id, s.k, s.tag, s.n, f.rooms, s.batch_limit::bigint as room, nullif(list_position(list_transform(f.rooms, lambda r: r >= s.n), true), 0) as slot from fit f join small s on s.plan_id = f.plan_id and s.k = f.k + 1))
+    select plan_id, tag, n, bin from big union all select plan_id, tag, n, bin + coalesce(c, 0) from fit left join many using (plan_id) where k > 0""")
 def first_fit_plan(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Tags of a plan packed first-fit by falling count, as agents are given work."""
     counts = _items(spark, sf_dir).where("item_count > 0").select("plan_id", "batch_limit", F.explode("tags").alias("tag"), "item_count").where("tag is not null")
