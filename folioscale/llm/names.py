@@ -53,6 +53,8 @@ SLIP_RATIO = 4
 GRAM, LEAST_COSINE = 4, 0.12
 #: Two edits join heads of at least this length only if one is this many times as frequent as the other, which is then taken for a slip.
 TWO_EDITS, TWO_EDITS_RATIO = 8, 3
+#: Heads beyond this length are compared by stretches instead of dropped letters.
+LONG = 32
 #: Shorter heads are joined only if equal: one edit makes another name of them.
 LEAST_HEAD = 5
 #: Agreement of an initial with a name, and the least mean similarity of clusters that are merged.
@@ -133,22 +135,28 @@ def close(a: str, b: str) -> bool:
 
 
 def edits(a: str, b: str, most: int = 2) -> int:
-    """Letters added, dropped, changed or exchanged with their neighbour; most + 1 if there are more."""
+    """Letters added, dropped, changed or exchanged with their neighbour; most + 1 if there are more. The time grows with the length only."""
     if abs(len(a) - len(b)) > most:
         return most + 1
-    before: list[int] = []
-    last = list(range(len(b) + 1))
+    beyond = most + 1
+    # rows of the usual table, of which only cells within `most` of the diagonal can count
+    before: dict[int, int] = {}
+    last = {j: j for j in range(min(most, len(b)) + 1)}
     for i, x in enumerate(a, 1):
-        row = [i]
-        for j, y in enumerate(b, 1):
-            cost = min(last[j] + 1, row[-1] + 1, last[j - 1] + (x != y))
+        row: dict[int, int] = {}
+        for j in range(max(0, i - most), min(len(b), i + most) + 1):
+            if j == 0:
+                row[j] = i
+                continue
+            y = b[j - 1]
+            cost = min(last.get(j, beyond) + 1, row.get(j - 1, beyond) + 1, last.get(j - 1, beyond) + (x != y))
             if i > 1 and j > 1 and x == b[j - 2] and a[i - 2] == y:
-                cost = min(cost, before[j - 2] + 1)
-            row.append(cost)
-        if min(row) > most:
-            return most + 1
+                cost = min(cost, before.get(j - 2, beyond) + 1)
+            row[j] = cost
+        if min(row.values()) > most:
+            return beyond
         before, last = last, row
-    return min(last[-1], most + 1)
+    return min(last.get(len(b), beyond), beyond)
 
 
 def is_organisation(name: str) -> bool:
@@ -406,19 +414,36 @@ def _drops(word: Column) -> Column:
     return F.transform(F.sequence(F.lit(1), F.length(word)), lambda i: F.concat(F.substring(word, F.lit(1), i - 1), F.substring(word, i + 1, F.length(word))))
 
 
+def _stretches(word: Column) -> Column:
+    """Fifths of a long word, each also shifted by up to two letters, with their number and length.
+
+    Two edits touch four of five neighbouring fifths at most and shift the
+    fifth by two letters at most. Words whose lengths differ by up to two
+    letters have a length of fifths in common.
+    """
+    sizes = F.array_distinct(F.transform(F.sequence(F.length(word) - 2, F.length(word) + 2), lambda n: F.floor(n / 5).cast("int")))
+    at = lambda k, j: F.transform(F.sequence(F.lit(-2), F.lit(2)), lambda shift: F.concat_ws("|", k, j, F.substring(word, F.greatest(j * k + 1 + shift, F.lit(1)), k)))
+    return F.flatten(F.transform(sizes, lambda k: F.flatten(F.transform(F.sequence(F.lit(0), F.lit(4)), lambda j: at(k, j)))))
+
+
 def near_heads(heads: DataFrame) -> DataFrame:
-    """(kind, a, b), a < b: heads of one kind that become equal by dropping letters, as many as `dropped` does.
+    """(kind, a, b), a < b: heads of one kind that two edits may join (one, of short heads), and a few others.
 
     Exact: each edit, an exchange of neighbours included, is undone by dropping
-    one letter at most from each side, so every pair that _slip accepts is here.
-    No group is large: only so many words become a given one by dropping two letters.
+    one letter at most from each side, so heads that _slip accepts become equal
+    by dropping letters; of heads beyond LONG, whose ways to drop two letters
+    are too many, a fifth is left whole.
     """
+    none = F.array().cast("array<string>")
+    size = F.length("head")
     once = _drops(F.col("head"))
-    twice = F.when(F.length("head") >= TWO_EDITS, F.flatten(F.transform(once, _drops))).otherwise(F.array().cast("array<string>"))
+    twice = F.when(size >= TWO_EDITS, F.flatten(F.transform(once, _drops))).otherwise(none)
+    shorter = F.when(size <= LONG + 2, F.concat(F.array("head"), once, twice)).otherwise(none)
+    longer = F.when(size > LONG - 2, _stretches(F.col("head"))).otherwise(none)
     # equal hashes of different words only add candidates
-    hashes = F.array_distinct(F.transform(F.concat(F.array("head"), once, twice), lambda word: F.xxhash64(word)))
+    hashes = F.array_distinct(F.transform(F.concat(shorter, longer), lambda word: F.xxhash64(word)))
     partitions = int(heads.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    words = heads.where(F.length("head") >= LEAST_HEAD).select("kind", "head").repartition(partitions, "head").select("kind", "head", F.explode(hashes).alias("word"))
+    words = heads.where(size >= LEAST_HEAD).select("kind", "head").repartition(partitions, "head").select("kind", "head", F.explode(hashes).alias("word"))
     groups = words.groupBy("kind", "word").agg(F.collect_set("head").alias("group")).where(F.size("group") > 1)
     beyond = lambda a: F.filter("group", lambda b: (a < b) & (F.abs(F.length(a) - F.length(b)) <= 2))
     pairs = F.flatten(F.transform("group", lambda a: F.transform(beyond(a), lambda b: F.struct(a.alias("a"), b.alias("b")))))

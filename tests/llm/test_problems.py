@@ -165,6 +165,38 @@ def test_near_heads_hold_every_slip(spark):
     assert len(slips) > 40 and slips <= found and ("long", "lung") not in found
 
 
+def test_near_heads_of_any_length(spark):
+    """Two edits anywhere in heads around and beyond the length from which stretches are compared, and very long ones."""
+    rng = random.Random(23)
+    words, slips = [], set()
+    for size in (*range(28, 40), 60, 61, 5000):
+        for _ in range(6 if size < 100 else 1):
+            word = old = "".join(rng.choice("abcdeimnorst") for _ in range(size))
+            for _ in range(2):
+                at = rng.randrange(len(word) - 1)
+                word = rng.choice([word[:at] + word[at + 1 :], word[:at] + "x" + word[at:], word[:at] + "x" + word[at + 1 :], word[:at] + word[at + 1] + word[at] + word[at + 2 :]])
+            words += [old, word]
+            if names._slip(old, word, 9, 1):
+                slips.add(tuple(sorted((old, word))))
+    heads = spark.createDataFrame([("person", word) for word in sorted(set(words))], "kind string, head string")
+    found = {(row.a, row.b) for row in names.near_heads(heads).collect()}
+    assert len(slips) > 60 and slips <= found
+    one = "stovesevon" * 3000
+    assert clusters_of(spark, [f"{one}, Michael", f"{one[:9000]}x{one[9000:]}, Michael", "Other, M."]) == [[0, 1], [2]]
+
+
+@settings(max_examples=200, deadline=None)
+@given(st.text("abc", max_size=7), st.text("abc", max_size=7), st.integers(0, 3))
+def test_edits_against_the_whole_table(a, b, most):
+    table = {}
+    for i in range(len(a) + 1):
+        for j in range(len(b) + 1):
+            table[i, j] = max(i, j) if not i or not j else min(table[i - 1, j] + 1, table[i, j - 1] + 1, table[i - 1, j - 1] + (a[i - 1] != b[j - 1]))
+            if i > 1 and j > 1 and a[i - 1] == b[j - 2] and a[i - 2] == b[j - 1]:
+                table[i, j] = min(table[i, j], table[i - 2, j - 2] + 1)
+    assert names.edits(a, b, most) == min(table[len(a), len(b)], most + 1)
+
+
 def test_slips_of_short_family_names(spark):
     full = ["Clark, Xenia", "Clrak, Xenia", "Lopez, Maria", "Lobez, Maria", "Ligrevaland, Xenia M.", "Ligrevaland, Xenia M.", "Ligrevaland, Xenia M.", "Ligervalnd, Xenia M."]
     table = spark.createDataFrame(list(enumerate(full)), "source_id long, author_full string")
