@@ -28,7 +28,7 @@ from __future__ import annotations
 
 import hashlib
 import re
-from bisect import bisect_left
+from bisect import bisect_left, insort
 from collections import defaultdict
 from collections.abc import Iterator
 from dataclasses import dataclass, field
@@ -166,29 +166,42 @@ def _chains(item: int, hits: list[tuple[int, int, int]], page: str, known: Patte
                     more = min(at + long - at_i - long_i, of + long - of_i - long_i, long)
                     if score[i] + more > score[j]:
                         score[j], before[j] = score[i] + more, i
-        end = max(range(len(hits)), key=score.__getitem__)
-        path, j = [], end
-        while j >= 0:
-            path.append(hits[j])
-            j = before[j]
-        path.reverse()
-        low, high = path[0][1], path[-1][1] + path[-1][2]
-        words = sum(weights[bisect_left(starts, low) : bisect_left(starts, high)])
-        if words + 2 * BESIDE < least or not total:
-            return
-        first, last = path[0][0], path[-1][0] + path[-1][2]
-        words += _beside(item, low, high, page[max(0, first - MAX_GAP) : first], page[last : last + MAX_GAP], known)
-        spans: list[tuple[int, int]] = []
-        for at, _, long in path:
-            if spans and at <= spans[-1][1]:
-                spans[-1] = (spans[-1][0], max(spans[-1][1], at + long))
-            else:
-                spans.append((at, at + long))
-        cover = min(score[end], sum(b - a for a, b in spans))
-        share = cover / max(high - low, last - first)
-        if share >= LEAST_COVER and (words if share >= FEW_CHANGES else words * share) >= least:
-            yield Chain(item, first, last, words, cover, spans)
-        hits = [hit for hit in hits if hit[0] + hit[2] <= first or hit[0] >= last]
+        # the best chain, then the next as long as the ones taken leave it whole; else the rest is chained anew
+        taken: list[tuple[int, int]] = []
+        for end in sorted(range(len(hits)), key=lambda j: (-score[j], j)):
+            if _meets(taken, hits[end][0], hits[end][0] + hits[end][2]):
+                continue
+            path, j = [], end
+            while j >= 0:
+                path.append(hits[j])
+                j = before[j]
+            path.reverse()
+            low, high = path[0][1], path[-1][1] + path[-1][2]
+            first, last = path[0][0], path[-1][0] + path[-1][2]
+            if _meets(taken, first, last):
+                break
+            words = sum(weights[bisect_left(starts, low) : bisect_left(starts, high)])
+            if words + 2 * BESIDE < least or not total:
+                return
+            words += _beside(item, low, high, page[max(0, first - MAX_GAP) : first], page[last : last + MAX_GAP], known)
+            spans: list[tuple[int, int]] = []
+            for at, _, long in path:
+                if spans and at <= spans[-1][1]:
+                    spans[-1] = (spans[-1][0], max(spans[-1][1], at + long))
+                else:
+                    spans.append((at, at + long))
+            cover = min(score[end], sum(b - a for a, b in spans))
+            share = cover / max(high - low, last - first)
+            if share >= LEAST_COVER and (words if share >= FEW_CHANGES else words * share) >= least:
+                yield Chain(item, first, last, words, cover, spans)
+            insort(taken, (first, last))
+        hits = [hit for hit in hits if not _meets(taken, hit[0], hit[0] + hit[2])]
+
+
+def _meets(taken: list[tuple[int, int]], start: int, end: int) -> bool:
+    """Whether a stretch overlaps one of the sorted, disjoint stretches taken."""
+    at = bisect_left(taken, (end,))
+    return at > 0 and taken[at - 1][1] > start
 
 
 def _beside(item: int, low: int, high: int, before: str, after: str, known: Patterns) -> float:
@@ -224,12 +237,18 @@ def find(text: str, automaton, known: Patterns) -> list[Chain]:
 def best_explained(chains: list[Chain]) -> list[Chain]:
     """The chains of one text over whose passages no other item's chain covers more."""
     kept: list[Chain] = []
+    starts: list[tuple[int, int]] = []
+    longest = 0
     for chain in sorted(chains, key=lambda c: (-c.cover, c.item, c.start)):
-        for other in kept:
+        # only chains that overlap can explain the passage better
+        for _, number in starts[bisect_left(starts, (chain.start - longest,)) : bisect_left(starts, (chain.end,))]:
+            other = kept[number]
             low, high = max(chain.start, other.start), min(chain.end, other.end)
             if other.item != chain.item and high - low > OVERLAP * (chain.end - chain.start) and chain.covered(low, high) < EQUAL * other.covered(low, high):
                 break
         else:
+            insort(starts, (chain.start, len(kept)))
+            longest = max(longest, chain.end - chain.start)
             kept.append(chain)
     return kept
 

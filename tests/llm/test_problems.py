@@ -519,6 +519,15 @@ def test_leaks_do_not_depend_on_blocks(spark):
         assert key(leaks.leaks(docs, items, block_chars=chars).collect()) == key(once), chars
 
 
+def test_item_repeated_in_a_long_text():
+    known = leaks.patterns([(1, [(ITEM, True)]), (2, [(OTHER, True)])])
+    text = (ITEM + " ") * 1500 + "in between " + " ".join(ITEM.split()[4:]) + OTHER
+    chains = leaks.best_explained(leaks.find(text, leaks.automaton_of(known), known))
+    assert sum(chain.item == 0 for chain in chains) == 1501 and sum(chain.item == 1 for chain in chains) == 1
+    own = sorted((chain.start, chain.end) for chain in chains)
+    assert all(a[1] <= b[0] for a, b in zip(own, own[1:]))
+
+
 @pytest.mark.parametrize("at", range(20))
 def test_stretch_of_twenty_words_with_a_changed_one(at):
     words = ITEM.split()[2:22]
