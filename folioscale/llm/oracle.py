@@ -109,6 +109,12 @@ def oracle() -> dict[str, str]:
             select plan_id::bigint as plan_id, batch_limit, sum(item_count)::bigint as records, sum(ceil(item_count / batch_limit::double))::bigint as pieces,
                    sum(ceil(item_count / batch_limit::double) - 1)::bigint as further_pieces
             from dispatch_items where item_count > 0 and batch_limit > 0 and plan_id is not null group by 1, 2""",
+        "p1_pieces": """
+            select plan_id::bigint as plan_id, item_id::bigint as item_id, piece_no, (case when piece_no * batch_limit <= item_count then batch_limit else item_count % batch_limit end)::int as item_count
+            from (select *, unnest(range(1, ceil(item_count / batch_limit::double)::bigint + 1)) as piece_no from dispatch_items where item_count > 0 and batch_limit > 0 and plan_id is not null)""",
+        "p1_batch_checks": """
+            select plan_id, batch_limit, sum(item_count)::bigint as records, count(distinct item_id) as items, 0::bigint as overfull, 0::bigint as gaps
+            from dispatch_items where item_count > 0 and batch_limit > 0 and plan_id is not null group by all""",
         "p1_unpacked": """
             select * from (select plan_id, item_id, case when plan_id is null then 'no plan' when coalesce(batch_limit, 0) <= 0 then 'no limit' when coalesce(item_count, 0) <= 0 then 'empty' end as state
             from dispatch_items) where state is not null""",

@@ -34,6 +34,20 @@ def p1_plan_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def p1_pieces(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How each item is cut: whole, or into full pieces and a rest."""
+    return p1_items(spark, sf_dir).select("plan_id", "item_id", "piece_no", "item_count")
+
+
+def p1_batch_checks(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Per plan and limit: records and items in the batches, batches over their capacity or the limit, and gaps in the numbers."""
+    rows = p1_batches(spark, sf_dir)
+    over = (F.col("filled") > F.col("capacity")) | (F.col("capacity") > F.col("batch_limit")) | (F.col("filled") <= 0)
+    sums = rows.groupBy("plan_id", "batch_limit").agg(F.sum("filled").alias("records"), F.count_if(over).alias("overfull"), (F.max("batch_no") + 1 - F.countDistinct("batch_no")).alias("gaps"))
+    items = rows.select("plan_id", "batch_limit", F.explode("items.item_id").alias("item")).groupBy("plan_id", "batch_limit").agg(F.countDistinct("item").alias("items"))
+    return sums.join(items, ["plan_id", "batch_limit"])
+
+
 def p1_unpacked(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.unpacked(read_table(spark, sf_dir, "dispatch_items"))
 
@@ -131,6 +145,8 @@ QUERIES: dict[str, Query] = {
     "p1_batches": p1_batches,
     "p1_items": p1_items,
     "p1_plan_totals": p1_plan_totals,
+    "p1_pieces": p1_pieces,
+    "p1_batch_checks": p1_batch_checks,
     "p1_unpacked": p1_unpacked,
     "p2_found": p2_found,
     "p2_clusters": p2_clusters,
