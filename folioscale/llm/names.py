@@ -450,28 +450,31 @@ def near_heads(heads: DataFrame) -> DataFrame:
     return groups.select("kind", F.explode(pairs).alias("p")).select("kind", "p.a", "p.b").distinct()
 
 
-def _common(tokens: DataFrame) -> dict[str, int]:
-    """Tokens (token, n) with more than 1/COMMON_SHARE of all, by count; at most COMMON_SHARE."""
-    counts = tokens.groupBy("token").agg(F.sum("n").alias("n"))
-    total = counts.agg(F.sum("n")).first()[0] or 0
-    return {row.token: row.n for row in counts.where((F.col("n") > total / COMMON_SHARE) & (F.col("n") > 1)).collect()}
-
-
-def _tokens(names: DataFrame, kind: str) -> DataFrame:
-    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            out: list[tuple[str, int]] = []
-            for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
-                if _HAN.search(name):
-                    continue
-                if kind == "organisation" and is_organisation(name):
-                    words = [token.lower() for token in _TOKEN.findall(name) if not token.endswith(".")]
-                    out += [(word, n) for word in words if word not in _SMALL and len(word) > 2]
-                elif kind == "given" and "," in name and not is_organisation(name):
-                    out += [(token.rstrip(".").lower(), n) for token in _TOKEN.findall(name.partition(",")[2]) if len(token.rstrip(".")) > 2]
-            yield pa.RecordBatch.from_arrays([pa.array([word for word, _ in out], pa.string()), pa.array([n for _, n in out], pa.int64())], names=["token", "n"])
-
-    return names.mapInArrow(cut, "token string, n long")
+def _common(names: DataFrame) -> tuple[dict[str, int], dict[str, int]]:
+    """Given names and words of organisations with more than 1/COMMON_SHARE of all tokens of their kind, by count; at most COMMON_SHARE of each."""
+    counts = cut_lineage(names.mapInArrow(_tokens, "kind string, token string, n long").groupBy("kind", "token").agg(F.sum("n").alias("n")))
+    found: dict[str, dict[str, int]] = {"given": {}, "organisation": {}}
+    total = {row.kind: row.n for row in counts.groupBy("kind").agg(F.sum("n").alias("n")).collect()}
+    least = F.coalesce(*[F.when(F.col("kind") == kind, n / COMMON_SHARE) for kind, n in total.items()], F.lit(0.0))
+    for row in counts.where((F.col("n") > least) & (F.col("n") > 1)).collect():
+        found[row.kind][row.token] = row.n
+    return found["given"], found["organisation"]
+
+
+def _tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """(kind, token, n) of names (name, n): given names after a comma, and the words of organisations."""
+    for batch in batches:
+        out: list[tuple[str, str, int]] = []
+        for name, n in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+            if _HAN.search(name):
+                continue
+            if is_organisation(name):
+                words = [token.lower() for token in _TOKEN.findall(name) if not token.endswith(".")]
+                out += [("organisation", word, n) for word in words if word not in _SMALL and len(word) > 2]
+            elif "," in name:
+                out += [("given", token.rstrip(".").lower(), n) for token in _TOKEN.findall(name.partition(",")[2]) if len(token.rstrip(".")) > 2]
+        kinds, tokens, counts = zip(*out) if out else ((), (), ())
+        yield pa.RecordBatch.from_arrays([pa.array(kinds, pa.string()), pa.array(tokens, pa.string()), pa.array(counts, pa.int64())], names=["kind", "token", "n"])
 
 
 def clusters(rows: DataFrame, id_col: str, authors: str) -> DataFrame:
@@ -484,7 +487,7 @@ def clusters(rows: DataFrame, id_col: str, authors: str) -> DataFrame:
     written = rows.select(F.col(id_col).cast("long").alias("id"), F.col(authors).alias("full")).where(F.length(F.trim("full")) > 0)
     named = cut_lineage(written.mapInArrow(read, "id long, name string").where("length(name) > 0"))
     names = cut_lineage(named.groupBy("name").agg(F.count(F.lit(1)).alias("n")))
-    words = Words(_common(_tokens(names, "given")), _common(_tokens(names, "organisation")))
+    words = Words(*_common(names))
 
     def parse(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
